@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks or stateful operators, and the
+panel features (whole-history group means) are recomputed in batch. This
+package exists only to keep the layout uniform.
+"""
