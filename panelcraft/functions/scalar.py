@@ -130,4 +130,4 @@ def square(c: ColumnOrName) -> Column:
 # ------------------------------------------------------------------------- S4
 def parse_compact_month(c: ColumnOrName) -> Column:
     """'yyyyMM' text or integer -> DATE at month start; NULL when unparseable."""
-    return F.try_to_date(_c(c).cast("string"), F.lit("yyyyMM"))
+    return F.try_to_date(_c(c).cast("string"), "yyyyMM")

@@ -53,6 +53,8 @@ class PointFacts:
     date_col: str
     # output name -> (aggregate, source column); aggregate in AGGS
     aggs: dict[str, tuple[str, str]] = field(default_factory=dict)
+    # every id of this source gets a spine (as the interval facts' ids do)
+    defines_ids: bool = False
 
 
 def _point_agg(kind: str, name: str, integral: bool):
@@ -72,24 +74,9 @@ def _point_agg(kind: str, name: str, integral: bool):
     raise ValueError(f"unknown aggregate {kind}")
 
 
-def monthly_panel(
-    intervals: DataFrame,
-    *,
-    id_col: str,
-    start: str,
-    end: str,
-    amount: str,
-    lo: str,
-    hi: str,
-    value: str = "value",
-    points: list[PointFacts] | None = None,
-    id_out: str = "id",
-    month_out: str = "month",
-) -> DataFrame:
-    points = points or []
+def _interval_rows(intervals, id_col, start, end, amount, lo_d, hi_d) -> DataFrame:
+    """Presence marker, +rate at the first in-range month, -rate after the last."""
     integral = is_integral(intervals, amount)
-    lo_d, hi_d = F.to_date(F.lit(lo)), F.to_date(F.lit(hi))
-
     f = intervals.select(
         F.col(id_col).alias("_id"),
         month_floor(start).alias("_ms"),
@@ -111,22 +98,42 @@ def monthly_panel(
         F.when(hit, ev(first, rate, F.lit(1))),
         F.when(hit & (last < hi_d), ev(F.add_months(last, 1), -rate, F.lit(-1))),
     )
-    rows = f.select(F.col("_id"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e")).select(
+    return f.select(F.col("_id"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e")).select(
         "_id", F.col("_e.month").alias("_m"), F.col("_e.d").alias("_d"), F.col("_e.c").alias("_c")
     )
 
-    # point facts: one row each, restricted to the spine range before the shuffle
+
+def monthly_panel(
+    intervals: DataFrame | None,
+    *,
+    id_col: str = "id",
+    start: str = "start",
+    end: str = "end",
+    amount: str = "amount",
+    lo: str,
+    hi: str,
+    value: str = "value",
+    points: list[PointFacts] | None = None,
+    id_out: str = "id",
+    month_out: str = "month",
+) -> DataFrame:
+    points = points or []
+    lo_d, hi_d = F.to_date(F.lit(lo)), F.to_date(F.lit(hi))
+    parts = [] if intervals is None else [_interval_rows(intervals, id_col, start, end, amount, lo_d, hi_d)]
     agg_exprs = [F.sum("_d").alias("_d"), F.sum("_c").alias("_c")]
+    if intervals is None:
+        agg_exprs = [F.lit(None).cast("bigint").alias("_d"), F.lit(None).cast("int").alias("_c")]
+
+    # point facts: one row each, restricted to the spine range before the shuffle
     out_cols: list[tuple[str, str, bool, str]] = []  # (output, column, integral mean, presence column)
-    parts = [rows]
     for i, p in enumerate(points):
         m = month_floor(p.date_col)
         present = f"_p{i}_rows"
-        sel = [F.col(p.id_col).alias("_id"), m.alias("_m"), F.lit(1).alias(present)]
+        fields = [F.col("_m0").alias("_m"), F.lit(1).alias(present)]
         agg_exprs.append(F.sum(present).alias(present))
         for j, (out, (kind, src)) in enumerate(p.aggs.items()):
             col_name = f"_p{i}_{j}"
-            sel.append(F.col(src).alias(col_name))
+            fields.append(F.col(src).alias(col_name))
             integ = is_integral(p.df, src)
             exprs = _point_agg(kind, col_name, integ)
             if len(exprs) == 2:
@@ -134,10 +141,20 @@ def monthly_panel(
             else:
                 agg_exprs.append(exprs[0].alias(col_name))
             out_cols.append((out, col_name, kind == "mean" and integ, present))
-        pdf = p.df.select(*sel).where(
-            F.col("_id").isNotNull() & F.col("_m").isNotNull() & (F.col("_m") >= lo_d) & (F.col("_m") <= hi_d)
-        )
+        src_df = p.df.select(F.col(p.id_col).alias("_id"), m.alias("_m0"), *[F.col(c) for c in {c for _, c in p.aggs.values()}])
+        in_range = F.col("_m0").isNotNull() & (F.col("_m0") >= lo_d) & (F.col("_m0") <= hi_d)
+        shaped = src_df.where(F.col("_id").isNotNull()).select("_id", in_range.alias("_in"), *fields)
+        if p.defines_ids:
+            names = shaped.columns[2:]
+            marker = F.struct(*[F.lit(None).cast(shaped.schema[n].dataType).alias(n) for n in names])
+            row = F.struct(*[F.col(n) for n in names])
+            both = F.filter(F.array(marker, F.when(F.col("_in"), row)), lambda e: e.isNotNull())
+            pdf = shaped.select("_id", F.explode(both).alias("_e")).select("_id", "_e.*")
+        else:
+            pdf = shaped.where(F.col("_in")).drop("_in")
         parts.append(pdf)
+    if not parts:
+        raise ValueError("monthly_panel needs interval facts or a point source with defines_ids")
     unioned = parts[0]
     for pdf in parts[1:]:
         unioned = unioned.unionByName(pdf, allowMissingColumns=True)

@@ -58,13 +58,22 @@ def multi_agg(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]])
     return g.select(*keys, *aggs.keys())
 
 
-def rollup_period(df: DataFrame, keys: list[str], sum_cols: list[str], keep: dict[str, str] | None = None) -> DataFrame:
+def rollup_period(
+    df: DataFrame,
+    keys: list[str],
+    sum_cols: list[str],
+    mode_cols: list[str] = (),
+    keep: dict[str, str] | None = None,
+) -> DataFrame:
     """A4: sum every listed column per period key; an all-NULL group sums to 0.
 
-    ``keep`` adds ``{out: mode-like first value}`` columns constant per group
-    (aggregated with ``max``), e.g. static attributes.
+    ``mode_cols`` are code columns rolled up by their most frequent value
+    (ties: smallest); summing codes is the reference's behaviour and is
+    obtained by listing them in ``sum_cols`` instead. ``keep`` adds
+    ``{out: column}`` attributes constant per group (taken with ``max``).
     """
     exprs = [F.coalesce(F.sum(c), F.lit(0).cast(df.schema[c].dataType)).alias(c) for c in sum_cols]
+    exprs += [F.mode(c, True).alias(c) for c in mode_cols]
     exprs += [F.max(src).alias(out) for out, src in (keep or {}).items()]
     return df.groupBy(*keys).agg(*exprs)
 

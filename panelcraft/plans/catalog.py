@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import SparkSession
 
-from panelcraft.plans import queries as _q
+from panelcraft.plans import inputs as _registry
+from panelcraft.plans import q_features as _q_features  # noqa: F401  (registers)
+from panelcraft.plans import queries as _q_panel  # noqa: F401  (registers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_q.QUERIES)
+    return dict(_registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_q.ORACLE)
+    return dict(_registry.ORACLE)

@@ -42,19 +42,26 @@ def from_fixed(c: Column | str, scale: int = MONEY_SCALE) -> Column:
 def quarterly_from_monthly(
     monthly: DataFrame,
     *,
-    value: str,
+    value: str | None = None,
     fill_cols: list[str] = (),
     sum_cols: list[str] = (),
+    mode_cols: list[str] = (),
     mask: tuple[int, int] | None = None,
     means: dict[str, tuple[str, list[str]]] | None = None,
     id_col: str = "id",
 ) -> DataFrame:
-    """O5 -> W1 -> A4 -> W2/W3 -> P5 on a monthly (id, month) panel."""
+    """O5 -> W1 -> A4 -> W2/W3 -> P5 on a monthly (id, month) panel.
+
+    ``value`` is masked (when ``mask`` is given) and filled; ``fill_cols``
+    are filled; ``sum_cols`` are summed without filling (gaps count as 0);
+    ``mode_cols`` roll up by their most frequent monthly value.
+    """
     m = with_calendar_parts(monthly, "month")
-    if mask is not None:
+    head = [value] if value else []
+    if mask is not None and value:
         m = mask_period(m, [value], "year", "quarter", mask[0], mask[1])
-    m = fill_group_mean(m, [value, *fill_cols], [id_col])
-    q = rollup_period(m, [id_col, "year", "quarter"], [value, *fill_cols, *sum_cols])
+    m = fill_group_mean(m, [*head, *fill_cols], [id_col])
+    q = rollup_period(m, [id_col, "year", "quarter"], [*head, *fill_cols, *sum_cols], list(mode_cols))
     if means:
         q = group_mean(q, means)
     return q.withColumn("sid", row_key(id_col, "year", "quarter"))

@@ -1,84 +1,28 @@
-"""Driver queries on the TPC-H-like test tables and their DuckDB oracle SQL.
-
-Every query reads whole tables. Money is carried as exact fixed-point
-BIGINT (see ``plans.panel.MONEY_SCALE``) and converted to DOUBLE by one
-division at the end, so Spark and DuckDB agree bit for bit.
-
-Role mapping (reference concept -> test table):
-payments -> lineitem joined to orders (id o_custkey, start o_orderdate,
-end l_shipdate, amount l_extendedprice); filings -> orders; register ->
-customer; bills -> lineitem by ship month.
-"""
+"""Panel queries: interval proration, spine, monthly and quarterly panels."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.functions.scalar import to_fixed
 from panelcraft.operators import interval as iv
 from panelcraft.operators import spine as sp
 from panelcraft.operators.monthly import PointFacts
 from panelcraft.operators.monthly import monthly_panel
-from panelcraft.plans.panel import MONEY_SCALE
+from panelcraft.plans.inputs import SPINE_HI
+from panelcraft.plans.inputs import SPINE_LO
+from panelcraft.plans.inputs import SQL_FACTS
+from panelcraft.plans.inputs import SQL_FILINGS
+from panelcraft.plans.inputs import SQL_N
+from panelcraft.plans.inputs import TARGET_QUARTER
+from panelcraft.plans.inputs import TARGET_YEAR
+from panelcraft.plans.inputs import filings
+from panelcraft.plans.inputs import payments
+from panelcraft.plans.inputs import query
+from panelcraft.plans.inputs import sql_months
 from panelcraft.plans.panel import from_fixed
 from panelcraft.plans.panel import quarterly_panel
-from panelcraft.plans.panel import to_money_fixed
-from panelcraft.sources.io import read_parquet_table
-
-# Fixed values of the test mapping: spine range, masked (target) quarter.
-SPINE_LO, SPINE_HI = "1997-01-01", "2001-12-01"
-TARGET_YEAR, TARGET_QUARTER = 2001, 4
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return deco
-
-
-def T(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return read_parquet_table(spark, d, name)
-
-
-def payments(spark: SparkSession, d: str) -> DataFrame:
-    """Interval facts: one row per line item (id, start, end, fixed-point amount)."""
-    li = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
-    o = T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.select(
-        "l_orderkey",
-        "l_linenumber",
-        F.col("o_custkey").alias("id"),
-        F.col("o_orderdate").alias("start"),
-        F.col("l_shipdate").alias("end"),
-        to_money_fixed("l_extendedprice").alias("amount"),
-    )
-
-
-# Oracle building blocks (DuckDB SQL text) ------------------------------------
-SQL_FACTS = """
-  SELECT l.l_orderkey, l.l_linenumber, o.o_custkey AS id,
-         CAST(date_trunc('month', o.o_orderdate) AS DATE) AS ms,
-         CAST(date_trunc('month', l.l_shipdate) AS DATE) AS me,
-         CAST(round(l.l_extendedprice * 100) AS BIGINT) * 1000000 AS amt
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-"""
-SQL_N = "((year(me) - year(ms)) * 12 + month(me) - month(ms) + 1)"
-
-
-def sql_months(lo: str, hi: str) -> str:
-    return f"CAST(unnest(generate_series(DATE '{lo}', DATE '{hi}', INTERVAL 1 MONTH)) AS DATE)"
 
 
 # -------------------------------------------------------------------- flagship
@@ -233,12 +177,9 @@ ids AS (SELECT DISTINCT id FROM f WHERE id IS NOT NULL),
 v AS (SELECT id, ms, me, amt // {SQL_N} AS rate FROM f WHERE ms <= me),
 e AS (SELECT id, rate, CAST(unnest(generate_series(ms, me, INTERVAL 1 MONTH)) AS DATE) AS month FROM v),
 m AS (SELECT id, month, CAST(SUM(rate) AS BIGINT) AS y FROM e GROUP BY id, month),
-fi AS (SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-              CAST(round(o_totalprice * 100) AS BIGINT) * 1000000 AS price,
-              CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS prio, o_orderstatus AS status
-       FROM orders),
+fi AS ({SQL_FILINGS}),
 fm AS (SELECT id, month, CAST(SUM(price) // COUNT(price) AS BIGINT) AS month_amount, MAX(prio) AS priority_max,
-              MAX(status) AS status_max, COUNT(*) AS n_filings
+              MAX(status) AS status_max, COUNT(prio) AS n_filings
        FROM fi WHERE id IS NOT NULL AND month IS NOT NULL GROUP BY id, month),
 s AS (SELECT id, {sql_months(SPINE_LO, SPINE_HI)} AS month FROM ids)
 SELECT s.id, s.month, m.y / 1e8 AS y, fm.month_amount / 1e8 AS month_amount, fm.priority_max, fm.status_max,
@@ -248,24 +189,13 @@ FROM s LEFT JOIN m ON s.id = m.id AND s.month = m.month
 """
 
 
-def filings(spark: SparkSession, d: str) -> DataFrame:
-    o = T(spark, d, "orders")
-    return o.select(
-        "o_custkey",
-        "o_orderdate",
-        to_money_fixed("o_totalprice").alias("price"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"),
-        F.col("o_orderstatus").alias("status"),
-    )
-
-
 @query("monthly_panel", SQL_MONTHLY_PANEL)
 def q_monthly_panel(spark: SparkSession, d: str) -> DataFrame:
     """J5 + A2: the spine left-joined with monthly payments and monthly filing aggregates."""
     pts = PointFacts(
         filings(spark, d),
-        "o_custkey",
-        "o_orderdate",
+        "id",
+        "date",
         {
             "month_amount": ("mean", "price"),
             "priority_max": ("max", "prio"),
