@@ -98,9 +98,10 @@ def _interval_rows(intervals, id_col, start, end, amount, lo_d, hi_d) -> DataFra
         F.when(hit, ev(first, rate, F.lit(1))),
         F.when(hit & (last < hi_d), ev(F.add_months(last, 1), -rate, F.lit(-1))),
     )
-    return f.select(F.col("_id"), F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e")).select(
-        "_id", F.col("_e.month").alias("_m"), F.col("_e.d").alias("_d"), F.col("_e.c").alias("_c")
-    )
+    # explode then drop the NULL slots: plain Generate + Filter stay in generated code
+    # (a higher-order filter(array, lambda) would be interpreted per row)
+    rows = f.select(F.col("_id"), F.explode(events).alias("_e")).where(F.col("_e").isNotNull())
+    return rows.select("_id", F.col("_e.month").alias("_m"), F.col("_e.d").alias("_d"), F.col("_e.c").alias("_c"))
 
 
 def monthly_panel(
@@ -148,8 +149,8 @@ def monthly_panel(
             names = shaped.columns[2:]
             marker = F.struct(*[F.lit(None).cast(shaped.schema[n].dataType).alias(n) for n in names])
             row = F.struct(*[F.col(n) for n in names])
-            both = F.filter(F.array(marker, F.when(F.col("_in"), row)), lambda e: e.isNotNull())
-            pdf = shaped.select("_id", F.explode(both).alias("_e")).select("_id", "_e.*")
+            both = F.array(marker, F.when(F.col("_in"), row))
+            pdf = shaped.select("_id", F.explode(both).alias("_e")).where(F.col("_e").isNotNull()).select("_id", "_e.*")
         else:
             pdf = shaped.where(F.col("_in")).drop("_in")
         parts.append(pdf)
@@ -171,15 +172,16 @@ def monthly_panel(
         # NULL (as a left join gives) when the id has no fact of this source that month
         point_vals.append((out, F.when(F.col(present).isNotNull(), v)))
 
-    spine_months = F.transform(month_range(lo, hi), lambda m: F.struct(m.alias("m"), F.lit(1).alias("k")))
-    own = F.array(F.struct(F.col("_m").alias("m"), F.lit(0).alias("k")))
+    # the presence row of an id expands to its spine months (k = 1); a fact row stays itself (k = 0)
+    months = F.when(F.col("_m").isNull(), month_range(lo, hi)).otherwise(F.array(F.col("_m")))
     gen = agg.select(
         "_id",
         "_d",
         "_c",
         *[v.alias(o) for o, v in point_vals],
-        F.explode(F.when(F.col("_m").isNull(), spine_months).otherwise(own)).alias("_g"),
-    ).select("*", F.col("_g.m").alias("_month"), F.col("_g.k").alias("_k"))
+        F.when(F.col("_m").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("_k"),
+        F.explode(months).alias("_month"),
+    )
 
     w = Window.partitionBy("_id").orderBy("_month", "_k")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
