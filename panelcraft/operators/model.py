@@ -127,9 +127,11 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def cross_validate(pipeline: Pipeline, data: DataFrame, fold_col: str, label: str = "label") -> tuple:
-    """M3 with fixed fold ids: ``CrossValidator(foldCol=...)`` scoring RMSE; returns (model, avg metrics)."""
+def cross_validate(pipeline: Pipeline, data: DataFrame, fold_col: str, num_folds: int, label: str = "label") -> tuple:
+    """M3 with fixed fold ids in [0, num_folds): ``CrossValidator(foldCol=...)`` scoring RMSE; returns (model, avg metrics)."""
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, foldCol=fold_col)
+    cv = CrossValidator(
+        estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev, foldCol=fold_col, numFolds=num_folds
+    )
     m = cv.fit(data)
     return m, list(m.avgMetrics)

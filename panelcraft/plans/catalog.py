@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from panelcraft.plans import inputs as _registry
 from panelcraft.plans import q_features as _q_features  # noqa: F401  (registers)
+from panelcraft.plans import q_misc as _q_misc  # noqa: F401  (registers)
 from panelcraft.plans import q_model as _q_model  # noqa: F401  (registers)
 from panelcraft.plans import q_stats as _q_stats  # noqa: F401  (registers)
 from panelcraft.plans import queries as _q_panel  # noqa: F401  (registers)

@@ -81,14 +81,27 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
 
 
 def register_table(
-    df: DataFrame, name: str, namespace: str, replace: bool = True, partitions: int | None = None
+    df: DataFrame,
+    name: str,
+    namespace: str,
+    replace: bool = True,
+    partitions: int | None = None,
+    location: str | None = None,
 ) -> str:
-    """Save as a catalog table ``namespace.name`` (replace when asked)."""
+    """Save as a catalog table ``namespace.name`` (replace when asked).
+
+    ``location`` puts the namespace and table files under a given (shared)
+    folder instead of the warehouse directory.
+    """
     spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`")
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`{loc}")
     out = df.repartition(partitions) if partitions else df
     full = f"`{namespace}`.`{name}`"
-    out.write.mode("overwrite" if replace else "errorifexists").format("parquet").saveAsTable(full)
+    w = out.write.mode("overwrite" if replace else "errorifexists").format("parquet")
+    if location:
+        w = w.option("path", f"{location.rstrip('/')}/{name}")
+    w.saveAsTable(full)
     return full
 
 
