@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from panelcraft.operators.ordering import global_row_index
 
+# Dictionaries with at most this many (column, value) entries are ranked on the
+# driver after one aggregation; larger ones use the distributed global index.
+MAX_LOCAL_DICTIONARY = 50_000
+
 
 def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
     """E1 fit for several columns in one pass: (column, value, code).
 
     code = rank of each value's first appearance in ``order_by`` order,
     counted per column. NULL is a value with its own code (as pandas
-    ``unique`` treats NaN). Values are stacked as text, grouped once, and
-    ranked with one distributed global index over the distinct values.
+    ``unique`` treats NaN). Values are stacked as text and grouped once; up
+    to ``MAX_LOCAL_DICTIONARY`` distinct entries (checked with a bounded
+    ``limit``) are ranked on the driver, more with one distributed global
+    index over the distinct values.
     """
     cols = list(dict.fromkeys(cols))
     order = F.struct(*order_by)
@@ -32,6 +38,9 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
         order.alias("__o"),
     ).select("__e.*", "__o")
     first = stacked.groupBy("column", "value").agg(F.min("__o").alias("__first"))
+    small = first.limit(MAX_LOCAL_DICTIONARY + 1).collect()
+    if len(small) <= MAX_LOCAL_DICTIONARY:  # checked bound: rank the few distinct values on the driver
+        return _rank_locally(df.sparkSession, small)
     ranked = global_row_index(first, ["column", "__first"], "__idx")
     base = ranked.groupBy("column").agg(F.min("__idx").alias("__base"))
     return ranked.join(F.broadcast(base), "column").select(
@@ -39,6 +48,22 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
     )
 
 
+def _null_first(struct) -> tuple:
+    """Sort key matching Spark's ascending struct order (NULLs first)."""
+    return tuple((0,) if v is None else (1, v) for v in struct)
+
+
+def _rank_locally(spark, firsts: list) -> DataFrame:
+    by_col: dict[str, list] = {}
+    for r in firsts:
+        by_col.setdefault(r["column"], []).append((_null_first(r["__first"]), r["value"]))
+    out = []
+    for c, items in by_col.items():
+        items.sort(key=lambda t: t[0])
+        out += [(c, v, i) for i, (_, v) in enumerate(items)]
+    return spark.createDataFrame(out, "column string, value string, code int")
+
+
 def fit_dictionary(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
     """E1 fit for one column: (value, code)."""
     return fit_dictionaries(df, [col], order_by).drop("column")

@@ -3,8 +3,8 @@
 ``row_number()`` over an unpartitioned window moves every row into one
 task. :func:`global_row_index` instead range-sorts the frame (a distributed
 sort), tags rows with ``monotonically_increasing_id`` (partition index in
-the high bits, position in the low bits), pins that result with a reliable
-checkpoint, and adds each partition's offset from a per-partition count
+the high bits, position in the low bits), pins that result as a table in the
+shared checkpoint folder, and adds each partition's offset from a per-partition count
 (one small row per partition, broadcast).
 """
 
@@ -14,16 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcraft.session import ensure_checkpoint_dir
+from panelcraft.session import materialise
 
 _LOW_BITS = 33
 
 
 def global_row_index(df: DataFrame, order_by: list[Column | str], out: str = "row_index") -> DataFrame:
     """0-based contiguous index of every row in ``order_by`` order (ties broken arbitrarily)."""
-    ensure_checkpoint_dir(df.sparkSession)
     tagged = df.orderBy(*order_by).withColumn("__mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialise(tagged, "row-index")  # pins the ids: counts and offsets see the same rows
     pid = F.shiftright(F.col("__mid"), _LOW_BITS)
     counts = tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
     rows = sorted((r["__pid"], r["__n"]) for r in counts.collect())  # one row per partition

@@ -6,8 +6,8 @@ attributes, a split tag and first-appearance category codes.
 host: dated bills + register -> the same grain with sums, modes and
 seasonal means.
 
-Both builds materialise the assembled quarterly frame once with a reliable
-checkpoint before the fit steps (mean of zero capital, category
+Both builds materialise the assembled quarterly frame once (a parquet table
+in the shared checkpoint folder) before the fit steps (mean of zero capital, category
 dictionaries) so the fact shuffles are not recomputed per fit.
 """
 
@@ -22,12 +22,11 @@ from panelcraft.operators.monthly import PointFacts
 from panelcraft.operators.monthly import monthly_panel
 from panelcraft.operators.rollup import first_row
 from panelcraft.plans.panel import quarterly_from_monthly
-from panelcraft.session import ensure_checkpoint_dir
+from panelcraft.session import materialise
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialise(df, "features")
 
 
 def prepare_register(register: DataFrame, id_col: str, order_by: list[str] | None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,16 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint directory for materialised intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialise(df, name: str = "stage"):
+    """Compute ``df`` once into a parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but in one pass (an unpersisted
+    reliable checkpoint computes its input twice), stores columnar data, and
+    gives adaptive execution real sizes. Survives executor loss: the files
+    live in the cluster's shared checkpoint folder.
+    """
+    path = scratch_table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

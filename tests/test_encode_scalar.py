@@ -97,3 +97,13 @@ def test_global_row_index_contiguous(spark):
     idx = global_row_index(df, ["k"], "i")
     got = sorted((r.k, r.i) for r in idx.collect())
     assert [i for _, i in got] == list(range(5000))
+
+
+def test_factorize_distributed_path_matches_local(spark, monkeypatch):
+    from panelcraft.operators import encode
+
+    df = spark.createDataFrame([(i, f"v{(i * 7) % 13}", i % 5) for i in range(200)], "pos int, a string, b int")
+    local = rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"))
+    monkeypatch.setattr(encode, "MAX_LOCAL_DICTIONARY", 1)
+    dist = rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"))
+    assert dist == local
