@@ -56,11 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     under the system temp directory.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="panelcraft-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="panelcraft-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_table_dir(spark: SparkSession, name: str) -> str:
