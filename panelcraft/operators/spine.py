@@ -40,12 +40,19 @@ def assert_unique_keys(df: DataFrame, keys: list[str], label: str = "frame") ->
         raise ValueError(f"{label}: key {keys} is not unique, e.g. {dup[0].asDict()}")
 
 
-def key_intersection(left: DataFrame, right: DataFrame, key: str, check_unique: bool = False) -> DataFrame:
-    """Rows whose key exists on both sides, features of both in one row."""
+def key_intersection(left: DataFrame, right: DataFrame, key: str | list[str], check_unique: bool = False) -> DataFrame:
+    """Rows whose key exists on both sides, features of both in one row.
+
+    Joining panels on their component keys (id, year, quarter) rather than
+    the derived string key lets both sides keep the id partitioning they
+    already have (no re-shuffle when co-partitioning on a key prefix is
+    allowed, see ``session.DEFAULT_CONF``).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     if check_unique:
-        assert_unique_keys(left, [key], "left")
-        assert_unique_keys(right, [key], "right")
-    return left.join(right, on=key, how="inner")
+        assert_unique_keys(left, keys, "left")
+        assert_unique_keys(right, keys, "right")
+    return left.join(right, on=keys, how="inner")
 
 
 def blinded_key(c: str | Column, salt: str) -> Column:

@@ -269,14 +269,15 @@ FROM ({SQL_QUARTERLY}) g JOIN ({SQL_HOST_PANEL}) h ON g.sid = h.sid
 
 
 def _host_q(spark: SparkSession, d: str) -> DataFrame:
-    return q_host_panel(spark, d).select("sid", "qty", "price", "net", "price_avg")
+    return q_host_panel(spark, d).select("id", "year", "quarter", "qty", "price", "net", "price_avg")
 
 
 @query("key_intersection", SQL_INTERSECT)
 def q_key_intersection(spark: SparkSession, d: str) -> DataFrame:
     """Guest quarterly panel x host quarterly panel on the row key (features first, then intersection)."""
-    g = q_quarterly_panel(spark, d).select("sid", "y", "y_avg", "year_y_avg")
-    return sp.key_intersection(g, _host_q(spark, d), "sid")
+    g = q_quarterly_panel(spark, d).select("sid", "id", "year", "quarter", "y", "y_avg", "year_y_avg")
+    j = sp.key_intersection(g, _host_q(spark, d), ["id", "year", "quarter"])
+    return j.select("sid", "y", "y_avg", "year_y_avg", "qty", "price", "net", "price_avg")
 
 
 SQL_BLIND = f"""
@@ -289,7 +290,7 @@ FROM ({SQL_QUARTERLY}) g JOIN ({SQL_HOST_PANEL}) h ON g.sid = h.sid
 def q_blinded_intersection(spark: SparkSession, d: str) -> DataFrame:
     """The same intersection on a salted SHA-256 of the key; raw keys are not carried."""
     g = q_quarterly_panel(spark, d).select("sid", "y")
-    h = _host_q(spark, d).select("sid", "price")
+    h = q_host_panel(spark, d).select("sid", "price")
     return sp.blinded_intersection(g, h, "sid", BLIND_SALT).select("bkey", "y", "price")
 
 
