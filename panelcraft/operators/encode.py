@@ -29,6 +29,11 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
     ``limit``) are ranked on the driver, more with one distributed global
     index over the distinct values.
     """
+    return _fit(df, cols, order_by)[0]
+
+
+def _fit(df: DataFrame, cols: list[str], order_by: list[str]) -> tuple[DataFrame, bool]:
+    """(dictionary, bounded): ``bounded`` when it has at most MAX_LOCAL_DICTIONARY rows."""
     cols = list(dict.fromkeys(cols))
     order = F.struct(*order_by)
     stacked = df.select(
@@ -40,12 +45,13 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
     first = stacked.groupBy("column", "value").agg(F.min("__o").alias("__first"))
     small = first.limit(MAX_LOCAL_DICTIONARY + 1).collect()
     if len(small) <= MAX_LOCAL_DICTIONARY:  # checked bound: rank the few distinct values on the driver
-        return _rank_locally(df.sparkSession, small)
+        return _rank_locally(df.sparkSession, small), True
     ranked = global_row_index(first, ["column", "__first"], "__idx")
-    base = ranked.groupBy("column").agg(F.min("__idx").alias("__base"))
-    return ranked.join(F.broadcast(base), "column").select(
+    base = ranked.groupBy("column").agg(F.min("__idx").alias("__base"))  # one row per column
+    d = ranked.join(F.broadcast(base), "column").select(
         "column", "value", (F.col("__idx") - F.col("__base")).cast("int").alias("code")
     )
+    return d, False
 
 
 def _null_first(struct) -> tuple:
@@ -69,15 +75,21 @@ def fit_dictionary(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
     return fit_dictionaries(df, [col], order_by).drop("column")
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, col: str, out: str | None = None, unseen: int = -1) -> DataFrame:
+def apply_dictionary(
+    df: DataFrame, dictionary: DataFrame, col: str, out: str | None = None, unseen: int = -1, broadcast: bool = False
+) -> DataFrame:
     """E2 transform: value -> code, ``unseen`` for values missing from the dictionary.
 
     ``dictionary`` is (value, code) or (column, value, code); values are text.
+    ``broadcast=True`` only for a dictionary with a proven size bound;
+    otherwise the planner and adaptive execution choose the join.
     """
     out = out or col
     if "column" in dictionary.columns:
         dictionary = dictionary.where(F.col("column") == F.lit(col))
     d = dictionary.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
+    if broadcast:
+        d = F.broadcast(d)
     j = df.join(d, df[col].cast("string").eqNullSafe(d["__v"]), "left")
     code = F.coalesce(F.col("__code"), F.lit(unseen)).cast("int")
     cols = [code.alias(out) if c == out else F.col(c) for c in df.columns]
@@ -89,10 +101,10 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, col: str, out: str |
 def factorize(df: DataFrame, cols: list[str], order_by: list[str], suffix: str = "") -> DataFrame:
     """Replace each column by its first-appearance code, fitted on ``df`` itself."""
     cols = list(dict.fromkeys(cols))  # a repeated column is coded once
-    d = fit_dictionaries(df, cols, order_by)
+    d, bounded = _fit(df, cols, order_by)
     out = df
     for c in cols:
-        out = apply_dictionary(out, d, c, c + suffix)
+        out = apply_dictionary(out, d, c, c + suffix, broadcast=bounded)
     return out
 
 
@@ -102,16 +114,17 @@ class DictionaryEncoder:
     def __init__(self, cols: list[str], order_by: list[str], unseen: int = -1, refit: bool = False):
         self.cols, self.order_by, self.unseen, self.refit = list(dict.fromkeys(cols)), order_by, unseen, refit
         self.dictionary: DataFrame | None = None
+        self.bounded = False
 
     def fit(self, df: DataFrame) -> DictionaryEncoder:
-        self.dictionary = fit_dictionaries(df, self.cols, self.order_by)
+        self.dictionary, self.bounded = _fit(df, self.cols, self.order_by)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        d = fit_dictionaries(df, self.cols, self.order_by) if self.refit else self.dictionary
+        d, bounded = _fit(df, self.cols, self.order_by) if self.refit else (self.dictionary, self.bounded)
         out = df
         for c in self.cols:
-            out = apply_dictionary(out, d, c, c, self.unseen)
+            out = apply_dictionary(out, d, c, c, self.unseen, broadcast=bounded)
         return out
 
 
