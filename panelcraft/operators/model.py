@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.regression import LinearRegression
@@ -59,7 +60,11 @@ def gbt_pipeline(
     cols = features
     if bin_features:
         stages.append(binning_stage(features, bin_features))
-        cols = [f + "_bin" for f in features]
+        # bin numbers are ordinal: the cast drops the nominal metadata the discretizer
+        # attaches, so trees split on bin thresholds instead of treating bins as categories
+        casts = ", ".join(f"CAST(`{f}_bin` AS DOUBLE) AS `{f}_ord`" for f in features)
+        stages.append(SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"))
+        cols = [f + "_ord" for f in features]
     stages.append(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"))
     stages.append(
         GBTRegressor(
