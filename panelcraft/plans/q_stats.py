@@ -301,8 +301,8 @@ n AS (SELECT COUNT(*) AS n FROM tr),
 k AS (SELECT unnest(range(1, {N_BINS})) AS i),
 e AS (SELECT DISTINCT tr.qty AS edge FROM tr, n, k WHERE tr.r = ((n.n - 1) * k.i) // {N_BINS}),
 b AS (SELECT x.*, CAST((SELECT COUNT(*) FROM e WHERE e.edge <= x.qty) AS INTEGER) AS qty_bin FROM x),
-w AS (SELECT qty_bin, SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS events,
-             SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS non_events FROM b GROUP BY qty_bin),
+w AS (SELECT qty_bin, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS events,
+             CAST(SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS non_events FROM b GROUP BY qty_bin),
 t AS (SELECT CAST(SUM(events) AS DOUBLE) AS et, CAST(SUM(non_events) AS DOUBLE) AS nt FROM w)"""
 
 

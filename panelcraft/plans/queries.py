@@ -93,7 +93,7 @@ def q_interval_monthly_sum(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_EXPLODED = f"""
 WITH f AS ({SQL_FACTS}),
-v AS (SELECT l_orderkey, l_linenumber, id, ms, me, {SQL_N} AS n_months, amt // {SQL_N} AS rate
+v AS (SELECT l_orderkey, l_linenumber, id, ms, me, CAST({SQL_N} AS INTEGER) AS n_months, amt // {SQL_N} AS rate
       FROM f WHERE ms <= me)
 SELECT l_orderkey, l_linenumber, id, n_months, rate / 1e8 AS rate,
        CAST(unnest(generate_series(ms, me, INTERVAL 1 MONTH)) AS DATE) AS month
