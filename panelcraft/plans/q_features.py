@@ -447,7 +447,7 @@ def q_dictionary_fit_transform(spark: SparkSession, d: str) -> DataFrame:
     )
     o = o.withColumns({"year_raw": F.col("year"), "priority_raw": F.col("o_orderpriority")})
     enc = DictionaryEncoder(["year", "o_orderpriority"], ["o_orderdate", "o_orderkey"])
-    enc.fit(o.where(F.col("o_orderdate") < F.lit(DICT_TRAIN_BEFORE).cast("timestamp")))
+    enc.fit(o.where(F.col("o_orderdate").cast("date") < F.to_date(F.lit(DICT_TRAIN_BEFORE))))
     return enc.transform(o).select("o_orderkey", "year_raw", "priority_raw", "year", "o_orderpriority")
 
 

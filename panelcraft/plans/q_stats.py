@@ -273,7 +273,7 @@ SELECT x.o_orderkey, CAST((SELECT COUNT(*) FROM e WHERE e.edge <= x.price) AS IN
 def q_quantile_bins_exact(spark: SparkSession, d: str) -> DataFrame:
     """E8 exact variant: decile edges fitted on the training period, applied to every order."""
     o = T(spark, d, "orders").select("o_orderkey", "o_orderdate", to_fixed("o_totalprice").alias("price"))
-    edges = fit_exact_bins(o.where(F.col("o_orderdate") < F.lit(BIN_TRAIN_BEFORE).cast("timestamp")), ["price"], N_BINS)
+    edges = fit_exact_bins(o.where(F.col("o_orderdate").cast("date") < F.to_date(F.lit(BIN_TRAIN_BEFORE))), ["price"], N_BINS)
     b = bucketizer(edges).transform(o)
     return b.select("o_orderkey", F.col("price_bin").cast("int").alias("price_bin"))
 
@@ -282,7 +282,7 @@ def q_quantile_bins_exact(spark: SparkSession, d: str) -> DataFrame:
 def q_quantile_bins_approx(spark: SparkSession, d: str) -> DataFrame:
     """E8 approximate: 500 bins, relative error 1e-3 (sketch), fitted on train, applied to all. Rows-only."""
     li = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate")
-    train = li.where(F.col("l_shipdate") < F.lit(BIN_TRAIN_BEFORE).cast("timestamp"))
+    train = li.where(F.col("l_shipdate").cast("date") < F.to_date(F.lit(BIN_TRAIN_BEFORE)))
     model = fit_approx_bins(train, ["l_extendedprice", "l_quantity"], 500, 1e-3)
     return model.transform(li).select("l_orderkey", "l_linenumber", "l_extendedprice_bin", "l_quantity_bin")
 
