@@ -12,7 +12,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from panelcraft.functions.aggregates import int_div
 from panelcraft.functions.aggregates import mean_expr
 from panelcraft.functions.scalar import in_period
 from panelcraft.functions.scalar import is_integral
@@ -94,11 +93,3 @@ def replace_tokens(df: DataFrame, cols: list[str], tokens: list, value) -> DataF
     return df.withColumns(
         {c: F.when(F.col(c).isin(*tokens), F.lit(value).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in cols}
     )
-
-
-def group_mean_div(df: DataFrame, col: str, by: list[str]):
-    """Helper for callers needing the fixed-point group mean as a column."""
-    w = Window.partitionBy(*by)
-    if is_integral(df, col):
-        return int_div(F.sum(col).over(w), F.count(col).over(w))
-    return F.avg(col).over(w)

@@ -46,7 +46,6 @@ from panelcraft.plans.q_features import SQL_GUEST
 from panelcraft.plans.q_features import guest_build
 from panelcraft.plans.q_stats import dbl
 from panelcraft.plans.queries import SQL_QUARTERLY
-from panelcraft.plans.queries import q_quarterly_panel
 from panelcraft.session import scratch_table_dir
 
 CENT = 10**6  # fixed-point units (1e-8) per cent
