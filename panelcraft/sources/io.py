@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.types import FloatType
 from pyspark.sql.types import StructField
 from pyspark.sql.types import StructType
 from pyspark.sql.types import StringType
@@ -29,14 +31,16 @@ def read_table(
     fmt: str = "csv",
     date_format: str | None = None,
     keep_corrupt: bool = False,
+    nan_as_null: bool = True,
 ) -> DataFrame:
     """Read with an explicit schema and keep the named columns.
 
     For CSV, DATE/TIMESTAMP fields in ``schema`` are parsed by the reader
     (``date_format`` if given); unparseable lines land in ``_corrupt_record``.
+    Floating NaN is turned into NULL (``nan_as_null``), see :func:`nan_to_null`.
     """
     if fmt == "csv":
-        full = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
+        full = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
         reader = spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
         if date_format:
@@ -46,7 +50,16 @@ def read_table(
             df = df.drop(CORRUPT)
     else:
         df = spark.read.schema(schema).format(fmt).load(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return nan_to_null(df) if nan_as_null else df
+
+
+def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Floating NaN -> NULL at ingestion, so ``avg`` skips it (NaN would poison it) and
+    comparisons behave (``NaN >= x`` is true in Spark)."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    targets = [c for c in (cols or floats) if c in floats]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in targets}) if targets else df
 
 
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
