@@ -270,6 +270,27 @@ def q_goss_boost_predict(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(g).select("sid", "label", "prediction", "split")
 
 
+@query("boosted_submission")
+def q_boosted_submission(spark: SparkSession, d: str) -> DataFrame:
+    """Section 3.3 end to end: guest x host features on the row key, boosted trees trained on the train
+    entities, validated on the test entities' known quarters, submission for their target quarter. Rows-only."""
+    from panelcraft.plans.q_features import TEST_SEGMENTS
+    from panelcraft.plans.q_features import host_build
+    from panelcraft.plans.training import train_predict_submit
+
+    guest = guest_build(spark, d).select(
+        "sid", *[c for c in FEATURES], F.col("y").alias("y")
+    )
+    host = host_build(spark, d).select("sid", "qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b")
+    test_ids = T(spark, d, "customer").where(F.col("c_mktsegment").isin(*TEST_SEGMENTS)).select("c_custkey")
+    run = train_predict_submit(
+        guest, host, test_ids, key="sid", label="y",
+        features=FEATURES + ["qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b"],
+        target=(TARGET_YEAR, TARGET_QUARTER),
+    )
+    return run.submission
+
+
 @query("gbt_history")
 def q_gbt_history(spark: SparkSession, d: str) -> DataFrame:
     """Squared loss per boosting iteration on the validation rows. Rows-only."""
