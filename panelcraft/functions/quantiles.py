@@ -48,8 +48,23 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None =
     for r in want:
         if r < 0 or r >= n:
             raise ValueError(f"rank {r} outside [0, {n})")
-    state = {r: (lo, hi, 0, n) for r in want}  # bracket lo, hi, rows below lo, rows in bracket
     result: dict[int, object] = {}
+    below, inside = 0, n
+    if isinstance(lo, float) and (math.isinf(lo) or math.isinf(hi)):
+        # infinities sit at the ends of the order: answer their ranks, bracket the finite values
+        inf = x.agg(
+            F.count(F.when(F.col("x") == F.lit(float("-inf")), 1)).alias("neg"),
+            F.count(F.when(F.col("x") == F.lit(float("inf")), 1)).alias("pos"),
+            F.min(F.when(~F.col("x").isin(float("inf"), float("-inf")), F.col("x"))).alias("flo"),
+            F.max(F.when(~F.col("x").isin(float("inf"), float("-inf")), F.col("x"))).alias("fhi"),
+        ).first()
+        for r in want:
+            if r < inf["neg"]:
+                result[r] = float("-inf")
+            elif r >= n - inf["pos"]:
+                result[r] = float("inf")
+        below, inside, lo, hi = inf["neg"], n - inf["neg"] - inf["pos"], inf["flo"], inf["fhi"]
+    state = {r: (lo, hi, below, inside) for r in want if r not in result}  # bracket lo, hi, rows below lo, rows in it
     for _ in range(MAX_PASSES):
         for r, (blo, bhi, _, _) in state.items():
             if r not in result and blo == bhi:
@@ -81,11 +96,12 @@ def _histograms(x: DataFrame, brackets: list[tuple]) -> list[list[tuple]]:
     tags = []
     for j, (blo, bhi) in enumerate(brackets):
         inside = (F.col("x") >= F.lit(blo)) & (F.col("x") <= F.lit(bhi))
-        width = float(bhi) - float(blo)
-        pos = (F.col("x").cast("double") - F.lit(float(blo))) / F.lit(width) * F.lit(float(BINS))
+        # halves keep the width finite for brackets spanning most of the double range
+        width = float(bhi) * 0.5 - float(blo) * 0.5
+        pos = (F.col("x").cast("double") * F.lit(0.5) - F.lit(float(blo) * 0.5)) / F.lit(width) * F.lit(float(BINS))
         b = F.least(F.floor(pos), F.lit(BINS - 1)).cast("int")
         tags.append(F.when(inside, F.struct(F.lit(j).alias("j"), b.alias("b"))))
-    tagged = x.select("x", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
+    tagged = x.select("x", F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull())
     rows = (
         tagged.groupBy("t.j", "t.b")
         .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
@@ -107,8 +123,8 @@ def _resolve_directly(x: DataFrame, small: dict[int, tuple], result: dict[int, o
         cond = c if cond is None else cond | c
     vals = sorted(r["x"] for r in x.where(cond).collect())  # each bracket holds <= DIRECT rows
     for r, (blo, bhi, below, _) in small.items():
-        inside = [v for v in vals if blo <= v <= bhi]
-        result[r] = inside[r - below]
+        in_bracket = [v for v in vals if blo <= v <= bhi]
+        result[r] = in_bracket[r - below]
 
 
 def count_non_null(df: DataFrame, col: str) -> tuple[int, object, object]:

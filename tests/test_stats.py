@@ -126,3 +126,12 @@ def test_column_stats_and_near_constant(spark):
     assert st["c"].skewness is None and st["c"].cv == 0.0
     nc = {r.column: r.keep for r in near_constant(df, ["a", "c"]).collect()}
     assert nc == {"a": True, "c": False}
+
+
+def test_order_statistics_extremes(spark, monkeypatch):
+    monkeypatch.setattr(qmod, "DIRECT", 3)
+    vals = [float("-inf"), -1e308, -1.0, 0.0, 0.0, 2.5, 1e308, float("inf"), float("inf")] * 3
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    srt = sorted(vals)
+    got = qmod.order_statistics(df, "x", list(range(len(vals))))
+    assert [got[r] for r in range(len(vals))] == srt
