@@ -9,6 +9,8 @@ refusing more than ``max_categories`` of them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ from panelcraft.operators.ordering import global_row_index
 MAX_LOCAL_DICTIONARY = 50_000
 
 
+# Per-column dictionaries up to this size are applied as a literal map expression
+# (a projection: no join, no broadcast job); larger ones by a join.
+MAX_LITERAL_MAP = 1000
+
+
+@dataclass
+class Fitted:
+    frame: DataFrame  # (column, value, code)
+    bounded: bool  # at most MAX_LOCAL_DICTIONARY rows: safe to broadcast
+    local: dict[str, dict] | None = None  # column -> {value text or None: code}, when ranked on the driver
+
+
 def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
     """E1 fit for several columns in one pass: (column, value, code).
 
@@ -29,11 +43,10 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
     ``limit``) are ranked on the driver, more with one distributed global
     index over the distinct values.
     """
-    return _fit(df, cols, order_by)[0]
+    return _fit(df, cols, order_by).frame
 
 
-def _fit(df: DataFrame, cols: list[str], order_by: list[str]) -> tuple[DataFrame, bool]:
-    """(dictionary, bounded): ``bounded`` when it has at most MAX_LOCAL_DICTIONARY rows."""
+def _fit(df: DataFrame, cols: list[str], order_by: list[str]) -> Fitted:
     cols = list(dict.fromkeys(cols))
     order = F.struct(*order_by)
     stacked = df.select(
@@ -45,13 +58,14 @@ def _fit(df: DataFrame, cols: list[str], order_by: list[str]) -> tuple[DataFrame
     first = stacked.groupBy("column", "value").agg(F.min("__o").alias("__first"))
     small = first.limit(MAX_LOCAL_DICTIONARY + 1).collect()
     if len(small) <= MAX_LOCAL_DICTIONARY:  # checked bound: rank the few distinct values on the driver
-        return _rank_locally(df.sparkSession, small), True
+        frame, local = _rank_locally(df.sparkSession, small)
+        return Fitted(frame, True, local)
     ranked = global_row_index(first, ["column", "__first"], "__idx")
     base = ranked.groupBy("column").agg(F.min("__idx").alias("__base"))  # one row per column
     d = ranked.join(F.broadcast(base), "column").select(
         "column", "value", (F.col("__idx") - F.col("__base")).cast("int").alias("code")
     )
-    return d, False
+    return Fitted(d, False)
 
 
 def _null_first(struct) -> tuple:
@@ -59,15 +73,26 @@ def _null_first(struct) -> tuple:
     return tuple((0,) if v is None else (1, v) for v in struct)
 
 
-def _rank_locally(spark, firsts: list) -> DataFrame:
+def _rank_locally(spark, firsts: list) -> tuple[DataFrame, dict[str, dict]]:
     by_col: dict[str, list] = {}
     for r in firsts:
         by_col.setdefault(r["column"], []).append((_null_first(r["__first"]), r["value"]))
-    out = []
+    out, local = [], {}
     for c, items in by_col.items():
         items.sort(key=lambda t: t[0])
+        local[c] = {v: i for i, (_, v) in enumerate(items)}
         out += [(c, v, i) for i, (_, v) in enumerate(items)]
-    return spark.createDataFrame(out, "column string, value string, code int")
+    return spark.createDataFrame(out, "column string, value string, code int"), local
+
+
+def _map_lookup(df: DataFrame, col: str, out: str, codes: dict, unseen: int) -> DataFrame:
+    """Dictionary lookup as a projection: literal map of value text -> code (NULL has its own code)."""
+    pairs = [x for v, c in codes.items() if v is not None for x in (F.lit(v), F.lit(c))]
+    key = F.col(col).cast("string")
+    hit = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
+    null_code = codes.get(None)
+    code = F.when(key.isNull(), F.lit(null_code if null_code is not None else unseen)).otherwise(F.coalesce(hit, F.lit(unseen)))
+    return df.withColumn(out, code.cast("int"))
 
 
 def fit_dictionary(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
@@ -76,15 +101,25 @@ def fit_dictionary(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
 
 
 def apply_dictionary(
-    df: DataFrame, dictionary: DataFrame, col: str, out: str | None = None, unseen: int = -1, broadcast: bool = False
+    df: DataFrame,
+    dictionary: DataFrame,
+    col: str,
+    out: str | None = None,
+    unseen: int = -1,
+    broadcast: bool = False,
+    local: dict | None = None,
 ) -> DataFrame:
     """E2 transform: value -> code, ``unseen`` for values missing from the dictionary.
 
     ``dictionary`` is (value, code) or (column, value, code); values are text.
-    ``broadcast=True`` only for a dictionary with a proven size bound;
+    ``local`` ({value: code}, known on the driver) of at most
+    ``MAX_LITERAL_MAP`` entries is applied as a map expression instead of a
+    join. ``broadcast=True`` only for a dictionary with a proven size bound;
     otherwise the planner and adaptive execution choose the join.
     """
     out = out or col
+    if local is not None and len(local) <= MAX_LITERAL_MAP:
+        return _map_lookup(df, col, out, local, unseen)
     if "column" in dictionary.columns:
         dictionary = dictionary.where(F.col("column") == F.lit(col))
     d = dictionary.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
@@ -101,10 +136,10 @@ def apply_dictionary(
 def factorize(df: DataFrame, cols: list[str], order_by: list[str], suffix: str = "") -> DataFrame:
     """Replace each column by its first-appearance code, fitted on ``df`` itself."""
     cols = list(dict.fromkeys(cols))  # a repeated column is coded once
-    d, bounded = _fit(df, cols, order_by)
+    f = _fit(df, cols, order_by)
     out = df
     for c in cols:
-        out = apply_dictionary(out, d, c, c + suffix, broadcast=bounded)
+        out = apply_dictionary(out, f.frame, c, c + suffix, broadcast=f.bounded, local=(f.local or {}).get(c))
     return out
 
 
@@ -114,17 +149,18 @@ class DictionaryEncoder:
     def __init__(self, cols: list[str], order_by: list[str], unseen: int = -1, refit: bool = False):
         self.cols, self.order_by, self.unseen, self.refit = list(dict.fromkeys(cols)), order_by, unseen, refit
         self.dictionary: DataFrame | None = None
-        self.bounded = False
+        self.fitted: Fitted | None = None
 
     def fit(self, df: DataFrame) -> DictionaryEncoder:
-        self.dictionary, self.bounded = _fit(df, self.cols, self.order_by)
+        self.fitted = _fit(df, self.cols, self.order_by)
+        self.dictionary = self.fitted.frame
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        d, bounded = _fit(df, self.cols, self.order_by) if self.refit else (self.dictionary, self.bounded)
+        f = _fit(df, self.cols, self.order_by) if self.refit else self.fitted
         out = df
         for c in self.cols:
-            out = apply_dictionary(out, d, c, c, self.unseen, broadcast=bounded)
+            out = apply_dictionary(out, f.frame, c, c, self.unseen, broadcast=f.bounded, local=(f.local or {}).get(c))
         return out
 
 

@@ -107,3 +107,14 @@ def test_factorize_distributed_path_matches_local(spark, monkeypatch):
     monkeypatch.setattr(encode, "MAX_LOCAL_DICTIONARY", 1)
     dist = rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"))
     assert dist == local
+
+
+def test_literal_map_and_join_paths_agree(spark, monkeypatch):
+    from panelcraft.operators import encode
+
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else f"v{i % 13}", i % 5) for i in range(200)], "pos int, a string, b int")
+    train, test = df.where("pos < 120"), df.where("pos >= 100")
+    as_map = rows(DictionaryEncoder(["a", "b"], ["pos"]).fit(train).transform(test))
+    monkeypatch.setattr(encode, "MAX_LITERAL_MAP", 0)
+    as_join = rows(DictionaryEncoder(["a", "b"], ["pos"]).fit(train).transform(test))
+    assert as_map == as_join
