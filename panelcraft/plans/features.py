@@ -34,6 +34,10 @@ def prepare_register(register: DataFrame, id_col: str, order_by: list[str] | Non
     return first_row(register, [id_col], order_by) if order_by else register
 
 
+# Default filing aggregates of the test mapping: output -> (aggregate, filings column).
+DEFAULT_FILING_AGGS = {"month_amount": ("mean", "price"), "prio": ("max", "prio"), "status": ("max", "status")}
+
+
 def guest_features(
     payments: DataFrame,
     filings: DataFrame,
@@ -46,35 +50,42 @@ def guest_features(
     register_order: list[str] | None = None,
     capital: str = "capital",
     register_categories: list[str] = (),
+    filing_aggs: dict[str, tuple[str, str]] | None = None,
+    filled: list[str] = ("month_amount",),
+    averaged: list[str] = ("month_amount",),
 ) -> DataFrame:
-    """Guest build. Inputs (column names fixed, values fixed-point where money):
+    """Guest build. Inputs (values fixed-point where money):
 
-    payments (id, start, end, amount); filings (id, date, price, prio, status);
+    payments (id, start, end, amount); filings (id, date, *filing columns);
     register (id, capital, *register_categories).
+
+    ``filing_aggs`` are the monthly filing aggregates (A2); those in
+    ``filled`` are gap-filled with the id mean (W1), the others (codes) are
+    summed over the quarter with gaps as 0 and then dictionary-coded (E1);
+    ``averaged`` also get seasonal and yearly means (W2, W3).
     """
-    filing_facts = PointFacts(
-        filings, "id", "date", {"month_amount": ("mean", "price"), "prio": ("max", "prio"), "status": ("max", "status")}
-    )
+    aggs = dict(filing_aggs or DEFAULT_FILING_AGGS)
+    codes = [c for c in aggs if c not in filled]
+    filing_facts = PointFacts(filings, "id", "date", aggs)
     monthly = monthly_panel(payments, lo=lo, hi=hi, value="y", points=[filing_facts])
+    means = {"y_avg": ("y", ["id", "quarter"]), "year_y_avg": ("y", ["id", "year"])}
+    for c in averaged:
+        means[f"{c}_avg"] = (c, ["id", "quarter"])
+        means[f"year_{c}_avg"] = (c, ["id", "year"])
     q = quarterly_from_monthly(
         monthly,
         value="y",
-        fill_cols=["month_amount"],
-        sum_cols=["prio", "status"],
+        fill_cols=list(filled),
+        sum_cols=codes,
         mask=target if mask else None,
-        means={
-            "y_avg": ("y", ["id", "quarter"]),
-            "year_y_avg": ("y", ["id", "year"]),
-            "month_amount_avg": ("month_amount", ["id", "quarter"]),
-            "year_month_amount_avg": ("month_amount", ["id", "year"]),
-        },
+        means=means,
     )
     reg = prepare_register(register, "id", register_order).select("id", capital, *register_categories)
     q = q.join(reg, "id", "left")  # J6
     q = q.withColumn("split", tag_split("year", "quarter", *target))
     q = _materialise(q)
     q = replace_zero_with_mean(q, capital)  # O6
-    cats = ["year", "quarter", "prio", "status", *register_categories]
+    cats = ["year", "quarter", *codes, *register_categories]
     return factorize(q, cats, ["id", "year", "quarter"])
 
 
