@@ -35,11 +35,13 @@ HEADLINE = [
     "describe_price",
     "zscore",
     "quantile_bins_exact",
+    "quantile_bins_approx",
     "outlier_filter",
     "regression_metrics",
     "error_report",
     "kfold_ids",
     "gbt_predict",
+    "gbt_lineitem",
 ]
 
 

@@ -20,6 +20,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.operators.model import spread
 from panelcraft.operators.split import goss_sample
 from panelcraft.session import materialise
 
@@ -59,7 +60,7 @@ def goss_boost(
 ) -> tuple[GossModel, list[float]]:
     """Fit boosted trees with GOSS; returns (model, training MSE after each tree)."""
     x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(
-        train.select(key, *features, F.col(label).cast("double").alias("__y"))
+        spread(train.select(key, *features, F.col(label).cast("double").alias("__y")))
     )
     init = x.agg(F.avg("__y")).first()[0] or 0.0
     work = x.select(key, "__x", "__y", F.lit(init).alias("__p"))

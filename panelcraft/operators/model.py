@@ -27,6 +27,26 @@ from pyspark.sql import functions as F
 from panelcraft.operators.scale import feature_scale_stages
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Training input with at least the session's default parallelism in partitions.
+
+    Iterative learners run every pass with the input's partitioning; an input
+    read from a few large files would otherwise train in a few tasks. A frame
+    that is already spread out is returned unchanged (no shuffle).
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit a pipeline on a spread-out, cached copy of ``df`` (the cache is released afterwards)."""
+    data = spread(df).cache()
+    try:
+        return pipeline.fit(data)
+    finally:
+        data.unpersist()
+
+
 def typed_label(df: DataFrame, label: str, out: str = "label") -> DataFrame:
     """Label column as DOUBLE (a party without a label simply has none)."""
     return df.withColumn(out, F.col(label).cast("double"))
