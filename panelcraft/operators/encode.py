@@ -9,10 +9,15 @@ refusing more than ``max_categories`` of them.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+from pyspark.sql.types import DateType
+from pyspark.sql.types import FractionalType
+from pyspark.sql.types import IntegralType
 
 from panelcraft.operators.ordering import global_row_index
 
@@ -165,14 +170,32 @@ class DictionaryEncoder:
 
 
 def fit_one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000) -> dict[str, list]:
-    """E3 fit: sorted distinct non-NULL values per column (bounded, checked)."""
-    out = {}
-    for c in cols:
-        vals = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_categories + 1).collect()
-        if len(vals) > max_categories:
+    """E3 fit: sorted distinct non-NULL values per column, all columns in one pass (bounded, checked)."""
+    stacked = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("e")
+    ).select("e.c", "e.v").where(F.col("v").isNotNull()).distinct()
+    limit = max_categories * len(cols) + 1
+    found = stacked.limit(limit).collect()
+    by_col: dict[str, set] = {c: set() for c in cols}
+    for r in found:
+        by_col[r["c"]].add(r["v"])
+    for c, vals in by_col.items():
+        if len(vals) > max_categories or len(found) >= limit:
             raise ValueError(f"{c}: more than {max_categories} categories; use vector encoding instead")
-        out[c] = sorted(r[0] for r in vals)
-    return out
+    return {c: sorted(_from_text(v, df.schema[c].dataType) for v in by_col[c]) for c in cols}
+
+
+def _from_text(v: str, t):
+    """A value's text form (as Spark casts it) back to the column's Python type, for literals."""
+    if isinstance(t, IntegralType):
+        return int(v)
+    if isinstance(t, FractionalType):
+        return float(v)
+    if isinstance(t, BooleanType):
+        return v == "true"
+    if isinstance(t, DateType):
+        return dt.date.fromisoformat(v)
+    return v
 
 
 def one_hot_name(col: str, value) -> str:

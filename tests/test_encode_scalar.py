@@ -118,3 +118,11 @@ def test_literal_map_and_join_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(encode, "MAX_LITERAL_MAP", 0)
     as_join = rows(DictionaryEncoder(["a", "b"], ["pos"]).fit(train).transform(test))
     assert as_map == as_join
+
+
+def test_one_hot_numeric_and_string_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2.5), (2, "b", 2.5), (3, "a", 4.0)], "k int, s string, x double")
+    fitted = fit_one_hot(df, ["k", "s", "x"])
+    assert fitted == {"k": [1, 2, 3], "s": ["a", "b"], "x": [2.5, 4.0]}
+    out = one_hot(df, fitted).orderBy("k_1", "k_2").collect()
+    assert sum(r.x_2_5 if hasattr(r, "x_2_5") else r["x_2.5"] for r in out) == 2
