@@ -333,9 +333,10 @@ def q_logistic_quality(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(x).select("doc_id", "label", "prediction", "probability")
 
 
-@query("feature_export")
+@query("feature_export", f"SELECT split, COUNT(*) AS rows FROM ({SQL_GUEST}) GROUP BY split")
 def q_feature_export(spark: SparkSession, d: str) -> DataFrame:
-    """S5 + S9: guest features written partitioned by split and read back; submission written headerless. Rows-only."""
+    """S5 + S9: guest features written partitioned by split and read back (rows per split); the
+    submission is written headerless."""
     from panelcraft.sources.io import export_headerless
     from panelcraft.sources.io import write_features
 
