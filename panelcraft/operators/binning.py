@@ -89,3 +89,44 @@ def information_value(df: DataFrame, bin_cols: list[str], label: str, adjustment
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _iv_part(e: float, ne: float, e_t: float, ne_t: float, a: float) -> float:
+    pe, pn = (e + a) / e_t, (ne + a) / ne_t
+    return (pe - pn) * math.log(pe / pn)
+
+
+def fit_iv_merge(df: DataFrame, bin_col: str, label: str, target_bins: int, adjustment: float = 0.5) -> dict[int, int]:
+    """E9 merge step: adjacent initial bins merged greedily, each step the merge losing the least IV.
+
+    The fit aggregates event / non-event counts per initial bin (one row per
+    bin, bounded by the initial bin count), merges on the driver, and returns
+    ``{initial bin: merged bin}`` (merged bins numbered from 0 in order).
+    """
+    rows = sorted(
+        (r[0], r[1], r[2])
+        for r in woe_table(df, bin_col, label, adjustment).select(bin_col, "events", "non_events").collect()
+    )
+    e_t = float(sum(r[1] for r in rows)) or 1.0
+    ne_t = float(sum(r[2] for r in rows)) or 1.0
+    groups = [[b] for b, _, _ in rows]
+    ev = [float(e) for _, e, _ in rows]
+    nev = [float(n) for _, _, n in rows]
+    while len(groups) > max(1, target_bins):
+        best, best_loss = 0, None
+        for i in range(len(groups) - 1):
+            before = _iv_part(ev[i], nev[i], e_t, ne_t, adjustment) + _iv_part(ev[i + 1], nev[i + 1], e_t, ne_t, adjustment)
+            after = _iv_part(ev[i] + ev[i + 1], nev[i] + nev[i + 1], e_t, ne_t, adjustment)
+            loss = before - after
+            if best_loss is None or loss < best_loss:
+                best, best_loss = i, loss
+        groups[best : best + 2] = [groups[best] + groups[best + 1]]
+        ev[best : best + 2] = [ev[best] + ev[best + 1]]
+        nev[best : best + 2] = [nev[best] + nev[best + 1]]
+    return {b: k for k, g in enumerate(groups) for b in g}
+
+
+def apply_bin_merge(df: DataFrame, bin_col: str, mapping: dict[int, int], out: str | None = None) -> DataFrame:
+    """Map initial bins to merged bins (a literal map: the mapping is bounded by the initial bin count)."""
+    pairs = [x for b, k in mapping.items() for x in (F.lit(float(b)), F.lit(k))]
+    return df.withColumn(out or bin_col, F.try_element_at(F.create_map(*pairs), F.col(bin_col).cast("double")))

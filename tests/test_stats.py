@@ -135,3 +135,23 @@ def test_order_statistics_extremes(spark, monkeypatch):
     srt = sorted(vals)
     got = qmod.order_statistics(df, "x", list(range(len(vals))))
     assert [got[r] for r in range(len(vals))] == srt
+
+
+def test_iv_merge(spark):
+    from panelcraft.operators.binning import apply_bin_merge
+    from panelcraft.operators.binning import fit_iv_merge
+    from panelcraft.operators.binning import information_value
+
+    # label depends on x through three plateaus: 10 deciles should merge back to 3 groups
+    df = spark.createDataFrame([(float(v), 1 if (v < 30 and v % 5 == 0) or (v >= 70 and v % 5 != 0) else 0) for v in range(100)],
+                               "x double, y int")
+    b = bucketizer(fit_exact_bins(df, ["x"], 10)).transform(df)
+    mapping = fit_iv_merge(b, "x_bin", "y", 3)
+    assert sorted(set(mapping.values())) == [0, 1, 2]
+    assert [mapping[k] for k in sorted(mapping)] == sorted(mapping[k] for k in sorted(mapping))  # adjacent groups
+    # the three plateaus of the label are recovered: deciles 0-2, 3-6, 7-9
+    assert [mapping[k] for k in range(10)] == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
+    merged = apply_bin_merge(b, "x_bin", mapping, "x_m")
+    # edges sit at ranks floor(99 i / 10) = 9, 19, ..., so the first group is x in [0, 28]
+    assert sorted(r["count"] for r in merged.groupBy("x_m").count().collect()) == [29, 31, 40]
+    assert information_value(merged, ["x_m"], "y").first()["iv"] > 0
