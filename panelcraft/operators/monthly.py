@@ -118,6 +118,13 @@ def monthly_panel(
     id_out: str = "id",
     month_out: str = "month",
 ) -> DataFrame:
+    """Spine of every id x every month of [lo, hi] with the prorated interval value and point aggregates.
+
+    ``intervals`` (id_col, start, end, amount) may be None when a point source
+    has ``defines_ids``; ``value`` is NULL for months no valid interval covers
+    (inverted or incomplete intervals only register their id, see the
+    quarantine of ``operators.interval``). Output is hash-partitioned by id.
+    """
     points = points or []
     lo_d, hi_d = F.to_date(F.lit(lo)), F.to_date(F.lit(hi))
     parts = [] if intervals is None else [_interval_rows(intervals, id_col, start, end, amount, lo_d, hi_d)]
@@ -142,7 +149,7 @@ def monthly_panel(
             else:
                 agg_exprs.append(exprs[0].alias(col_name))
             out_cols.append((out, col_name, kind == "mean" and integ, present))
-        src_df = p.df.select(F.col(p.id_col).alias("_id"), m.alias("_m0"), *[F.col(c) for c in {c for _, c in p.aggs.values()}])
+        src_df = p.df.select(F.col(p.id_col).alias("_id"), m.alias("_m0"), *[F.col(c) for c in dict.fromkeys(c for _, c in p.aggs.values())])
         in_range = F.col("_m0").isNotNull() & (F.col("_m0") >= lo_d) & (F.col("_m0") <= hi_d)
         shaped = src_df.where(F.col("_id").isNotNull()).select("_id", in_range.alias("_in"), *fields)
         if p.defines_ids:
