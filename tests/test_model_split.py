@@ -87,3 +87,15 @@ def test_goss_boost_learns(spark):
     pred = model.transform(df)
     mse = pred.agg(F.avg((F.col("prediction") - F.col("label")) ** 2)).first()[0]
     assert abs(mse - hist[-1]) < 1e-6 * max(1.0, var)
+
+
+def test_train_predict_submit(spark):
+    q = E.queries()
+    sub = q["boosted_submission"](spark, SMOKE)
+    rows_ = sub.collect()
+    assert sub.columns == ["id", "predict_result"] and rows_
+    test_ids = {r.c_custkey for r in spark.read.parquet(f"{SMOKE}/customer.parquet")
+                .where(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")).collect()}
+    ids = [r.id for r in rows_]
+    assert len(ids) == len(set(ids)) and set(ids) <= test_ids  # one target-quarter row per test entity
+    assert all(r.predict_result is not None for r in rows_)
