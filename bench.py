@@ -22,6 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from panelcraft.plans import catalog  # noqa: E402
 from panelcraft.session import build_session  # noqa: E402
+from panelcraft.session import release_materialised  # noqa: E402
 
 HEADLINE = [
     "quarterly_panel",
@@ -79,6 +80,7 @@ def main() -> None:
         "warmup_sec": warmup,
     }
     print(json.dumps(out))
+    release_materialised(spark)  # every result has been consumed
     spark.stop()
 
 

@@ -83,4 +83,26 @@ def materialise(df, name: str = "stage"):
     """
     path = scratch_table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _MATERIALISED.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_MATERIALISED: list[str] = []
+
+
+def release_materialised(spark: SparkSession) -> int:
+    """Delete the tables :func:`materialise` wrote in this process; returns how many were removed.
+
+    Call only once every DataFrame read from them has been consumed (lazy
+    frames read the files when they run). Deletion goes through the cluster's
+    Hadoop file system, so it works for any shared checkpoint folder.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _MATERIALISED:
+        p = jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            removed += int(bool(fs.delete(p, True)))
+    return removed

@@ -62,3 +62,17 @@ def test_hot_key_first_row(spark):
     df = spark.createDataFrame(data, "k long, o long").repartition(5)
     got = {r.k: r.o for r in first_row(df, ["k"], ["o"]).collect()}
     assert got[0] == 0 and len(got) == 2001
+
+
+def test_release_materialised(spark):
+    import os
+
+    from panelcraft.session import materialise
+    from panelcraft.session import release_materialised
+
+    m = materialise(spark.range(100), "release-test")
+    assert m.count() == 100
+    path = m.inputFiles()[0].split("release-test")[0]
+    assert release_materialised(spark) >= 1
+    left = [d for d in os.listdir(path.replace("file:", "")) if d.startswith("release-test")]
+    assert left == []
