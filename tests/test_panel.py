@@ -85,3 +85,30 @@ def test_monthly_panel_equals_spine_join(spark):
         points=[PointFacts(pts.repartition(5), "id", "d", {"vm": ("mean", "v"), "cmode": ("mode", "c"), "n": ("count", "v")})],
     )
     assert rows(fused2, *cols) == rows(fused, *cols)
+
+
+def test_host_codes_mode_and_summed_parity(spark):
+    from panelcraft.plans.features import host_panel
+
+    # Jan: codes 2,2,3 (mode 2); Feb: 5 (mode 5); Mar: none
+    bills = spark.createDataFrame(
+        [(1, D(2021, 1, 5), 1, 10, 9, 2, "a"), (1, D(2021, 1, 9), 1, 10, 9, 2, "a"), (1, D(2021, 1, 20), 1, 10, 9, 3, "b"),
+         (1, D(2021, 2, 3), 1, 10, 9, 5, "b")],
+        "id long, date date, qty long, price long, net long, code_a int, code_b string",
+    )
+    sane = host_panel(bills, lo="2021-01-01", hi="2021-03-01").first()
+    assert sane.code_a == 2 and sane.code_b == "a"  # quarter mode of the monthly modes (tie -> smallest)
+    assert sane.qty == 3 + 1 + 2 and sane.net == 36  # qty gaps filled with the id mean (2), net gaps count 0
+    parity = host_panel(bills.drop("code_b").withColumn("code_b", F.lit(1)), lo="2021-01-01", hi="2021-03-01",
+                        summed_codes=True).first()
+    assert parity.code_a == 2 + 5  # the reference quirk: monthly mode codes summed over the quarter
+
+
+def test_key_intersection_checks_uniqueness(spark):
+    import pytest
+
+    left = spark.createDataFrame([("k1", 1), ("k1", 2)], "sid string, a int")
+    right = spark.createDataFrame([("k1", 3)], "sid string, b int")
+    with pytest.raises(ValueError):
+        sp.key_intersection(left, right, "sid", check_unique=True)
+    assert sp.key_intersection(left.limit(1), right, "sid", check_unique=True).count() == 1
