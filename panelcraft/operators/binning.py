@@ -106,7 +106,7 @@ def fit_iv_merge(df: DataFrame, bin_col: str, label: str, target_bins: int, adju
     rows = sorted(
         (r[0], r[1], r[2])
         for r in woe_table(df, bin_col, label, adjustment).select(bin_col, "events", "non_events").collect()
-    )
+    )  # one row per initial bin: bounded by the initial bin count
     e_t = float(sum(r[1] for r in rows)) or 1.0
     ne_t = float(sum(r[2] for r in rows)) or 1.0
     groups = [[b] for b, _, _ in rows]
