@@ -119,3 +119,16 @@ def test_approx_bins_monotone_and_balanced(spark, q):
         counts[k] = counts.get(k, 0) + 1
     # each of the ~500 buckets holds about n/500 rows; the sketch's rank error is 1e-3 * n on each edge
     assert max(counts.values()) <= n / 500 + 2 * 1e-3 * n + 3
+
+
+def test_results_independent_of_session_time_zone(spark, q):
+    from tests.conftest import rows
+
+    names = ["quarterly_panel", "compact_month_parse", "dictionary_fit_transform"]
+    base = {n: rows(q[n](spark, D)) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        assert {n: rows(q[n](spark, D)) for n in names} == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
