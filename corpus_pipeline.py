@@ -2,16 +2,71 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame that is written as Parquet and reread as the next
-one's ``docs``. ``run`` applies them to ``documents``.
+one's ``docs``. ``run`` applies them to ``documents``. Rows with a null id pass
+the near-duplicate and benchmark stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcraft.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from panelcraft.llm._id_filter import without_ids
+from panelcraft.llm.queries import MIX_BLOCK, MIX_PERIOD, SHARD_BYTES, held_out
 from panelcraft.session import materialise
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, usable=lambda doc_id: ~held_out(doc_id))
+    return toxicity.harmless(docs, model, threshold=0.3)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, the smallest id."""
+    groups = ngram_join.similar_groups(docs, n=5, percent=80)
+    return without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a 10-word window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(docs, items, n=10)
+    return without_ids(docs, found.where("n_hit > 0"))
+
+
+def _positions(docs: DataFrame) -> DataFrame:
+    """Each id's place in the mixture."""
+    mixed = mixing.mix(docs, mixing.temperature_weights(docs, MIX_PERIOD), block_rows=MIX_BLOCK)
+    return mixed.groupBy(F.col("doc_id").alias("id")).agg(F.min("position").alias("position"))
+
+
+def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the mixture."""
+    placed = docs.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("id")))
+    return placed.orderBy("position").select(*docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's shard, and its place in the mixture as the reading order within the shard.
+
+    Parquet files keep no order that a later reader could rely on, so the
+    place is worked out again from the same schedule.
+    """
+    sharded = sharding.shards(docs, max_bytes=SHARD_BYTES)
+    placed = sharded.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("id")))
+    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", "position")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark),
+    ("mixing", interleave_sources),
+    ("sharding", assign_shards),
+]
 
 #: learned scores and positional matching are beyond SQL; tests/llm compares with brute force
 ORACLE_SQL = None

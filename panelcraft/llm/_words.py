@@ -87,6 +87,9 @@ def split_words(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), starts.astype(np.int64), coded.dictionary)
 
 
+MASK = (1 << 64) - 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer on unsigned 64-bit integers (wraps on purpose)."""
     x = x ^ (x >> np.uint64(30))
@@ -97,26 +100,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all n-word windows, and the index of the text of each.
+    """64-bit hashes of all n-word windows, text by text, and where each text's begin.
 
     A text of fewer than ``n`` words, but not none, is one window by itself.
     """
-    h = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
     counts = words.counts
     windows = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(words)), windows)
-    first = np.repeat(words.starts[:-1], windows) + _ranks(windows)
-    length = np.minimum(counts, n)[owner]
-    acc = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(n):
-        inside = k < length
-        at = np.where(inside, first + k, 0)
-        term = mix64(h[at] + np.uint64((k + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) if len(h) else acc
-        acc = np.where(inside, acc * np.uint64(0xD6E8FEB86659FD93) + term, acc)
-    return mix64(acc), owner
-
-
-def _ranks(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ..., size - 1 for each size, concatenated."""
-    total = int(sizes.sum())
-    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cuts = np.concatenate([[0], np.cumsum(windows)])
+    if not len(words.codes):
+        return np.zeros(0, np.uint64), cuts
+    h = words.hashes()
+    acc = np.zeros(len(words.codes) + n, np.uint64)
+    for k in range(n):  # window at i: sum of position-dependent hashes of words i to i + n - 1
+        acc[: len(words.codes) - k] += mix64(h + np.uint64((k + 1) * 0x632BE59BD9B4E019 & MASK))[words.codes[k:]]
+    first = np.repeat(words.starts[:-1] - cuts[:-1], windows) + np.arange(cuts[-1])
+    out = mix64(acc[first] + np.uint64(n * 0x9E3779B97F4A7C15 & MASK))
+    for i in np.flatnonzero((counts > 0) & (counts < n)):
+        size = int(counts[i])
+        own = h[words.codes[words.starts[i] : words.starts[i + 1]]]
+        total = sum(int(x) for x in mix64(own + np.arange(1, size + 1).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)))
+        out[cuts[i]] = mix64(np.array([(total + size * 0x9E3779B97F4A7C15) & MASK], np.uint64))[0]
+    return out, cuts

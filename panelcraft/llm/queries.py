@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, token_counts, toxicity, vector_topk
+from panelcraft.llm import decontaminate, mixing, ngram_join, sharding, token_counts, toxicity, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,90 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: the hash of op3 and op4 in DuckDB
+HASH_SQL = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT"
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard; shards hold 1 MiB of text at most."""
+    return sharding.shards(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
+
+
+ORACLE["op3_sharding"] = f"""
+WITH d AS (
+  SELECT doc_id, {HASH_SQL} AS h, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes FROM documents
+), grid AS (
+  SELECT doc_id, h, n_bytes, depth::INT AS depth, h >> (60 - depth)::INT AS prefix
+  FROM d, range(0, 41) r(depth)
+), sized AS (
+  SELECT *, sum(n_bytes) OVER p AS total, min(h) OVER p AS low, max(h) OVER p AS high
+  FROM grid WINDOW p AS (PARTITION BY depth, prefix)
+), leaf AS (
+  SELECT doc_id, any_value(n_bytes) AS n_bytes, min(depth) AS depth, any_value(h) AS h
+  FROM sized WHERE total <= {SHARD_BYTES} OR low = high GROUP BY doc_id
+)
+SELECT doc_id, n_bytes, depth, depth || '/' || (h >> (60 - depth)) AS shard, '0' AS page FROM leaf
+"""
+
+
+MIX_PERIOD, MIX_BLOCK = 1000, 16
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in blocks of 16, interleaved by the square roots of their sources' sizes."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.temperature_weights(docs, MIX_PERIOD), block_rows=MIX_BLOCK)
+
+
+ORACLE["op4_source_mixing"] = f"""
+WITH RECURSIVE roots AS (
+  SELECT source, count(*) AS n, floor(sqrt(count(*)::DOUBLE) * 1000)::BIGINT AS root FROM documents GROUP BY source
+), shares AS (
+  SELECT source, n, root * ({MIX_PERIOD} - count(*) OVER ()) AS part, sum(root) OVER () AS whole FROM roots
+), weighed AS (
+  SELECT source, n, 1 + part // whole AS base, row_number() OVER (ORDER BY part % whole DESC, source NULLS LAST) AS place,
+         {MIX_PERIOD} - sum(1 + part // whole) OVER () AS spare
+  FROM shares
+), weights AS (
+  SELECT source, n, (base + (place <= spare)::INT)::BIGINT AS w, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM weighed
+), lists AS (
+  SELECT list(w ORDER BY k) AS ws, count(*) AS m FROM weights
+), slots(t, done, k) AS (
+  SELECT -1::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick
+  FROM (
+    SELECT t, done, list_min(list_transform(
+      list_filter(range(1, m + 1), lambda i: (done[i] * {MIX_PERIOD}) // ws[i] <= t + 1),
+      lambda i: (((done[i] + 1) * {MIX_PERIOD} + ws[i] - 1) // ws[i]) * 100000 + i)) % 100000 AS pick
+    FROM slots, lists WHERE t < {MIX_PERIOD} - 1
+  )
+), plan AS (
+  SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS nth FROM slots WHERE t >= 0
+), ranked AS (
+  SELECT doc_id, d.source, k, w, row_number() OVER (PARTITION BY k ORDER BY {HASH_SQL}, doc_id) - 1 AS rank
+  FROM documents d JOIN weights ON d.source IS NOT DISTINCT FROM weights.source
+), empty AS (
+  SELECT min((n // {MIX_BLOCK} // w) * {MIX_PERIOD} + t) AS first
+  FROM weights JOIN plan ON plan.k = weights.k AND nth = (n // {MIX_BLOCK}) % w
+)
+SELECT doc_id, source, rank, rank // {MIX_BLOCK} AS block, (rank // {MIX_BLOCK} // w) * {MIX_PERIOD} + t AS slot,
+       ((rank // {MIX_BLOCK} // w) * {MIX_PERIOD} + t) * {MIX_BLOCK} + rank % {MIX_BLOCK} AS position,
+       (rank // {MIX_BLOCK} // w) * {MIX_PERIOD} + t < first AS in_ratio
+FROM ranked JOIN plan ON plan.k = ranked.k AND nth = (rank // {MIX_BLOCK}) % w, empty
+"""
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.85 or more over 4-word shingles."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products for every vector whose id is divisible by 50."""

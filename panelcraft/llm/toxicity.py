@@ -197,6 +197,19 @@ def probability(segments: list[tuple[int, int, float]], n_words: int, model: Mod
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
+def scan(texts: pa.Array, model: Model) -> tuple[list[list[tuple[int, int, float]]], list[float]]:
+    """The maximal segments of every text and its probability of being toxic."""
+    words = split_words(texts, ALNUM_WORDS)
+    per_word = token_scores(words.vocabulary.to_pylist(), model)[words.codes] if len(words.codes) else np.zeros(0)
+    hits = np.flatnonzero(per_word > 0)
+    cuts = np.searchsorted(hits, words.starts)
+    found = []
+    for i, start in enumerate(words.starts[:-1]):
+        at = hits[cuts[i] : cuts[i + 1]]
+        found.append(maximal_segments(at - start, per_word[at], model.drift) if len(at) else [])
+    return found, [probability(s, n, model) for s, n in zip(found, words.counts.tolist())]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``score`` (0 to 1), ``predicted``, ``segments`` (first word, last word, score).
 
@@ -210,15 +223,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = split_words(batch.column(1), ALNUM_WORDS)
-            per_word = token_scores(words.vocabulary.to_pylist(), model)[words.codes] if len(words.codes) else np.zeros(0)
-            hits = np.flatnonzero(per_word > 0)
-            cuts = np.searchsorted(hits, words.starts)
-            found = []
-            for i, start in enumerate(words.starts[:-1]):
-                at = hits[cuts[i] : cuts[i + 1]]
-                found.append(maximal_segments(at - start, per_word[at], model.drift) if len(at) else [])
-            p = [probability(s, n, model) for s, n in zip(found, words.counts.tolist())]
+            found, p = scan(batch.column(1), model)
             dicts = [[dict(zip(("first", "last", "score"), x)) for x in s] for s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(dicts, segment_type)],
@@ -229,3 +234,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
         run, f"id {id_type}, score double, predicted int, segments array<struct<first:long,last:long,score:double>>"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x < threshold for x in scan(batch.column(column), model)[1]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
