@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, mixing, ngram_join, sharding, token_counts, toxicity, vector_topk
+from panelcraft.llm import decontaminate, licenses, mixing, ngram_join, sharding, token_counts, toxicity, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number(text):
+    """A whole number from a text, the same in both engines."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("int")
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures: fetched on a day of 2024 given by the page's id."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def dated_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List entries about the crawl's own hosts: some domains are blocked, cleared and blocked again,
+    some sections are allowed or blocked for good."""
+    pages = crawl(spark, sf_dir).select(url_filter.host(F.col("url")).alias("h"), url_filter.path_parts(F.col("url")).alias("p"))
+    sites = pages.select(F.expr("array_join(slice(split(h, '[.]'), -3, 3), '.')").alias("pattern")).where("size(split(pattern, '[.]')) = 3")
+    sections = pages.where("size(p) > 0").select(F.concat_ws("/", "h", F.expr("p[0]")).alias("pattern"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (n % 200).cast("int"))
+    n = _number(F.col("pattern"))
+    turns = F.explode(F.from_json(F.lit('[{"k":0,"a":"block"},{"k":60,"a":"remove"},{"k":150,"a":"block"}]'), "array<struct<k:int,a:string>>"))
+    domains = sites.distinct().where(n % 3 == 0).select("pattern", day(n).alias("d"), turns.alias("t"))
+    domains = domains.select("pattern", F.expr("date_add(d, t.k)").alias("day"), F.col("t.a").alias("action"))
+    parts = sections.distinct().where(n % 4 < 2).select("pattern", day(n).alias("day"), F.when(n % 4 == 0, "allow").otherwise("block").alias("action"))
+    return domains.unionByName(parts)
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries in force on the day it was fetched."""
+    return url_filter.evaluate(crawl(spark, sf_dir), dated_list(spark, sf_dir))
+
+
+ORACLE["op1_url_filters"] = r"""
+WITH captures AS (
+  SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '[.]$', '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda p: p <> '')[1:2] AS parts,
+         DATE '2024-01-01' + (page_id % 366)::INT AS day
+  FROM pages
+), named AS (
+  SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS pattern, true AS site FROM captures
+  UNION SELECT DISTINCT host || '/' || parts[1], false FROM captures WHERE len(parts) > 0
+), numbered AS (
+  SELECT *, ('0x' || substr(md5(pattern), 1, 7))::INT AS n FROM named WHERE NOT site OR len(string_split(pattern, '.')) = 3
+), entries AS (
+  SELECT pattern, DATE '2024-01-01' + (n % 200)::INT + k AS day, action
+  FROM numbered, (VALUES (0, 'block'), (60, 'remove'), (150, 'block')) t(k, action) WHERE site AND n % 3 = 0
+  UNION ALL SELECT pattern, DATE '2024-01-01' + (n % 200)::INT, CASE WHEN n % 4 = 0 THEN 'allow' ELSE 'block' END
+  FROM numbered WHERE NOT site AND n % 4 < 2
+), valid AS (
+  SELECT pattern, action, day AS since, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM entries
+), domains AS (
+  SELECT *, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain
+  FROM captures
+), keyed AS (
+  SELECT *, unnest(list_transform(range(0, len(parts) + 1), lambda n: array_to_string(list_prepend(domain, parts[1:n]), '/'))) AS pattern FROM domains
+), active AS (
+  SELECT page_id, arg_max(k.pattern, (length(k.pattern), k.pattern)) AS pattern, arg_max(since, (length(k.pattern), k.pattern)) AS since,
+         arg_max(action, (length(k.pattern), k.pattern)) AS action
+  FROM keyed k JOIN valid v ON k.pattern = v.pattern AND day >= since AND (until IS NULL OR day < until)
+  WHERE action <> 'remove' GROUP BY page_id
+)
+SELECT page_id, nullif(host, '') AS host, day, pattern, since, CASE WHEN action = 'block' THEN 'block' ELSE 'keep' END AS verdict
+FROM captures LEFT JOIN active USING (page_id)
+"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document: lines or texts within 0.8 of a template."""
+    return licenses.scan(table(spark, sf_dir, "documents"), percent=80)
+
+
+ORACLE["op7_license_scan"] = licenses.oracle(80)
+
+
 @query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of every benchmark item against every document."""
