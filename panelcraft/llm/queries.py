@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, licenses, mixing, ngram_join, sharding, token_counts, toxicity, url_filter, vector_topk
+from panelcraft.llm import decontaminate, licenses, mixing, ngram_join, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,6 +190,12 @@ FROM ranked JOIN plan ON plan.k = ranked.k AND nth = (rank // {MIX_BLOCK}) % w,
 """
 
 
+@query
+def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and whether it is kept."""
+    return perplexity.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), n=5)
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.85 or more over 4-word shingles."""
