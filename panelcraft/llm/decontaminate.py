@@ -165,7 +165,8 @@ def search(index: DataFrame, windows: Windows, slack: int = 0) -> DataFrame:
     ship_package(index.sparkSession)
     spark = index.sparkSession
     code = {int(t): k for k, t in enumerate(windows.terms.tolist())}
-    wanted = spark.createDataFrame([(t,) for t in [*code, TEXTS]], "term long")
+    # as many terms as the set of items has words: bounded by its bytes
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in [*code, TEXTS]], "term long"))
     id_type = index.schema["ids"].dataType.elementType
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
