@@ -40,13 +40,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _positions(docs: DataFrame) -> DataFrame:
     """Each id's place in the mixture."""
     mixed = mixing.mix(docs, mixing.temperature_weights(docs, MIX_PERIOD), block_rows=MIX_BLOCK)
-    return mixed.groupBy(F.col("doc_id").alias("id")).agg(F.min("position").alias("position"))
+    return mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture."""
-    placed = docs.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("id")))
-    return placed.orderBy("position").select(*docs.columns)
+    placed = docs.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return placed.orderBy("__position").select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     place is worked out again from the same schedule.
     """
     sharded = sharding.shards(docs, max_bytes=SHARD_BYTES)
-    placed = sharded.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("id")))
-    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", "position")
+    placed = sharded.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", F.col("__position").alias("position"))
 
 
 STAGES = [

@@ -72,7 +72,8 @@ def scan(
     # size bounds, first by words (a unit has fewer distinct bigrams than words), then by bigrams
     smallest = min(len(g) for g in grams.values())
     words = words.where((200 - percent) * (F.size("words") - 1) >= percent * smallest)
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b))
     sized = words.select("row", F.array_distinct(pairs).alias("grams")).withColumn("n", F.size("grams"))
 
     def dice(name: str, own: list[str]) -> Column:

@@ -122,7 +122,7 @@ def top_k(
             unpack = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, dim)
             cv, qv = unpack(c), unpack(q)
             ids, rows, query_rows = (t[n].to_numpy() for t, n in ((c, "id"), (c, "row"), (q, "row")))
-            if dim and np.abs(cv).max() * np.abs(qv).max() * dim < EXACT:
+            if dim and float(np.abs(cv).max()) * float(np.abs(qv).max()) * dim < EXACT:
                 layout = [np.ascontiguousarray(cv[:, a : a + step]) for a in range(0, dim, step)]
                 best = best_in_block(qv, query_rows, rows, ids, layout, k)
             else:
