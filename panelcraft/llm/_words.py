@@ -7,6 +7,7 @@ and everything after that is integer work in numpy. A null text has no words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,17 @@ ALNUM_WORDS = byte_table(
 CASED_WORDS = byte_table(lower=False)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts in a column have about ``max_bytes``, or are a single text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // max_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """Words of a batch of texts: text ``i`` has ``codes[starts[i]:starts[i + 1]]``."""

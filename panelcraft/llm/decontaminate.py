@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcraft.llm._ship import ship_package
-from panelcraft.llm._words import ALNUM_WORDS, Words, split_words
+from panelcraft.llm._words import ALNUM_WORDS, Words, slices, split_words
 from panelcraft.session import materialise
 
-#: texts of a block at most, and the unused positions after each text
-BLOCK_TEXTS = 4096
+#: bytes of a block's texts (about; at least one text), and the unused positions after each text
+BLOCK_BYTES = 8 << 20
 GAP = 1 << 10
 #: the row of a block that lists its texts has no term
 TEXTS = 0
@@ -52,33 +52,31 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_TEXTS):
-                part = batch.slice(at, BLOCK_TEXTS)
-                words = split_words(part.column(2), ALNUM_WORDS)
-                # a block is named after its first row, which no other block has
-                name = part.column(0)[0].as_py()
-                starts = words.starts + GAP * np.arange(len(words) + 1)
-                positions = np.arange(len(words.codes)) + GAP * words.owners()
-                order = np.argsort(words.codes, kind="stable")
-                cuts = np.searchsorted(words.codes[order], np.arange(len(words.vocabulary) + 1))
-                n = len(words.vocabulary)
-                packed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(positions[order], pa.int32()))
-                none = pa.nulls(n, pa.list_(part.schema.field(1).type))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, name)), pa.array(_terms(words)), packed, none, pa.nulls(n, pa.list_(pa.int32()))],
-                    names=["block", "term", "positions", "ids", "starts"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name]),
-                        pa.array([TEXTS]),
-                        pa.nulls(1, pa.list_(pa.int32())),
-                        pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(1)),
-                        pa.array([starts.astype(np.int32)], pa.list_(pa.int32())),
-                    ],
-                    names=["block", "term", "positions", "ids", "starts"],
-                )
+        for part in slices(batches, 2, BLOCK_BYTES):
+            words = split_words(part.column(2), ALNUM_WORDS)
+            # a block is named after its first row, which no other block has
+            name = part.column(0)[0].as_py()
+            starts = words.starts + GAP * np.arange(len(words) + 1)
+            positions = np.arange(len(words.codes)) + GAP * words.owners()
+            order = np.argsort(words.codes, kind="stable")
+            cuts = np.searchsorted(words.codes[order], np.arange(len(words.vocabulary) + 1))
+            n = len(words.vocabulary)
+            packed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(positions[order], pa.int32()))
+            none = pa.nulls(n, pa.list_(part.schema.field(1).type))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, name)), pa.array(_terms(words)), packed, none, pa.nulls(n, pa.list_(pa.int32()))],
+                names=["block", "term", "positions", "ids", "starts"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name]),
+                    pa.array([TEXTS]),
+                    pa.nulls(1, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(1)),
+                    pa.array([starts.astype(np.int32)], pa.list_(pa.int32())),
+                ],
+                names=["block", "term", "positions", "ids", "starts"],
+            )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from panelcraft.llm._components import components
 from panelcraft.llm._id_filter import bit_filter, held, place
 from panelcraft.llm._ship import ship_package
-from panelcraft.llm._words import SPACE_WORDS, mix64, split_words, window_hashes
+from panelcraft.llm._words import SPACE_WORDS, mix64, slices, split_words, window_hashes
 from panelcraft.session import materialise
 
 #: frequent n-grams that are placed last in the order, at most (12 bytes each on the driver and in tasks)
@@ -61,7 +61,7 @@ def _profile(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(gram_sets(batch.column(1), n))
+            sets = [s for part in slices([batch], 1) for s in gram_sets(part.column(1), n)]
             nodes = [node_of(s) if len(s) else None for s in sets]
             first = {node: s for node, s in zip(nodes, sets) if node is not None}
             grams, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *first.values()]), return_counts=True)
@@ -105,7 +105,7 @@ def _postings(n: int, percent: int, frequent: np.ndarray, times: np.ndarray):
     """Prefix n-grams of every set, once per batch: gram, node, size and position, whether frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             seen, parts = set(), []
             for grams in gram_sets(batch.column(0), n):
                 node = node_of(grams) if len(grams) else None
@@ -146,7 +146,7 @@ def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     nameless = wanted.where("id is null").limit(1).count() > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             kept = held(bits.value, batch.column(1))
             if nameless:
                 kept |= pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False)

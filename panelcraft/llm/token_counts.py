@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from panelcraft.llm._ship import ship_package
-from panelcraft.llm._words import CASED_WORDS, split_words
+from panelcraft.llm._words import CASED_WORDS, slices, split_words
 
 WORD_END = "</w>"
 #: the pre-tokenizer's pattern (fixed value, from the vocabulary file)
@@ -140,7 +140,7 @@ def token_counts(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1)
             n = count_texts(texts, vocabulary)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

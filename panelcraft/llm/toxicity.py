@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcraft.llm._ship import ship_package
-from panelcraft.llm._words import ALNUM_WORDS, split_words
+from panelcraft.llm._words import ALNUM_WORDS, slices, split_words
 from panelcraft.session import materialise
 
 #: beginnings of words (in characters) that stand in for words not kept themselves
@@ -63,7 +63,7 @@ def _features(vocabulary: list[str]) -> list[list[str]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each class that have a feature."""
-    for batch in batches:
+    for batch in slices(batches, 0):
         words = split_words(batch.column(0), ALNUM_WORDS)
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         features = _features(words.vocabulary.to_pylist())
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     segment_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found, p = scan(batch.column(1), model)
             dicts = [[dict(zip(("first", "last", "score"), x)) for x in s] for s in found]
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +242,7 @@ def harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
     column = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column):
             yield batch.filter(pa.array([x < threshold for x in scan(batch.column(column), model)[1]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
