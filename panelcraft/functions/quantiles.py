@@ -2,13 +2,12 @@
 
 ``percentile`` (exact) keeps every distinct value of a group in one
 aggregation buffer, and a global sort + ``row_number`` window runs in one
-partition. :func:`order_statistics` instead finds the value at given ranks
-with a few distributed passes: each pass histograms only the rows inside
-the current value bracket into ``bins`` equal-width buckets (an aggregate
-with at most ``bins`` rows per bracket), and the bucket holding the rank
-becomes the next bracket. A bracket that holds one distinct value, or at
-most ``direct`` rows, is resolved exactly. Only bounded histograms and the
-final small brackets reach the driver.
+partition. :func:`order_statistics` instead selects by radix: values become
+64-bit integers in the same order, and each pass counts the rows by ``BITS``
+more leading bits, only among the prefixes that hold a wanted rank. A pass
+is one aggregation for all ranks and brings at most ``2^BITS`` counts per
+rank to the driver; no values are collected. The number of passes depends on
+the width of the value range alone (eight for any 64-bit range).
 
 Moments: for integral (fixed-point) columns, power sums are accumulated
 exactly in DECIMAL(38,0) and every statistic is a single rounding of an
@@ -18,145 +17,99 @@ exact integer expression, so results do not depend on summation order.
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-BINS = 2048
-DIRECT = 20000
-MAX_PASSES = 64
+#: bits looked at in a pass
+BITS = 8
+_SIGN = (1 << 63) - 1
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
-    if not isinstance(df.schema[col].dataType, IntegralType):
-        x = x.where(~F.isnan("x"))
-    return x
+def _codes(df: DataFrame, col: str) -> DataFrame:
+    """Non-NULL, non-NaN values as integers ``x`` of the same order (doubles: by their bits)."""
+    x = F.col(col)
+    if isinstance(df.schema[col].dataType, IntegralType):
+        return df.select(x.cast("long").alias("x")).where("x is not null")
+    value = df.select((x.cast("double") + F.lit(0.0)).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    method = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.col("v"))
+    bits = value.select(method.cast("long").alias("b"))
+    return bits.select(F.when(F.col("b") < 0, F.col("b").bitwiseXOR(F.lit(_SIGN))).otherwise(F.col("b")).alias("x"))
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None, lo=None, hi=None) -> dict[int, object]:
+def _value(df: DataFrame, col: str, code: int):
+    """The value of a code."""
+    if isinstance(df.schema[col].dataType, IntegralType):
+        return code
+    return struct.unpack("<d", struct.pack("<q", code ^ _SIGN if code < 0 else code))[0]
+
+
+def _bounds(codes: DataFrame) -> tuple[int, int | None, int | None]:
+    return tuple(codes.agg(F.count("x"), F.min("x"), F.max("x")).first())
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int], bounds: tuple | None = None) -> dict[int, object]:
     """Value at each 0-based ``rank`` of the ascending non-NULL values of ``col``."""
-    x = _values(df, col)
-    if n is None or lo is None or hi is None:
-        st = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        n, lo, hi = st["n"], st["lo"], st["hi"]
-    want = sorted({int(r) for r in ranks})
+    codes = _codes(df, col)
+    n, lo, hi = bounds or _bounds(codes)
+    wanted = sorted({int(r) for r in ranks})
     if n == 0:
-        return {r: None for r in want}
-    for r in want:
+        return {r: None for r in wanted}
+    for r in wanted:
         if r < 0 or r >= n:
             raise ValueError(f"rank {r} outside [0, {n})")
-    result: dict[int, object] = {}
-    below, inside = 0, n
-    if isinstance(lo, float) and (math.isinf(lo) or math.isinf(hi)):
-        # infinities sit at the ends of the order: answer their ranks, bracket the finite values
-        inf = x.agg(
-            F.count(F.when(F.col("x") == F.lit(float("-inf")), 1)).alias("neg"),
-            F.count(F.when(F.col("x") == F.lit(float("inf")), 1)).alias("pos"),
-            F.min(F.when(~F.col("x").isin(float("inf"), float("-inf")), F.col("x"))).alias("flo"),
-            F.max(F.when(~F.col("x").isin(float("inf"), float("-inf")), F.col("x"))).alias("fhi"),
-        ).first()
-        for r in want:
-            if r < inf["neg"]:
-                result[r] = float("-inf")
-            elif r >= n - inf["pos"]:
-                result[r] = float("inf")
-        below, inside, lo, hi = inf["neg"], n - inf["neg"] - inf["pos"], inf["flo"], inf["fhi"]
-    state = {r: (lo, hi, below, inside) for r in want if r not in result}  # bracket lo, hi, rows below lo, rows in it
-    for _ in range(MAX_PASSES):
-        for r, (blo, bhi, _, _) in state.items():
-            if r not in result and blo == bhi:
-                result[r] = blo
-        pending = {r: s for r, s in state.items() if r not in result}
-        if not pending:
+    shift = 0
+    while (hi >> shift) - (lo >> shift) >= 1 << BITS:
+        shift += BITS
+    rows, held = codes, {None: [(r, r) for r in wanted]}  # prefix -> (rank, rank among the rows of the prefix)
+    while wanted:
+        prefix = F.shiftright("x", shift)
+        counts: dict[int | None, list[tuple[int, int]]] = {}
+        for row in rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect():
+            parent = None if None in held else row["p"] >> BITS
+            counts.setdefault(parent, []).append((row["p"], row["c"]))
+        inside: dict[int | None, list[tuple[int, int]]] = {}
+        for parent, of in held.items():
+            for rank, among in of:
+                for p, c in sorted(counts[parent]):
+                    if among < c:
+                        inside.setdefault(p, []).append((rank, among))
+                        break
+                    among -= c
+        held = inside
+        if shift == 0:
             break
-        small = {r: s for r, s in pending.items() if s[3] <= DIRECT}
-        if small:
-            _resolve_directly(x, small, result)
-            continue
-        brackets = sorted({(s[0], s[1]) for s in pending.values()})
-        hist = _histograms(x, brackets)
-        for r, (blo, bhi, below, _) in pending.items():
-            j = brackets.index((blo, bhi))
-            acc = below
-            for b, cnt, bmin, bmax in hist[j]:
-                if r < acc + cnt:
-                    state[r] = (bmin, bmax, acc, cnt)
-                    break
-                acc += cnt
-    missing = [r for r in want if r not in result]
-    if missing:
-        raise RuntimeError(f"order statistics did not converge for ranks {missing}")
-    return result
-
-
-def _histograms(x: DataFrame, brackets: list[tuple]) -> list[list[tuple]]:
-    tags = []
-    for j, (blo, bhi) in enumerate(brackets):
-        inside = (F.col("x") >= F.lit(blo)) & (F.col("x") <= F.lit(bhi))
-        # halves keep the width finite for brackets spanning most of the double range
-        width = float(bhi) * 0.5 - float(blo) * 0.5
-        pos = (F.col("x").cast("double") * F.lit(0.5) - F.lit(float(blo) * 0.5)) / F.lit(width) * F.lit(float(BINS))
-        b = F.least(F.floor(pos), F.lit(BINS - 1)).cast("int")
-        tags.append(F.when(inside, F.struct(F.lit(j).alias("j"), b.alias("b"))))
-    tagged = x.select("x", F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull())
-    rows = (
-        tagged.groupBy("t.j", "t.b")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-        .collect()
-    )  # at most len(brackets) * BINS rows
-    out: list[list[tuple]] = [[] for _ in brackets]
-    for row in rows:
-        out[row["j"]].append((row["b"], row["c"], row["mn"], row["mx"]))
-    for h in out:
-        h.sort()
-    return out
-
-
-def _resolve_directly(x: DataFrame, small: dict[int, tuple], result: dict[int, object]) -> None:
-    brackets = sorted({(s[0], s[1]) for s in small.values()})
-    cond = None
-    for blo, bhi in brackets:
-        c = (F.col("x") >= F.lit(blo)) & (F.col("x") <= F.lit(bhi))
-        cond = c if cond is None else cond | c
-    vals = sorted(r["x"] for r in x.where(cond).collect())  # each bracket holds <= DIRECT rows
-    for r, (blo, bhi, below, _) in small.items():
-        in_bracket = [v for v in vals if blo <= v <= bhi]
-        result[r] = in_bracket[r - below]
-
-
-def count_non_null(df: DataFrame, col: str) -> tuple[int, object, object]:
-    st = _values(df, col).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    return st["n"], st["lo"], st["hi"]
+        rows = codes.where(prefix.isin(list(held)))
+        shift -= BITS
+    return {rank: _value(df, col, p) for p, of in held.items() for rank, _ in of}
 
 
 def interpolated_quantiles(df: DataFrame, col: str, probs: list[float]) -> dict[float, float | None]:
     """Linear-interpolated quantiles (the pandas / numpy default), exact."""
-    n, lo, hi = count_non_null(df, col)
-    if n == 0:
+    bounds = _bounds(_codes(df, col))
+    if bounds[0] == 0:
         return {p: None for p in probs}
-    pos = {p: (n - 1) * p for p in probs}
-    ranks = set()
-    for v in pos.values():
-        ranks.update({math.floor(v), math.ceil(v)})
-    vals = order_statistics(df, col, sorted(ranks), n, lo, hi)
+    pos = {p: (bounds[0] - 1) * p for p in probs}
+    ranks = {r for v in pos.values() for r in (math.floor(v), math.ceil(v))}
+    vals = order_statistics(df, col, sorted(ranks), bounds)
     out = {}
     for p, v in pos.items():
         a, b = vals[math.floor(v)], vals[math.ceil(v)]
         d = v - math.floor(v)
-        out[p] = float(a) + (float(b) - float(a)) * d
+        out[p] = float(a) + (float(b) - float(a)) * d if a != b else float(a)
     return out
 
 
 def lower_rank_quantiles(df: DataFrame, col: str, k: int) -> list:
     """Discrete quantile edges: the value at rank ``floor((n-1)*i/k)`` for i = 1..k-1."""
-    n, lo, hi = count_non_null(df, col)
-    if n == 0:
+    bounds = _bounds(_codes(df, col))
+    if bounds[0] == 0:
         return []
-    ranks = [((n - 1) * i) // k for i in range(1, k)]
-    vals = order_statistics(df, col, ranks, n, lo, hi)
+    ranks = [((bounds[0] - 1) * i) // k for i in range(1, k)]
+    vals = order_statistics(df, col, ranks, bounds)
     return [vals[r] for r in ranks]
 
 
@@ -178,11 +131,30 @@ def exact_mean(n: Column, s1: Column) -> Column:
     return F.when(n > 0, s1.cast("double") / n.cast("double"))
 
 
+def centred_sums(n: Column, s1: Column, s2: Column, s3: Column | None = None) -> tuple[Column, ...]:
+    """Sums of the second (and third) powers about the mean, as doubles.
+
+    Power sums are shifted exactly by the whole part ``m`` of the mean, so no
+    product grows beyond ``n * m^2`` (``n * m^3``) and nothing cancels in floating
+    point; what is left of the mean, below 1, is taken off in double precision.
+    Exact while the sum of squares (cubes) fits DECIMAL(38,0).
+    """
+    m = F.call_function("div", s1, n).cast("decimal(20,0)")
+    nd = n.cast("decimal(20,0)")
+    rest = (s1 - nd * m).cast("double")
+    count = n.cast("double")
+    c2 = (s2 - F.lit(2) * (m * s1) + nd * (m * m)).cast("double")
+    about = c2 - rest * rest / count
+    if s3 is None:
+        return (about,)
+    c3 = (s3 - F.lit(3) * (m * s2) + F.lit(3) * (m * m * s1) - nd * (m * m * m)).cast("double")
+    off = rest / count
+    return about, c3 - F.lit(3.0) * off * c2 + F.lit(2.0) * off * off * rest
+
+
 def exact_var(n: Column, s1: Column, s2: Column, ddof: int) -> Column:
-    """(n*s2 - s1^2) / (n*(n-ddof)), one rounding of an exact numerator."""
-    num = (n.cast("decimal(20,0)") * s2 - s1 * s1).cast("double")
-    den = (n * (n - F.lit(ddof))).cast("double")
-    return F.when(n > ddof, num / den)
+    """Variance from exact power sums about the mean."""
+    return F.when(n > ddof, centred_sums(n, s1, s2)[0] / (n - F.lit(ddof)).cast("double"))
 
 
 def exact_std(n: Column, s1: Column, s2: Column, ddof: int) -> Column:

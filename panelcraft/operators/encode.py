@@ -3,14 +3,12 @@
 A fitted dictionary stays a DataFrame (``value``, ``code``) and is applied
 with a null-safe equi-join; adaptive execution broadcasts it when its
 runtime size is small and keeps a shuffle join otherwise. One-hot columns
-need the value list at plan time, so their fit collects the distinct values,
-refusing more than ``max_categories`` of them.
+need the value list at plan time, so their fit collects the distinct values.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +18,7 @@ from pyspark.sql.types import FractionalType
 from pyspark.sql.types import IntegralType
 
 from panelcraft.operators.ordering import global_row_index
-
-# Dictionaries with at most this many (column, value) entries are ranked on the
-# driver after one aggregation; larger ones use the distributed global index.
-MAX_LOCAL_DICTIONARY = 50_000
-
-
-# Per-column dictionaries up to this size are applied as a literal map expression
-# (a projection: no join, no broadcast job); larger ones by a join.
-MAX_LITERAL_MAP = 1000
-
-
-@dataclass
-class Fitted:
-    frame: DataFrame  # (column, value, code)
-    bounded: bool  # at most MAX_LOCAL_DICTIONARY rows: safe to broadcast
-    local: dict[str, dict] | None = None  # column -> {value text or None: code}, when ranked on the driver
+from panelcraft.session import materialise
 
 
 def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
@@ -43,61 +26,24 @@ def fit_dictionaries(df: DataFrame, cols: list[str], order_by: list[str]) -> Dat
 
     code = rank of each value's first appearance in ``order_by`` order,
     counted per column. NULL is a value with its own code (as pandas
-    ``unique`` treats NaN). Values are stacked as text and grouped once; up
-    to ``MAX_LOCAL_DICTIONARY`` distinct entries (checked with a bounded
-    ``limit``) are ranked on the driver, more with one distributed global
-    index over the distinct values.
+    ``unique`` treats NaN). Values are stacked as text and grouped once; the
+    distinct values are ranked with one distributed global index, whatever
+    their number.
     """
-    return _fit(df, cols, order_by).frame
-
-
-def _fit(df: DataFrame, cols: list[str], order_by: list[str]) -> Fitted:
     cols = list(dict.fromkeys(cols))
-    order = F.struct(*order_by)
     stacked = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
         ).alias("__e"),
-        order.alias("__o"),
+        F.struct(*order_by).alias("__o"),
     ).select("__e.*", "__o")
     first = stacked.groupBy("column", "value").agg(F.min("__o").alias("__first"))
-    small = first.limit(MAX_LOCAL_DICTIONARY + 1).collect()
-    if len(small) <= MAX_LOCAL_DICTIONARY:  # checked bound: rank the few distinct values on the driver
-        frame, local = _rank_locally(df.sparkSession, small)
-        return Fitted(frame, True, local)
     ranked = global_row_index(first, ["column", "__first"], "__idx")
     base = ranked.groupBy("column").agg(F.min("__idx").alias("__base"))  # one row per column
-    d = ranked.join(F.broadcast(base), "column").select(
+    coded = ranked.join(F.broadcast(base), "column").select(
         "column", "value", (F.col("__idx") - F.col("__base")).cast("int").alias("code")
     )
-    return Fitted(d, False)
-
-
-def _null_first(struct) -> tuple:
-    """Sort key matching Spark's ascending struct order (NULLs first)."""
-    return tuple((0,) if v is None else (1, v) for v in struct)
-
-
-def _rank_locally(spark, firsts: list) -> tuple[DataFrame, dict[str, dict]]:
-    by_col: dict[str, list] = {}
-    for r in firsts:
-        by_col.setdefault(r["column"], []).append((_null_first(r["__first"]), r["value"]))
-    out, local = [], {}
-    for c, items in by_col.items():
-        items.sort(key=lambda t: t[0])
-        local[c] = {v: i for i, (_, v) in enumerate(items)}
-        out += [(c, v, i) for i, (_, v) in enumerate(items)]
-    return spark.createDataFrame(out, "column string, value string, code int"), local
-
-
-def _map_lookup(df: DataFrame, col: str, out: str, codes: dict, unseen: int) -> DataFrame:
-    """Dictionary lookup as a projection: literal map of value text -> code (NULL has its own code)."""
-    pairs = [x for v, c in codes.items() if v is not None for x in (F.lit(v), F.lit(c))]
-    key = F.col(col).cast("string")
-    hit = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
-    null_code = codes.get(None)
-    code = F.when(key.isNull(), F.lit(null_code if null_code is not None else unseen)).otherwise(F.coalesce(hit, F.lit(unseen)))
-    return df.withColumn(out, code.cast("int"))
+    return materialise(coded, "dictionary")  # its size is known when it is joined, once per column
 
 
 def fit_dictionary(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
@@ -111,25 +57,16 @@ def apply_dictionary(
     col: str,
     out: str | None = None,
     unseen: int = -1,
-    broadcast: bool = False,
-    local: dict | None = None,
 ) -> DataFrame:
     """E2 transform: value -> code, ``unseen`` for values missing from the dictionary.
 
     ``dictionary`` is (value, code) or (column, value, code); values are text.
-    ``local`` ({value: code}, known on the driver) of at most
-    ``MAX_LITERAL_MAP`` entries is applied as a map expression instead of a
-    join. ``broadcast=True`` only for a dictionary with a proven size bound;
-    otherwise the planner and adaptive execution choose the join.
+    The planner and adaptive execution choose the join by its size.
     """
     out = out or col
-    if local is not None and len(local) <= MAX_LITERAL_MAP:
-        return _map_lookup(df, col, out, local, unseen)
     if "column" in dictionary.columns:
         dictionary = dictionary.where(F.col("column") == F.lit(col))
     d = dictionary.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-    if broadcast:
-        d = F.broadcast(d)
     j = df.join(d, df[col].cast("string").eqNullSafe(d["__v"]), "left")
     code = F.coalesce(F.col("__code"), F.lit(unseen)).cast("int")
     cols = [code.alias(out) if c == out else F.col(c) for c in df.columns]
@@ -141,10 +78,10 @@ def apply_dictionary(
 def factorize(df: DataFrame, cols: list[str], order_by: list[str], suffix: str = "") -> DataFrame:
     """Replace each column by its first-appearance code, fitted on ``df`` itself."""
     cols = list(dict.fromkeys(cols))  # a repeated column is coded once
-    f = _fit(df, cols, order_by)
+    dictionary = fit_dictionaries(df, cols, order_by)
     out = df
     for c in cols:
-        out = apply_dictionary(out, f.frame, c, c + suffix, broadcast=f.bounded, local=(f.local or {}).get(c))
+        out = apply_dictionary(out, dictionary, c, c + suffix)
     return out
 
 
@@ -154,34 +91,36 @@ class DictionaryEncoder:
     def __init__(self, cols: list[str], order_by: list[str], unseen: int = -1, refit: bool = False):
         self.cols, self.order_by, self.unseen, self.refit = list(dict.fromkeys(cols)), order_by, unseen, refit
         self.dictionary: DataFrame | None = None
-        self.fitted: Fitted | None = None
 
     def fit(self, df: DataFrame) -> DictionaryEncoder:
-        self.fitted = _fit(df, self.cols, self.order_by)
-        self.dictionary = self.fitted.frame
+        self.dictionary = fit_dictionaries(df, self.cols, self.order_by)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        f = _fit(df, self.cols, self.order_by) if self.refit else self.fitted
+        dictionary = fit_dictionaries(df, self.cols, self.order_by) if self.refit else self.dictionary
         out = df
         for c in self.cols:
-            out = apply_dictionary(out, f.frame, c, c, self.unseen, broadcast=f.bounded, local=(f.local or {}).get(c))
+            out = apply_dictionary(out, dictionary, c, c, self.unseen)
         return out
 
 
-def fit_one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000) -> dict[str, list]:
-    """E3 fit: sorted distinct non-NULL values per column, all columns in one pass (bounded, checked)."""
+def fit_one_hot(df: DataFrame, cols: list[str], max_categories: int | None = None) -> dict[str, list]:
+    """E3 fit: sorted distinct non-NULL values per column, all columns in one pass.
+
+    The values become columns of the plan, so they are collected; a caller
+    that wants a limit sets ``max_categories``. Wide columns belong in
+    :func:`one_hot_vector`, whose values stay in one vector.
+    """
     stacked = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("e")
     ).select("e.c", "e.v").where(F.col("v").isNotNull()).distinct()
-    limit = max_categories * len(cols) + 1
-    found = stacked.limit(limit).collect()
+    if max_categories is not None:
+        wide = stacked.groupBy("c").count().where(F.col("count") > max_categories).first()
+        if wide:
+            raise ValueError(f"{wide['c']}: more than {max_categories} categories; use vector encoding instead")
     by_col: dict[str, set] = {c: set() for c in cols}
-    for r in found:
+    for r in stacked.collect():
         by_col[r["c"]].add(r["v"])
-    for c, vals in by_col.items():
-        if len(vals) > max_categories or len(found) >= limit:
-            raise ValueError(f"{c}: more than {max_categories} categories; use vector encoding instead")
     return {c: sorted(_from_text(v, df.schema[c].dataType) for v in by_col[c]) for c in cols}
 
 

@@ -57,10 +57,11 @@ def goss_boost(
     other_rate: float = 0.1,
     seed: int = 0,
     materialise_every: int = 4,
+    partitions: int | None = None,
 ) -> tuple[GossModel, list[float]]:
     """Fit boosted trees with GOSS; returns (model, training MSE after each tree)."""
     x = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(
-        spread(train.select(key, *features, F.col(label).cast("double").alias("__y")))
+        spread(train.select(key, *features, F.col(label).cast("double").alias("__y")), partitions)
     )
     init = x.agg(F.avg("__y")).first()[0] or 0.0
     work = x.select(key, "__x", "__y", F.lit(init).alias("__p"))

@@ -27,20 +27,20 @@ from pyspark.sql import functions as F
 from panelcraft.operators.scale import feature_scale_stages
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Training input with at least the session's default parallelism in partitions.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Training input in so many partitions, or as it is.
 
-    Iterative learners run every pass with the input's partitioning; an input
-    read from a few large files would otherwise train in a few tasks. A frame
-    that is already spread out is returned unchanged (no shuffle).
+    Iterative learners run every pass with the input's partitioning, so an
+    input read from a few large files trains in a few tasks. The count is the
+    caller's: tree learners sample split points by partition, and a model must
+    not depend on the cluster it is trained on.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df if partitions is None else df.repartition(partitions)
 
 
-def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
-    """Fit a pipeline on a spread-out, cached copy of ``df`` (the cache is released afterwards)."""
-    data = spread(df).cache()
+def fit(pipeline: Pipeline, df: DataFrame, partitions: int | None = None) -> PipelineModel:
+    """Fit a pipeline on a cached copy of ``df`` (the cache is released afterwards)."""
+    data = spread(df, partitions).cache()
     try:
         return pipeline.fit(data)
     finally:

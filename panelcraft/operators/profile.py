@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.functions.quantiles import centred_sums
 from panelcraft.functions.quantiles import exact_mean
 from panelcraft.functions.quantiles import exact_std
 from panelcraft.functions.quantiles import interpolated_quantiles
@@ -79,7 +80,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
         b = F.least(F.floor((x - F.lit(float(mn))) * F.lit(float(bins)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     # all bins, generated from the fitted range (bins rows, a parameter)
-    grid = df.agg(F.min(col).alias("mn")).select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     edges = grid.withColumns(
         {
             "lo": F.lit(float(mn)) + F.col("bin") * F.lit(width / bins),
@@ -94,28 +95,24 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: count, mean, sample std, coefficient of variation, population skewness.
 
-    Integral columns use exact power sums: skewness = A / B^1.5 with
-    A = n^2*s3 - 3n*s1*s2 + 2*s1^3 and B = n*s2 - s1^2 (the population
-    form Spark's ``skewness`` computes).
+    One aggregation for all columns. Integral columns use exact power sums
+    about the mean: skewness = sqrt(n) * M3 / M2^1.5 (the population form
+    Spark's ``skewness`` computes).
     """
-    rows = []
-    for c in cols:
+    aggs, rows = [], []
+    for i, c in enumerate(cols):
+        k = f"c{i}_"
         if is_integral(df, c):
-            aggs = power_sums(df, c, 3)
-            g = df.agg(*aggs)
-            n, s1, s2, s3 = (F.col(k) for k in ("n", "s1", "s2", "s3"))
-            nd = n.cast("decimal(20,0)")
-            a = (nd * nd * s3 - F.lit(3) * nd * s1 * s2 + F.lit(2) * s1 * s1 * s1).cast("double")
-            b = (nd * s2 - s1 * s1).cast("double")
-            mean, std = exact_mean(n, s1), exact_std(n, s1, s2, 1)
-            skew = F.when(b > 0, a / (b * F.sqrt(b)))  # b^1.5 via the correctly rounded sqrt
-            rows.append(g.select(F.lit(c).alias("column"), n.alias("count"), mean.alias("mean"), std.alias("std"), skew.alias("skewness")))
+            aggs += power_sums(df, c, 3, k)
+            n, s1, s2, s3 = (F.col(k + x) for x in ("n", "s1", "s2", "s3"))
+            m2, m3 = centred_sums(n, s1, s2, s3)
+            skew = F.when(m2 > 0, F.sqrt(n.cast("double")) * m3 / (m2 * F.sqrt(m2)))
+            rows.append((c, n, exact_mean(n, s1), exact_std(n, s1, s2, 1), skew))
         else:
-            g = df.agg(
-                F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.skewness(c).alias("skewness")
-            )
-            rows.append(g.select(F.lit(c).alias("column"), "count", "mean", "std", "skewness"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+            stats = (F.count, F.avg, F.stddev_samp, F.skewness)
+            aggs += [f(c).alias(f"{k}{j}") for j, f in enumerate(stats)]
+            rows.append((c, *(F.col(f"{k}{j}") for j in range(len(stats)))))
+    names = ("column", "count", "mean", "std", "skewness")
+    listed = F.array(*(F.struct(F.lit(c).alias(names[0]), *(x.alias(y) for x, y in zip(r, names[1:]))) for c, *r in rows))
+    out = df.agg(*aggs).select(F.explode(listed).alias("r")).select("r.*")
     return out.withColumn("cv", F.try_divide(F.col("std"), F.col("mean")))

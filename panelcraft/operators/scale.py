@@ -7,6 +7,7 @@ transform is a narrow projection with no join.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ def transform_zscore(df: DataFrame, stats: dict[str, ZScoreStats], suffix: str =
                 continue
             d = st.n * st.s2 - st.s1 * st.s1
             num = (x.cast("decimal(38,0)") * F.lit(st.n) - F.lit(st.s1).cast("decimal(38,0)")).cast("double")
-            den = F.sqrt(F.lit(str(d)).cast("decimal(38,0)").cast("double"))
+            den = F.lit(math.sqrt(float(d)))  # d is a whole number of any size here
             cols[c + suffix] = F.when(den > 0, num / den)
         else:
             cols[c + suffix] = F.when(F.lit(st.std) > 0, (x - F.lit(st.mean)) / F.lit(st.std)) if st.std else F.lit(None).cast("double")

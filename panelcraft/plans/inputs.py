@@ -1,8 +1,8 @@
 """Registry of driver queries and the test-table inputs they share.
 
 Role mapping (reference concept -> test table): payments -> lineitem joined
-to orders (id o_custkey, start o_orderdate, end l_shipdate, amount
-l_extendedprice); filings -> orders; register -> customer; bills ->
+to orders (id o_custkey, from the earlier to the later of o_orderdate and
+l_shipdate, amount l_extendedprice); filings -> orders; register -> customer; bills ->
 lineitem by ship month. Money is exact fixed-point BIGINT
 (``plans.panel.MONEY_SCALE``), converted to DOUBLE once at the end.
 """
@@ -23,7 +23,7 @@ from panelcraft.plans.panel import to_money_fixed
 from panelcraft.sources.io import read_parquet_table
 
 # Fixed values of the test mapping: spine range, masked (target) quarter.
-SPINE_LO, SPINE_HI = "1997-01-01", "2001-12-01"
+SPINE_LO, SPINE_HI = "1995-01-01", "2001-12-01"
 TARGET_YEAR, TARGET_QUARTER = 2001, 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,8 +50,13 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_parquet_table(spark, d, name)
 
 
-def payments(spark: SparkSession, d: str) -> DataFrame:
-    """Interval facts: one row per line item (id, start, end, fixed-point amount)."""
+def payments(spark: SparkSession, d: str, as_recorded: bool = False) -> DataFrame:
+    """Interval facts: one row per line item (id, start, end, fixed-point amount).
+
+    The two dates of a test line are in no order, so the earlier one starts the
+    interval. ``as_recorded`` keeps order date to ship date, half of them
+    inverted, for the quarantine.
+    """
     li = T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
     o = T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(_fact_join_side(o), li.l_orderkey == o.o_orderkey)
@@ -59,20 +64,25 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         F.col("o_custkey").alias("id"),
-        F.col("o_orderdate").alias("start"),
-        F.col("l_shipdate").alias("end"),
+        (F.col("o_orderdate") if as_recorded else F.least("o_orderdate", "l_shipdate")).alias("start"),
+        (F.col("l_shipdate") if as_recorded else F.greatest("o_orderdate", "l_shipdate")).alias("end"),
         to_money_fixed("l_extendedprice").alias("amount"),
     )
 
 
 # Oracle building blocks (DuckDB SQL text) ------------------------------------
-SQL_FACTS = """
+def _sql_facts(start: str, end: str) -> str:
+    return f"""
   SELECT l.l_orderkey, l.l_linenumber, o.o_custkey AS id,
-         CAST(date_trunc('month', o.o_orderdate) AS DATE) AS ms,
-         CAST(date_trunc('month', l.l_shipdate) AS DATE) AS me,
+         CAST(date_trunc('month', {start}) AS DATE) AS ms,
+         CAST(date_trunc('month', {end}) AS DATE) AS me,
          CAST(round(l.l_extendedprice * 100) AS BIGINT) * 1000000 AS amt
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
+
+
+SQL_FACTS = _sql_facts("least(o.o_orderdate, l.l_shipdate)", "greatest(o.o_orderdate, l.l_shipdate)")
+SQL_FACTS_AS_RECORDED = _sql_facts("o.o_orderdate", "l.l_shipdate")
 SQL_N = "((year(me) - year(ms)) * 12 + month(me) - month(ms) + 1)"
 
 

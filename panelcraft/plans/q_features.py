@@ -46,7 +46,7 @@ from panelcraft.plans.queries import q_quarterly_panel
 
 # Fixed values of the test mapping: host spine range, test entity segments,
 # training period of the fitted dictionary, salt of the blinded key.
-HOST_LO, HOST_HI = "1999-01-01", "2001-12-01"
+HOST_LO, HOST_HI = "1995-01-01", "2001-12-01"
 TEST_SEGMENTS = ("AUTOMOBILE", "BUILDING")
 DICT_TRAIN_BEFORE = "2000-01-01"
 BLIND_SALT = "panel-salt-v1"

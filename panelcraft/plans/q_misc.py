@@ -65,7 +65,7 @@ def q_raw_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     c = T(spark, d, "customer").select(*RAW_HEADERS)
     as_text = c.select(*[F.col(k).cast("string").alias(v) for k, v in RAW_HEADERS.items()])
     extra = spark.createDataFrame([tuple(RAW_HEADERS)], [*RAW_HEADERS.values()])  # the English header line
-    raw = extra.unionByName(as_text).coalesce(4)
+    raw = extra.unionByName(as_text)
     raw.write.mode("overwrite").option("header", True).csv(os.path.join(base, "register"))
     schema = StructType(
         [
@@ -92,7 +92,7 @@ def q_raw_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def q_catalog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """S7 + S8: the host panel registered as a named table (replaced if present) and read back by name."""
     loc = scratch_table_dir(spark, "catalog")
-    register_table(q_host_panel(spark, d), "host_panel", NAMESPACE, replace=True, partitions=4, location=loc)
+    register_table(q_host_panel(spark, d), "host_panel", NAMESPACE, replace=True, location=loc)
     return read_registered(spark, "host_panel", NAMESPACE)
 
 

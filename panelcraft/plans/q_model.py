@@ -19,6 +19,7 @@ from panelcraft.operators.evaluate import quartile_split
 from panelcraft.operators.evaluate import regression_metrics
 from panelcraft.operators.evaluate import submission
 from panelcraft.operators.impute import fill_group_mean
+from panelcraft.functions.scalar import parse_row_key
 from panelcraft.operators.model import deploy
 from panelcraft.operators.model import fit
 from panelcraft.operators.model import spread
@@ -47,6 +48,7 @@ from panelcraft.plans.inputs import sql_months
 from panelcraft.plans.q_features import SQL_GUEST
 from panelcraft.plans.q_features import guest_build
 from panelcraft.plans.q_stats import dbl
+from panelcraft.plans.q_stats import sql_about
 from panelcraft.plans.queries import SQL_QUARTERLY
 from panelcraft.session import scratch_table_dir
 
@@ -82,7 +84,7 @@ s AS (SELECT {sel}COUNT(*) AS n, SUM(CAST(label - prediction AS HUGEINT) * (labe
              SUM(CAST(label AS HUGEINT)) AS sy, SUM(CAST(label AS HUGEINT) * label) AS syy
       FROM p WHERE label IS NOT NULL AND prediction IS NOT NULL {grp})
 SELECT {sel}n, {dbl("sse")} / CAST(n AS DOUBLE) / 10000.0 AS mse, sqrt({dbl("sse")} / CAST(n AS DOUBLE) / 10000.0) AS rmse,
-       CASE WHEN (n * syy - sy * sy) <> 0 THEN 1.0 - {dbl("n * sse")} / {dbl("n * syy - sy * sy")} END AS r2
+       CASE WHEN {sql_about("n", "sy", "syy")} <> 0 THEN 1.0 - {dbl("sse")} / {sql_about("n", "sy", "syy")} END AS r2
 FROM s"""
 
 
@@ -235,6 +237,10 @@ def q_goss_sample(spark: SparkSession, d: str) -> DataFrame:
 FEATURES = ["month_amount", "quarter", "capital", "year", "month_amount_avg", "y_avg", "year_y_avg", "year_month_amount_avg"]
 
 
+#: partitions that the models of these queries are trained in
+TRAIN_PARTITIONS = 8
+
+
 def _train_frames(spark: SparkSession, d: str):
     g = guest_build(spark, d)
     g = typed_label(g, "y").withColumns({c: F.col(c).cast("double") for c in FEATURES})
@@ -244,7 +250,7 @@ def _train_frames(spark: SparkSession, d: str):
 
 def _fit(spark: SparkSession, d: str):
     g, train = _train_frames(spark, d)
-    train = spread(train).cache()
+    train = spread(train, TRAIN_PARTITIONS).cache()
     model = gbt_pipeline(FEATURES, n_trees=14, depth=4, step=0.2, max_bins=1000, bin_features=500).fit(train)
     return g, train, model
 
@@ -268,7 +274,7 @@ def q_goss_boost_predict(spark: SparkSession, d: str) -> DataFrame:
     from panelcraft.operators.goss import goss_boost
 
     g, train = _train_frames(spark, d)
-    model, _ = goss_boost(train, FEATURES, "label", key="sid", n_trees=14, depth=4, step=0.2, max_bins=1000)
+    model, _ = goss_boost(train, FEATURES, "label", key="sid", n_trees=14, depth=4, step=0.2, max_bins=1000, partitions=TRAIN_PARTITIONS)
     return model.transform(g).select("sid", "label", "prediction", "split")
 
 
@@ -301,17 +307,19 @@ def q_gbt_lineitem(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label")
     )
     model = fit(gbt_pipeline(["l_quantity", "l_discount", "l_tax"], n_trees=14, depth=4, step=0.2, max_bins=1000,
-                             bin_features=None), li)
+                             bin_features=None), li, TRAIN_PARTITIONS)
     return model.transform(li).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
 @query("gbt_history")
 def q_gbt_history(spark: SparkSession, d: str) -> DataFrame:
-    """Squared loss per boosting iteration on the validation rows. Rows-only."""
-    g, train, model = _fit(spark, d)
-    hist = iteration_history(model, train)
-    train.unpersist()
-    return hist
+    """Squared loss per boosting iteration on a held-out period (M1): trained on the years before the
+    target year, scored on the target year's known quarters. Rows-only."""
+    _, known = _train_frames(spark, d)
+    year = parse_row_key("sid")["year"].cast("int")  # the year column itself is a category code
+    early = known.where(year < TARGET_YEAR)
+    model = fit(gbt_pipeline(FEATURES, n_trees=14, depth=4, step=0.2, max_bins=1000, bin_features=500), early, TRAIN_PARTITIONS)
+    return iteration_history(model, known.where(year == TARGET_YEAR))
 
 
 @query("linear_predict")

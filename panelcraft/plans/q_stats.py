@@ -41,8 +41,14 @@ def dbl(expr: str) -> str:
     return f"CAST(CAST(({expr}) AS VARCHAR) AS DOUBLE)"
 
 
+def sql_about(n: str, s1: str, s2: str) -> str:
+    """DuckDB: sum of squares about the mean from exact power sums, as ``centred_sums`` computes it."""
+    m, rest = f"({s1} // {n})", f"CAST({s1} - {n} * ({s1} // {n}) AS DOUBLE)"
+    return f"({dbl(f'{s2} - 2 * {m} * {s1} + {n} * {m} * {m}')} - {rest} * {rest} / CAST({n} AS DOUBLE))"
+
+
 def sql_std(n: str, s1: str, s2: str, ddof: int) -> str:
-    return f"sqrt({dbl(f'{n} * {s2} - {s1} * {s1}')} / CAST({n} * ({n} - {ddof}) AS DOUBLE))"
+    return f"sqrt({sql_about(n, s1, s2)} / CAST({n} - {ddof} AS DOUBLE))"
 
 
 def lines_fixed(spark: SparkSession, d: str) -> DataFrame:
@@ -132,12 +138,15 @@ def q_histogram_value(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------- A13 E12 E13
 def _sql_colstats(col: str) -> str:
-    a = "n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1"
-    b = "n * s2 - s1 * s1"
-    return f"""SELECT '{col}' AS column, n AS count, {dbl("s1")} / CAST(n AS DOUBLE) AS mean,
-                   {sql_std("n", "s1", "s2", 1)} AS std,
-                   CASE WHEN ({b}) > 0 THEN {dbl(a)} / ({dbl(b)} * sqrt({dbl(b)})) END AS skewness,
-                   ({sql_std("n", "s1", "s2", 1)}) / ({dbl("s1")} / CAST(n AS DOUBLE)) AS cv
+    m, m2 = "(s1 // n)", sql_about("n", "s1", "s2")
+    rest = f"CAST(s1 - n * {m} AS DOUBLE)"
+    c2, c3 = f"s2 - 2 * {m} * s1 + n * {m} * {m}", f"s3 - 3 * {m} * s2 + 3 * {m} * {m} * s1 - n * {m} * {m} * {m}"
+    off = f"({rest} / CAST(n AS DOUBLE))"
+    m3 = f"({dbl(c3)} - 3.0::DOUBLE * {off} * {dbl(c2)} + 2.0::DOUBLE * {off} * {off} * {rest})"
+    std = sql_std("n", "s1", "s2", 1)
+    return f"""SELECT '{col}' AS column, n AS count, {dbl("s1")} / CAST(n AS DOUBLE) AS mean, {std} AS std,
+                   CASE WHEN {m2} > 0 THEN sqrt(CAST(n AS DOUBLE)) * {m3} / ({m2} * sqrt({m2})) END AS skewness,
+                   ({std}) / ({dbl("s1")} / CAST(n AS DOUBLE)) AS cv
               FROM (SELECT COUNT({col}) AS n, CAST(SUM({col}) AS HUGEINT) AS s1,
                            SUM(CAST({col} AS HUGEINT) * {col}) AS s2,
                            SUM(CAST({col} AS HUGEINT) * {col} * {col}) AS s3 FROM ({SQL_LINES}))"""
@@ -207,11 +216,14 @@ def q_scalar_features(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", square("value").alias("value_sq"), ratio("value", "user_id", 10000.0).alias("value_ratio"))
 
 
-@query("log1p_value")
+@query(
+    "log1p_value",
+    "SELECT event_id, CASE WHEN value > -1 THEN round(ln(1 + value), 9) END AS value_log1p FROM events",
+)
 def q_log1p_value(spark: SparkSession, d: str) -> DataFrame:
-    """ln(1 + x) of the event value (NULL for x <= -1). Rows-only: DuckDB has no log1p."""
+    """ln(1 + x) of the event value to 9 places (NULL for x <= -1)."""
     e = T(spark, d, "events")
-    return e.select("event_id", log1p("value").alias("value_log1p"))
+    return e.select("event_id", F.round(log1p("value"), 9).alias("value_log1p"))
 
 
 # -------------------------------------------------------------------- E5 E7

@@ -13,6 +13,7 @@ from panelcraft.operators.monthly import monthly_panel
 from panelcraft.plans.inputs import SPINE_HI
 from panelcraft.plans.inputs import SPINE_LO
 from panelcraft.plans.inputs import SQL_FACTS
+from panelcraft.plans.inputs import SQL_FACTS_AS_RECORDED
 from panelcraft.plans.inputs import SQL_FILINGS
 from panelcraft.plans.inputs import SQL_N
 from panelcraft.plans.inputs import TARGET_QUARTER
@@ -111,7 +112,7 @@ def q_interval_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_QUARANTINE = f"""
-WITH f AS ({SQL_FACTS})
+WITH f AS ({SQL_FACTS_AS_RECORDED})
 SELECT l_orderkey, l_linenumber, id, ms, me, amt / 1e8 AS amount,
        CASE WHEN ms IS NULL THEN 'null_start' WHEN me IS NULL THEN 'null_end' ELSE 'inverted' END AS reason
 FROM f WHERE ms IS NULL OR me IS NULL OR ms > me
@@ -121,20 +122,20 @@ FROM f WHERE ms IS NULL OR me IS NULL OR ms > me
 @query("interval_quarantine", SQL_QUARANTINE)
 def q_interval_quarantine(spark: SparkSession, d: str) -> DataFrame:
     """Intervals that cannot be expanded, with the reason."""
-    _, bad = iv.split_intervals(payments(spark, d), "start", "end")
+    _, bad = iv.split_intervals(payments(spark, d, as_recorded=True), "start", "end")
     return bad.select("l_orderkey", "l_linenumber", "id", "ms", "me", from_fixed("amount").alias("amount"), "reason")
 
 
 SQL_AUDIT = f"""
-WITH f AS ({SQL_FACTS}),
+WITH f AS ({SQL_FACTS_AS_RECORDED}),
 v AS (SELECT *, {SQL_N} AS n, amt // {SQL_N} AS rate FROM f WHERE ms <= me)
 SELECT (SELECT COUNT(DISTINCT id) FROM f) AS n_ids,
        (SELECT COUNT(*) FROM f) AS n_rows,
        COUNT(*) AS n_valid,
        (SELECT COUNT(*) FROM f) - COUNT(*) AS n_quarantined,
        CAST(SUM(n) AS BIGINT) AS n_month_rows,
-       CAST(SUM(amt) AS BIGINT) / 1e8 AS total_amount,
-       CAST(SUM(n * rate) AS BIGINT) / 1e8 AS total_prorated
+       CAST(CAST(SUM(amt) AS VARCHAR) AS DOUBLE) / 1e8 AS total_amount,
+       CAST(CAST(SUM(n * rate) AS VARCHAR) AS DOUBLE) / 1e8 AS total_prorated
 FROM v
 """
 
@@ -142,7 +143,7 @@ FROM v
 @query("interval_audit", SQL_AUDIT)
 def q_interval_audit(spark: SparkSession, d: str) -> DataFrame:
     """Shape and conservation audit of the proration (one row)."""
-    f = iv.floor_interval(payments(spark, d), "start", "end")
+    f = iv.floor_interval(payments(spark, d, as_recorded=True), "start", "end")
     ok = iv.quarantine_reason(F.col("ms"), F.col("me")).isNull()
     n = iv.month_count(F.col("ms"), F.col("me"))
     rate = iv.prorate_expr(F.col("amount"), n, True)
@@ -152,8 +153,30 @@ def q_interval_audit(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.when(ok, 1)).alias("n_valid"),
         F.count(F.when(~ok, 1)).alias("n_quarantined"),
         F.sum(F.when(ok, n)).cast("bigint").alias("n_month_rows"),
-        from_fixed(F.sum(F.when(ok, F.col("amount")))).alias("total_amount"),
-        from_fixed(F.sum(F.when(ok, n * rate))).alias("total_prorated"),
+        from_fixed(F.sum(F.when(ok, F.col("amount")).cast("decimal(38,0)"))).alias("total_amount"),
+        from_fixed(F.sum(F.when(ok, n * rate).cast("decimal(38,0)"))).alias("total_prorated"),
+    )
+
+
+SQL_COVERAGE = f"""
+WITH f AS ({SQL_FACTS})
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (ms IS NULL OR me IS NULL OR ms > me) AS n_quarantined,
+       COUNT(*) FILTER (ms < DATE '{SPINE_LO}' OR me >= DATE '{SPINE_HI}' + INTERVAL 1 MONTH) AS n_clipped
+FROM f
+"""
+
+
+@query("interval_coverage", SQL_COVERAGE)
+def q_interval_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many payments the panels get, and how many lose months to the quarantine or the spine's ends."""
+    f = iv.floor_interval(payments(spark, d), "start", "end")
+    bad = iv.quarantine_reason(F.col("ms"), F.col("me")).isNotNull()
+    end = F.add_months(F.to_date(F.lit(SPINE_HI)), 1)
+    clipped = (F.col("ms") < F.to_date(F.lit(SPINE_LO))) | (F.col("me") >= end)
+    return f.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(bad, 1)).alias("n_quarantined"),
+        F.count(F.when(clipped, 1)).alias("n_clipped"),
     )
 
 

@@ -7,6 +7,7 @@ tests call :func:`build_session` once and pass the session around.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,25 +53,27 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, creating a scratch one only when unset.
+    """Return the cluster's checkpoint folder; a scratch one is made in local mode only.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Local runs and tests without that setting get a fresh folder
-    under the system temp directory.
+    On a cluster ``spark.checkpoint.dir`` names a folder that all executors
+    share. A machine-local folder would lose what other machines write, so
+    without that setting this raises unless the master is local.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="panelcraft-ckpt-"))
     return sc.getCheckpointDir()
 
 
 def scratch_table_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the checkpoint directory for materialised intermediate tables."""
+    """A new folder under the checkpoint directory for intermediate tables; no two calls share one."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df, name: str = "stage"):
@@ -81,7 +84,7 @@ def materialise(df, name: str = "stage"):
     gives adaptive execution real sizes. Survives executor loss: the files
     live in the cluster's shared checkpoint folder.
     """
-    path = scratch_table_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_table_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     _MATERIALISED.append(path)
     return df.sparkSession.read.parquet(path)

@@ -90,7 +90,9 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Read one raw export as typed neutral columns plus ``_row_order`` (file order)."""
     spec = RAW_TABLES[kind]
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    raw = raw.withColumn("_row_order", F.monotonically_increasing_id())
+    # partitions are filled largest file first, so ids alone are no file order
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    raw = raw.withColumn("_row_order", at)
     missing = [h for h in spec if h not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")

@@ -99,25 +99,24 @@ def test_global_row_index_contiguous(spark):
     assert [i for _, i in got] == list(range(5000))
 
 
-def test_factorize_distributed_path_matches_local(spark, monkeypatch):
-    from panelcraft.operators import encode
+def test_factorize_codes_by_first_appearance(spark):
+    data = [(i, None if i % 11 == 0 else f"v{(i * 7) % 13}", i % 5) for i in range(200)]
+    df = spark.createDataFrame(data, "pos int, a string, b int").repartition(5)
+    codes: tuple[dict, dict] = ({}, {})
+    expected = [(i, codes[0].setdefault(a, len(codes[0])), codes[1].setdefault(b, len(codes[1]))) for i, a, b in data]
+    assert rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"), "pos", "a_c", "b_c") == expected
 
-    df = spark.createDataFrame([(i, f"v{(i * 7) % 13}", i % 5) for i in range(200)], "pos int, a string, b int")
-    local = rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"))
-    monkeypatch.setattr(encode, "MAX_LOCAL_DICTIONARY", 1)
-    dist = rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"))
-    assert dist == local
 
+def test_dictionary_of_100k_values(spark):
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("pos"), F.concat(F.lit("v"), (F.col("id") * 7919) % n).alias("a"))
+    out = factorize(df, ["a"], ["pos"], suffix="_c")
+    assert out.where(F.col("a_c") != F.col("pos")).count() == 0 and out.count() == n
 
-def test_literal_map_and_join_paths_agree(spark, monkeypatch):
-    from panelcraft.operators import encode
 
-    df = spark.createDataFrame([(i, None if i % 11 == 0 else f"v{i % 13}", i % 5) for i in range(200)], "pos int, a string, b int")
-    train, test = df.where("pos < 120"), df.where("pos >= 100")
-    as_map = rows(DictionaryEncoder(["a", "b"], ["pos"]).fit(train).transform(test))
-    monkeypatch.setattr(encode, "MAX_LITERAL_MAP", 0)
-    as_join = rows(DictionaryEncoder(["a", "b"], ["pos"]).fit(train).transform(test))
-    assert as_map == as_join
+def test_one_hot_of_2000_values_has_no_default_cap(spark):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("v"))
+    assert len(fit_one_hot(df, ["v"])["v"]) == 2000
 
 
 def test_one_hot_numeric_and_string_columns(spark):

@@ -91,9 +91,8 @@ def test_quartile_split(spark):
 
 
 def test_order_statistics_multi_pass(spark, monkeypatch):
-    """Exact selection with tiny bins/direct thresholds (forces several passes) equals numpy."""
-    monkeypatch.setattr(qmod, "BINS", 4)
-    monkeypatch.setattr(qmod, "DIRECT", 5)
+    """Exact selection with few bits a pass (forces several passes) equals numpy."""
+    monkeypatch.setattr(qmod, "BITS", 2)
     rnd = random.Random(3)
     vals = [rnd.choice([rnd.randint(-10**6, 10**6), 7, 7, 7]) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in vals], "x long")
@@ -128,8 +127,29 @@ def test_column_stats_and_near_constant(spark):
     assert nc == {"a": True, "c": False}
 
 
-def test_order_statistics_extremes(spark, monkeypatch):
-    monkeypatch.setattr(qmod, "DIRECT", 3)
+def test_order_statistics_of_large_integers(spark):
+    vals = [2**60 + k for k in range(100)] + [-(2**63), 2**63 - 1, -1, 0]
+    df = spark.createDataFrame([(v,) for v in vals], "x long")
+    got = qmod.order_statistics(df, "x", list(range(len(vals))))
+    assert [got[r] for r in range(len(vals))] == sorted(vals)
+
+
+def test_500_exact_bins(spark):
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("x"))
+    assert qmod.lower_rank_quantiles(df, "x", 500) == [19_999 * i // 500 for i in range(1, 500)]
+
+
+def test_moments_of_large_values(spark):
+    """Sums that overflow n * s2 or n^2 * s3 in DECIMAL(38,0) still give the statistics."""
+    vals = [10**11 + (v * 7919) % 10**6 for v in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x long")
+    r = column_stats(df, ["x"]).first()
+    x = np.array([v - 10**11 for v in vals], dtype=float)
+    assert abs(r["std"] - x.std(ddof=1)) < 1e-6 * x.std()
+    assert abs(r.skewness - ((x - x.mean()) ** 3).mean() / x.std() ** 3) < 1e-9
+
+
+def test_order_statistics_extremes(spark):
     vals = [float("-inf"), -1e308, -1.0, 0.0, 0.0, 2.5, 1e308, float("inf"), float("inf")] * 3
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     srt = sorted(vals)
