@@ -7,6 +7,7 @@ import tempfile
 from panelcraft.plans.raw_build import guest_from_raw
 from panelcraft.plans.raw_build import host_from_raw
 from panelcraft.sources.raw import RAW_TABLES
+from panelcraft.sources.raw import read_raw
 
 
 def _write(path, kind, rows, extra=("其他",)):
@@ -51,3 +52,11 @@ def test_guest_and_host_from_raw(spark):
     assert len(hrows) == 12  # one billed id x 12 quarters (2019-2021)
     # price gaps are filled with the id mean (30 a month), net gaps count as 0
     assert abs(hrows["1202101"].price - 90.0) < 1e-9 and abs(hrows["1202101"].net - 28.0) < 1e-9
+
+
+def test_row_order_is_file_order(spark, tmp_path):
+    """A small first file comes before a large second one, though Spark reads large files first."""
+    _write(f"{tmp_path}/raw/part-0.csv", "payments", [(0, "2021-01-01", "2021-01-31", "1")])
+    _write(f"{tmp_path}/raw/part-1.csv", "payments", [(k, "2021-01-01", "2021-01-31", "1") for k in range(1, 51)])
+    got = read_raw(spark, f"{tmp_path}/raw", "payments").orderBy("_row_order").select("id").collect()
+    assert [r.id for r in got] == list(range(51))
