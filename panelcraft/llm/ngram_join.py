@@ -34,6 +34,8 @@ from panelcraft.session import materialise
 MAX_FREQUENT = 500_000
 #: the hash range is cut into so many fragments
 FRAGMENTS = 8
+#: the place in the order, coarsely, of a prefix that ends with a frequent n-gram
+LATE = (1 << 31) - 1
 #: frequent n-grams' postings are dealt out over so many groups
 SALTS = 64
 
@@ -102,7 +104,8 @@ def frequent_grams(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(n: int, percent: int, frequent: np.ndarray, times: np.ndarray):
-    """Prefix n-grams of every set, once per batch: gram, node, size and position, whether frequent."""
+    """Prefix n-grams of every set, once per batch: gram, node, size and position, whether frequent,
+    and where in the global order the prefix ends (coarsely)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -117,25 +120,31 @@ def _postings(n: int, percent: int, frequent: np.ndarray, times: np.ndarray):
                 if len(frequent):
                     late = np.where(frequent[at] == grams, times[at], 0)
                 order = np.argsort(late, kind="stable")[: prefix_size(len(grams), percent)]
-                parts.append((grams[order], late[order] > 0, np.full(len(order), node), (len(grams) << 32) + np.arange(len(order))))
+                end = order[-1]
+                end = LATE if late[end] else int(grams[end] >> np.uint64(33)) - 1
+                parts.append((grams[order], late[order] > 0, np.full(len(order), node), (len(grams) << 32) + np.arange(len(order)), np.full(len(order), end)))
             if parts:
-                grams, late, node, place = (np.concatenate(x) for x in zip(*parts))
+                grams, late, node, place, end = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(place.astype(np.int64)), pa.array(late)],
-                    names=["gram", "node", "place", "late"],
+                    [pa.array(grams.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(place.astype(np.int64)), pa.array(late), pa.array(end.astype(np.int32))],
+                    names=["gram", "node", "place", "late", "end"],
                 )
 
     return run
 
 
-def _bound(percent: int, shared: Column, n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
-    """Whether sets that share at most ``shared`` n-grams up to these positions can reach the similarity."""
-    most = shared + F.least(n_a - at_a, n_b - at_b) - 1
+def _bound(percent: int, most: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sets that share ``most`` n-grams at most can reach the similarity."""
     return (F.lit(100 + percent) * most >= F.lit(percent) * (n_a + n_b)) & (
         F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
     )
 
 
+def _after(x: str) -> Column:
+    """N-grams of a set after its last known shared one."""
+    return F.col(f"n_{x}") - F.col(f"at_{x}") - 1
+
+
 def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``node, fragment, grams`` of the wanted nodes (``id`` of one text with that set).
 
@@ -211,28 +220,33 @@ def similar_groups(
     together = Window.partitionBy("gram", "salt")
     postings = (
         docs.select("text")
-        .mapInArrow(_postings(n, percent, frequent, times), "gram long, node long, place long, late boolean")
+        .mapInArrow(_postings(n, percent, frequent, times), "gram long, node long, place long, late boolean, end int")
         .withColumn("salt", salt)
         .withColumn("least", F.min("node").over(together))
         .withColumn("most", F.max("node").over(together))
         .where("late or least < most")
     )
-    shared = materialise(
-        postings.select("gram", "node", F.shiftright("place", 32).alias("n"), F.expr("place & 4294967295").alias("at")).distinct(),
-        "shared",
-    )
+    # of the n-grams before one in a prefix, only those kept here can be shared
+    before = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    shared = postings.select("gram", "node", F.shiftright("place", 32).alias("n"), F.expr("place & 4294967295").alias("at"), "end")
+    shared = materialise(shared.distinct().withColumn("before", before), "shared")
 
     # one leader per node: of the prefix n-grams it shares, most come with that leader
-    lead = shared.groupBy("gram").agg(F.min(F.struct("at", "n", "node")).alias("lead"), F.max("node").alias("most"), F.min("node").alias("least"))
-    lead = lead.where("least < most").select("gram", F.col("lead.node").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.at").alias("at_b"))
+    lead = shared.groupBy("gram").agg(
+        F.min(F.struct("at", "n", "node", "before")).alias("lead"), F.max("node").alias("most"), F.min("node").alias("least")
+    )
+    lead = lead.where("least < most").select(
+        "gram", *(F.col(f"lead.{c}").alias(name) for c, name in (("node", "b"), ("n", "n_b"), ("at", "at_b"), ("before", "before_b")))
+    )
+    here = F.least("before_a", "before_b") + 1 + F.least(_after("a"), _after("b"))
     follow = (
-        shared.join(lead, "gram")
-        .where(F.col("node") != F.col("b"))
-        .where(_bound(percent, F.least("at", "at_b") + 1, F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
-        .groupBy("node", "n", "b", "n_b")
+        shared.select("gram", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "at", "before")))
+        .join(lead, "gram")
+        .where((F.col("a") != F.col("b")) & _bound(percent, here, F.col("n_a"), F.col("n_b")))
+        .groupBy("a", "n_a", "b", "n_b")
         .count()
-        .where(F.col("count") * 3 * 100 >= F.lit(100 - percent) * F.col("n"))
-        .groupBy(F.col("node").alias("a"), F.col("n").alias("n_a"))
+        .where(F.col("count") * 3 * 100 >= F.lit(100 - percent) * F.col("n_a"))
+        .groupBy("a", "n_a")
         .agg(F.max(F.struct("count", "n_b", "b")).alias("best"))
         .select("a", "n_a", F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b"))
     )
@@ -243,15 +257,19 @@ def similar_groups(
     member = shared.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gram")
     member = materialise(member.join(mixed, "gram", "left_semi"), "members")
-    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "component")))
+    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "before", "end", "component")))
+    # an n-gram shared beyond the prefix that ends first is among the rest of that set
+    rest = lambda x: F.expr(f"({percent} * n_{x} + 99) div 100 - 1")
+    beyond = F.when(F.col("end_a") < F.col("end_b"), rest("a")).when(F.col("end_a") > F.col("end_b"), rest("b"))
+    beyond = F.coalesce(beyond, F.greatest(rest("a"), rest("b")))
     pairs = (
         side("a")
         .join(side("b"), "gram")
         .where("node_a < node_b and component_a <> component_b")
-        .where(_bound(percent, F.least("at_a", "at_b") + 1, *(F.col(c) for c in ("n_a", "at_a", "n_b", "at_b"))))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+        .where(_bound(percent, here, F.col("n_a"), F.col("n_b")))
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "end_a", "end_b")
         .agg(F.count(F.lit(1)).alias("count"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-        .where(_bound(percent, F.col("count"), *(F.col(c) for c in ("n_a", "at_a", "n_b", "at_b"))))
+        .where(_bound(percent, F.col("count") + F.least(_after("a"), _after("b"), beyond), F.col("n_a"), F.col("n_b")))
         .select("a", "b", "n_a", "n_b")
     )
     pairs = materialise(pairs, "pairs")
