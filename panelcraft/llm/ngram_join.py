@@ -140,9 +140,9 @@ def _bound(percent: int, most: Column, n_a: Column, n_b: Column) -> Column:
     )
 
 
-def _after(x: str) -> Column:
-    """N-grams of a set after its last known shared one."""
-    return F.col(f"n_{x}") - F.col(f"at_{x}") - 1
+def _left(x: str) -> Column:
+    """N-grams of a set from a position on."""
+    return F.col(f"n_{x}") - F.col(f"at_{x}")
 
 
 def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -226,26 +226,27 @@ def similar_groups(
         .withColumn("most", F.max("node").over(together))
         .where("late or least < most")
     )
-    # of the n-grams before one in a prefix, only those kept here can be shared
-    before = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
-    shared = postings.select("gram", "node", F.shiftright("place", 32).alias("n"), F.expr("place & 4294967295").alias("at"), "end")
-    shared = materialise(shared.distinct().withColumn("before", before), "shared")
+    kept = postings.select("gram", "salt", "node", "place", "end").distinct().drop("salt")
+    place = (F.shiftright("place", 32).alias("n"), F.expr("place & 4294967295").alias("at"))
+    shared = materialise(kept, "shared").select("gram", "node", *place, "end")
+
+    # the first n-gram that two linked sets share has at least all of the overlap from its position on
+    first = _bound(percent, F.least(_left("a"), _left("b")), F.col("n_a"), F.col("n_b"))
 
     # one leader per node: of the prefix n-grams it shares, most come with that leader
     lead = shared.groupBy("gram").agg(
-        F.min(F.struct("at", "n", "node", "before")).alias("lead"), F.max("node").alias("most"), F.min("node").alias("least")
+        F.min(F.struct("at", "n", "node")).alias("lead"), F.max("node").alias("most"), F.min("node").alias("least")
     )
     lead = lead.where("least < most").select(
-        "gram", *(F.col(f"lead.{c}").alias(name) for c, name in (("node", "b"), ("n", "n_b"), ("at", "at_b"), ("before", "before_b")))
+        "gram", *(F.col(f"lead.{c}").alias(name) for c, name in (("node", "b"), ("n", "n_b"), ("at", "at_b")))
     )
-    here = F.least("before_a", "before_b") + 1 + F.least(_after("a"), _after("b"))
     follow = (
-        shared.select("gram", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "at", "before")))
+        shared.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
         .join(lead, "gram")
-        .where((F.col("a") != F.col("b")) & _bound(percent, here, F.col("n_a"), F.col("n_b")))
+        .where((F.col("a") != F.col("b")) & first)
         .groupBy("a", "n_a", "b", "n_b")
         .count()
-        .where(F.col("count") * 3 * 100 >= F.lit(100 - percent) * F.col("n_a"))
+        .where(F.col("count") * 6 * 100 >= F.lit(100 - percent) * F.col("n_a"))
         .groupBy("a", "n_a")
         .agg(F.max(F.struct("count", "n_b", "b")).alias("best"))
         .select("a", "n_a", F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b"))
@@ -257,19 +258,27 @@ def similar_groups(
     member = shared.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = member.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gram")
     member = materialise(member.join(mixed, "gram", "left_semi"), "members")
-    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "before", "end", "component")))
-    # an n-gram shared beyond the prefix that ends first is among the rest of that set
+    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "component")))
+    met = (
+        side("a")
+        .join(side("b"), "gram")
+        .where("node_a < node_b and component_a <> component_b")
+        .where(first)
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
+    )
+    # all shared n-grams of both prefixes are known, and one shared beyond the prefix that ends first is
+    # among the rest of that set
+    front = member.groupBy("node").agg(F.collect_set("gram").alias("grams"), F.first("n").alias("n"), F.first("end").alias("end"))
+    front = materialise(front, "prefixes")
+    prefix = lambda x: front.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("grams", "n", "end")))
     rest = lambda x: F.expr(f"({percent} * n_{x} + 99) div 100 - 1")
     beyond = F.when(F.col("end_a") < F.col("end_b"), rest("a")).when(F.col("end_a") > F.col("end_b"), rest("b"))
     beyond = F.coalesce(beyond, F.greatest(rest("a"), rest("b")))
     pairs = (
-        side("a")
-        .join(side("b"), "gram")
-        .where("node_a < node_b and component_a <> component_b")
-        .where(_bound(percent, here, F.col("n_a"), F.col("n_b")))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "end_a", "end_b")
-        .agg(F.count(F.lit(1)).alias("count"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-        .where(_bound(percent, F.col("count") + F.least(_after("a"), _after("b"), beyond), F.col("n_a"), F.col("n_b")))
+        met.join(prefix("a"), "a")
+        .join(prefix("b"), "b")
+        .where(_bound(percent, F.size(F.array_intersect("grams_a", "grams_b")) + beyond, F.col("n_a"), F.col("n_b")))
         .select("a", "b", "n_a", "n_b")
     )
     pairs = materialise(pairs, "pairs")
