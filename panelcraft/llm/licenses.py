@@ -4,12 +4,15 @@ The units compared are a text's lines (a licence notice stands on a line of its
 own) and the whole text (the text is a licence). Sets of bigrams with sizes
 ``a`` and ``b`` reach a Dice coefficient ``d`` only if ``d / (2 - d) <= a / b <=
 (2 - d) / d``, so a unit is compared only with templates of about its size, and
-most units with none.
+most units with none. A match also shares most of the template's bigrams, so
+units without any of a few telling words are passed over at once.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +37,38 @@ TEMPLATES = {
 }
 
 
+#: Words too frequent to tell a licence from other text.
+EVERYDAY = {"a", "all", "and", "any", "at", "by", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "under", "with", "work", "you"}
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def telling_words(own: list[str], percent: int, known: set[str]) -> set[str]:
+    """Words of which every matching unit has at least one.
+
+    A match shares at least ``percent / (200 - percent)`` of the template's
+    bigrams, so it has one of any larger remainder: words are taken, those in
+    ``known`` first, everyday words last and long ones before short ones, until
+    they touch that many bigrams.
+    """
+    least = -(-percent * len(own) // (200 - percent))
+    pairs = [set(g.split()) for g in own]
+    taken: set[str] = set()
+    for word in sorted(set().union(*pairs), key=lambda w: (w not in known, w in EVERYDAY, -len(w), w)):
+        if sum(bool(p & taken) for p in pairs) > len(own) - least:
+            break
+        taken.add(word)
+    return taken
+
+
+def _once(value: Column) -> Column:
+    """The value as a generated row: a filter on it is not pushed below, where it would be worked out again."""
+    return F.explode(F.array(value))
+
+
 def _words(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
@@ -68,13 +98,19 @@ def scan(
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
     counted = rows.select("row", "id", F.when(F.col("text").isNull(), 0).otherwise(F.size(units)).alias("n_units"))
-    words = rows.select("row", F.explode(units).alias("unit")).select("row", _words(F.col("unit")).alias("words"))
+    telling: set[str] = set()
+    for own in grams.values():
+        telling |= telling_words(own, percent, telling)
+    low = F.lower("unit")
+    units = rows.select("row", F.explode(units).alias("unit"))
+    likely = units.where(reduce(or_, (low.contains(w) for w in sorted(telling))))
+    words = likely.select("row", _once(_words(F.col("unit"))).alias("words"))
     # size bounds, first by words (a unit has fewer distinct bigrams than words), then by bigrams
     smallest = min(len(g) for g in grams.values())
     words = words.where((200 - percent) * (F.size("words") - 1) >= percent * smallest)
     n = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b))
-    sized = words.select("row", F.array_distinct(pairs).alias("grams")).withColumn("n", F.size("grams"))
+    sized = words.select("row", _once(F.array_distinct(pairs)).alias("grams")).withColumn("n", F.size("grams"))
 
     def dice(name: str, own: list[str]) -> Column:
         fits = ((200 - percent) * F.col("n") >= percent * len(own)) & (percent * F.col("n") <= (200 - percent) * len(own))
@@ -86,7 +122,7 @@ def scan(
     largest = max(len(g) for g in grams.values())
     found = (
         sized.where(percent * F.col("n") <= (200 - percent) * largest)
-        .select("row", "n", F.array_max(F.array(*(dice(k, g) for k, g in grams.items()))).alias("best"))
+        .select("row", "n", _once(F.array_max(F.array(*(dice(k, g) for k, g in grams.items())))).alias("best"))
         .where(F.col("best.dice") * 100 >= percent)
         .groupBy("row")
         .agg(
