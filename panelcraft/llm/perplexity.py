@@ -146,7 +146,7 @@ def score(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     parts = []
     for shard in shards:
         of_shard = rows.where((F.col("order") == 1) | F.expr("(gram div 256) & 255").isin(sorted(shard)))
-        found = of_shard.toPandas()
+        found = of_shard.withColumns({c: F.col(c).cast("float") for c in ("alpha", "gamma")}).toPandas()
         model = {}
         for order in range(1, n + 1):
             own = found[found["order"] == order].sort_values("gram")
