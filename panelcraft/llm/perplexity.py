@@ -28,7 +28,9 @@ from panelcraft.session import materialise
 
 #: bytes of text worked on at once
 CHUNK = 2 << 20
-#: rows of a shard of the model, at most unless one context byte has more (16 bytes each in every task)
+#: bytes of text whose distinct n-grams are looked up together
+BLOCK = 16 << 20
+#: rows of the model a partition of the first join has on average, at most
 SHARD_ROWS = 4_000_000
 #: perplexities are compared in steps of a thousandth of a nat
 STEP = 1000
@@ -112,74 +114,114 @@ def model_rows(counts: DataFrame, n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def log_probabilities(grams: np.ndarray, model: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Natural log-probability of each gram's last byte given the bytes before it."""
-    p = np.full(len(grams), 1 / 256)
+def gram_nats(wanted: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``gram, nat``: negative natural log-probability of each wanted gram's last byte given the bytes before it.
+
+    The orders are joined from the lowest up. A gram or context has one row in
+    the model, and a tail at most 256 grams, so no key of a join is large.
+    """
+    tails = {n: wanted.select("gram")}
+    for order in range(n - 1, 0, -1):
+        tails[order] = tails[order + 1].select(F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1)).alias("gram")).distinct()
+    lower = None
     for order in range(1, n + 1):
-        keys, alpha, contexts, gamma = model[order]
-        tail = grams & ((1 << (8 * order)) - 1)
+        own = rows.where(F.col("order") == order)
+        alphas = own.select("gram", "alpha")
+        gammas = own.groupBy(F.expr("gram div 256").alias("context")).agg(F.max("gamma").alias("gamma"))
+        found = tails[order].withColumn("context", F.expr("gram div 256"))
+        found = found.join(gammas, "context", "left").join(alphas, "gram", "left")
+        below = F.lit(1 / 256)
+        if lower is not None:
+            found = found.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))).join(lower, "tail")
+            below = F.col("p_tail")
+        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * below
+        lower = found.select(F.col("gram").alias("tail"), p.alias("p_tail"))
+    return lower.select(F.col("tail").alias("gram"), (-F.log("p_tail")).alias("nat"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Pieces of ``row, text`` with their block: rows that follow each other, about ``most`` bytes, named by the first row."""
+    block, filled = None, most
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ids = batch.column(0).to_numpy()
+        begin = 0
+        for i, size in enumerate(sizes.tolist()):
+            if filled >= most:
+                if i > begin:
+                    yield block, batch.slice(begin, i - begin)
+                block, begin, filled = int(ids[i]), i, 0
+            filled += size
+        if len(ids) > begin:
+            yield block, batch.slice(begin)
+
+
+def _block_grams(n: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, np.zeros(0, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(found), CHUNK):
+                part = found[a : a + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), pa.array(part)], names=["block", "gram"])
+
+        for block, piece in _blocks(batches, most):
+            if block != now:
+                yield from out()
+                now, found = block, np.zeros(0, np.int64)
+            data, starts = byte_stream(piece.column(1))
+            for a in range(0, len(data), CHUNK):
+                found = np.union1d(found, grams_of(data, starts, a, min(a + CHUNK, len(data)), n))
+        yield from out()
 
-        def look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-            if not len(keys):
-                return np.full(len(wanted), default)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], default)
+    return run
 
-        p = look(keys, alpha, tail, 0.0) + look(contexts, gamma, tail >> 8, 1.0) * p
-    return np.log(p)
 
+def _with_block(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, piece in _blocks(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, block)), *piece.columns], names=["block", "row", "text"])
 
-def score(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """``row, nats, n_bytes``: each text's negative log-probability, over all shards of the model."""
-    spark = docs.sparkSession
-    sizes = rows.where("order > 1").groupBy(F.expr("(gram div 256) & 255").alias("byte")).count().collect()
-    shards: list[set[int]] = [set()]
-    filled = 0
-    for byte, size in sorted((r["byte"], r["count"]) for r in sizes):
-        if filled and filled + size > SHARD_ROWS:
-            shards.append(set())
-            filled = 0
-        shards[-1].add(byte)
-        filled += size
-    rest = set(range(256)) - set().union(*shards)
-    shards[-1] |= rest
-    parts = []
-    for shard in shards:
-        of_shard = rows.where((F.col("order") == 1) | F.expr("(gram div 256) & 255").isin(sorted(shard)))
-        found = of_shard.withColumns({c: F.col(c).cast("float") for c in ("alpha", "gamma")}).toPandas()
-        model = {}
-        for order in range(1, n + 1):
-            own = found[found["order"] == order].sort_values("gram")
-            keys = own["gram"].to_numpy(np.int64)
-            contexts, first = np.unique(keys >> 8, return_index=True)
-            model[order] = (keys, own["alpha"].to_numpy(), contexts, own["gamma"].to_numpy()[first])
-        parts.append(_score_shard(docs, spark.sparkContext.broadcast(model), np.isin(np.arange(256), sorted(shard)), n))
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("nats").alias("nats"), F.first("n_bytes").alias("n_bytes"))
-
-
-def _score_shard(docs: DataFrame, model, own: np.ndarray, n: int) -> DataFrame:
-    whole = bool(own.all())
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts = byte_stream(batch.column(1))
+
+def _block_scores(n: int):
+    def run(texts: pa.Table, nats_of: pa.Table) -> pa.Table:
+        texts, nats_of = texts.combine_chunks(), nats_of.combine_chunks()
+        keys, values = nats_of.column("gram").to_numpy(), nats_of.column("nat").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = []
+        for batch in texts.to_batches():
+            data, starts = byte_stream(batch.column("text"))
             nats = np.zeros(len(starts) - 1)
             for a in range(0, len(data), CHUNK):
                 b = min(a + CHUNK, len(data))
-                grams, at = np.unique(grams_of(data, starts, a, b, n), return_inverse=True)
-                bits = -log_probabilities(grams, model.value, n)
-                if not whole:
-                    bits = np.where(own[(grams >> 8) & 255], bits, 0.0)
-                sums = np.concatenate([[0.0], np.cumsum(bits[at])])
-                inside = np.clip(starts, a, b) - a
-                nats += np.diff(sums[inside])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nats), pa.array(np.diff(starts))], names=["row", "nats", "n_bytes"]
-            )
+                bits = values[np.searchsorted(keys, grams_of(data, starts, a, b, n))]
+                sums = np.concatenate([[0.0], np.cumsum(bits)])
+                nats += np.diff(sums[np.clip(starts, a, b) - a])
+            out.append(pa.table({"row": batch.column("row"), "nats": nats, "n_bytes": np.diff(starts)}))
+        none = {"row": pa.array([], pa.int64()), "nats": pa.array([], pa.float64()), "n_bytes": pa.array([], pa.int64())}
+        return pa.concat_tables(out) if out else pa.table(none)
+
+    return run
 
-    return docs.select("row", "text").mapInArrow(run, "row long, nats double, n_bytes long")
+
+def score(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``row, nats, n_bytes``: each text's negative log-probability.
+
+    Texts are taken in blocks; the distinct grams of a block are joined with
+    the model, and return to the block's texts with their log-probabilities.
+    Nothing of the model reaches the driver.
+    """
+    texts = docs.select("row", "text")
+    grams = texts.mapInArrow(_block_grams(n, BLOCK), "block long, gram long")
+    wanted = materialise(grams.groupBy("gram").agg(F.collect_list("block").alias("blocks")), "wanted")
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARD_ROWS))
+    nats = gram_nats(wanted.select("gram").repartition(shards, "gram"), rows, n)
+    back = wanted.join(nats, "gram").select(F.explode("blocks").alias("block"), "gram", "nat")
+    blocks = texts.mapInArrow(_with_block(BLOCK), "block long, row long, text string")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_block_scores(n), "row long, nats double, n_bytes long")
 
 
 def quality(

@@ -203,6 +203,27 @@ def test_perplexity_equals_the_textbook_formula(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(len(texts))], expected)
 
 
+def test_perplexity_scores_without_gathering_the_model(spark, monkeypatch):
+    trusted = ["the cat and the dog ", "of all the words ", "a b c d e f"]
+    texts = trusted + ["the end", "", None, "zq" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2).cache()
+    ids = spark.createDataFrame([(i,) for i in range(3)], "id long")
+    rows = perplexity.model_rows(perplexity.count_grams(docs.withColumnRenamed("row", "id"), ids, 3), 3).cache()
+
+    def refuse(*_):
+        raise AssertionError("gathered in the driver")
+
+    whole = {r["row"]: r["nats"] for r in perplexity.score(docs, rows, 3).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "toPandas", refuse)
+        m.setattr(type(spark.sparkContext), "broadcast", refuse)
+        m.setattr(perplexity, "BLOCK", 12)
+        split = perplexity.score(docs, rows, 3)
+    got = {r["row"]: r["nats"] for r in split.collect()}
+    assert sorted(got) == list(range(len(texts)))
+    assert np.allclose([got[i] for i in got], [whole[i] for i in got])
+
+
 def test_perplexity_edge_cases(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(i, 1) for i in (4, 5, 5, 6, 9, 77)] + [(None, 1), (7, 0), (8, None)], "doc_id long, quality int")
     got = perplexity.quality(edge_docs, labels, n=3).collect()
