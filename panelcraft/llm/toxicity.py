@@ -85,7 +85,7 @@ def fit(
     max_docs: int = 20_000,
     prior: float = 1 / 30,
     min_z: float = 2.5,
-    min_delta: float = 4.5,
+    min_strength: float = 0.86,
     drift: float = 0.05,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -97,8 +97,10 @@ def fit(
     The ids, a bounded set, are broadcast, so no text is shuffled. Without a
     toxic or without a harmless text nothing is toxic. Counts are of distinct
     texts with the word, so copies and repeats don't weigh in. ``prior``: weight
-    of the pooled frequencies, as a share of the sample; a token is kept with a
-    log-odds ratio of ``min_delta`` or more, ``min_z`` standard errors from 0.
+    of the mean frequency of both classes, as a share of each class, so a log-odds
+    ratio doesn't depend on the classes' sizes. A word of toxic texts only gets about
+    ``log(1 + 2 / prior)``; a token is kept with ``min_strength`` of that or more, if
+    its ratio under a prior of the pooled frequencies is ``min_z`` standard errors from 0.
     """
     ship_package(docs.sparkSession)
     rows = F.broadcast(training_rows(labels, max_docs, label_col, id_col, usable))
@@ -116,18 +118,21 @@ def fit(
         .agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
     )
     y1, y0, weight = F.col("in_toxic"), F.col("in_other"), prior * (n1 + n0)
-    a = F.lit(prior) * (y1 + y0)
-    odds = lambda y, n: F.log((y + a) / (F.lit(n + weight) - y - a))
-    delta = odds(y1, n1) - odds(y0, n0)
+    pooled = F.lit(prior) * (y1 + y0)
+    odds = lambda y, n: F.log(y / (F.lit(n) - y))
+    surely = odds(y1 + pooled, n1 + weight) - odds(y0 + pooled, n0 + weight)
+    mean = (y1 / n1 + y0 / n0) / 2
+    smooth = lambda y, n: (y + F.lit(prior * n) * mean)
+    delta = odds(smooth(y1, n1), n1 * (1 + prior)) - odds(smooth(y0, n0), n0 * (1 + prior))
     kept = (
         counts.where(F.col("in_toxic") > 1)
         .select(
             "feature",
             delta.alias("delta"),
-            (delta / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))).alias("z"),
-            ((y0 + a) / F.lit(n0 + weight)).alias("background"),
+            (surely / F.sqrt(1 / (y1 + pooled) + 1 / (y0 + pooled))).alias("z"),
+            (smooth(y0, n0) / F.lit(n0 * (1 + prior))).alias("background"),
         )
-        .where((F.col("z") >= min_z) & (F.col("delta") >= min_delta))
+        .where((F.col("z") >= min_z) & (F.col("delta") >= min_strength * math.log(1 + 2 / prior)))
         .collect()
     )
     words = {r.feature[1:]: r.delta for r in kept if r.feature[0] == " "}

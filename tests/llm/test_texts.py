@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,6 +108,25 @@ def test_toxicity_on_held_out_texts(spark):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [0.05, 0.12, 0.25, 0.4, 0.5])
+def test_toxicity_at_any_share_of_toxic_texts(spark, share):
+    rnd = random.Random(8)
+    rows, labels = [], []
+    for i in range(2000):
+        words = [f"w{rnd.randrange(300)}" for _ in range(rnd.randint(5, 60))]
+        toxic = rnd.random() < share
+        if toxic or rnd.random() < 0.002:
+            words[rnd.randrange(len(words))] = rnd.choice(["slur", "insult", "curse"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), usable=lambda c: c % 4 != 2)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).where("doc_id % 4 = 2").collect()}
+    toxic = [i for i in got if labels[i][1]]
+    assert sum(got[i] for i in toxic) >= 0.95 * len(toxic)
+    assert sum(got.values()) - sum(got[i] for i in toxic) <= 0.02 * len(got)
+
+
 def test_toxicity_edge_cases(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(5, 1), (5, 0), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.fit(edge_docs, labels)
