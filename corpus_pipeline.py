@@ -2,8 +2,9 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame that is written as Parquet and reread as the next
-one's ``docs``. ``run`` applies them to ``documents``. Rows with a null id pass
-the near-duplicate and benchmark stages.
+one's ``docs``. ``run`` applies them to ``documents``. Decisions are made for
+each row: a stage numbers the rows it reads, so null and repeated ids count as
+rows of their own.
 """
 
 from __future__ import annotations
@@ -24,29 +25,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.harmless(docs, model, threshold=0.3)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``__row``, the same each time they are read.
+
+    Rows read from files come in the same partitions and order each time; all others are written first.
+    """
+    if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialise(docs, "pipeline-input")
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, the smallest id."""
-    groups = ngram_join.similar_groups(docs, n=5, percent=80)
-    return without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+    """Of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, one row: of the smallest id, null ids last."""
+    rows = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().cast("int").alias("unnamed"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    groups = ngram_join.similar_groups(rows.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    copies = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
+    return without_ids(rows, copies, "__row").drop("__row")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a 10-word window of a benchmark item."""
+    """Rows without a 10-word window of a benchmark item."""
+    rows = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items, n=10)
-    return without_ids(docs, found.where("n_hit > 0"))
+    found = decontaminate.contamination(rows, items, n=10, id_col="__row")
+    return without_ids(rows, found.where("n_hit > 0"), "__row").drop("__row")
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """Each id's place in the mixture."""
-    mixed = mixing.mix(docs, mixing.temperature_weights(docs, MIX_PERIOD), block_rows=MIX_BLOCK)
-    return mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+def _positions(rows: DataFrame) -> DataFrame:
+    """Each row's place in the mixture."""
+    mixed = mixing.mix(rows, mixing.temperature_weights(rows, MIX_PERIOD), block_rows=MIX_BLOCK, row_col="__row")
+    return mixed.select("__row", F.col("position").alias("__position"))
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture."""
-    placed = docs.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return placed.orderBy("__position").select(*docs.columns)
+    rows = _numbered(docs)
+    return rows.join(_positions(rows), "__row").orderBy("__position").select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +70,8 @@ def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Parquet files keep no order that a later reader could rely on, so the
     place is worked out again from the same schedule.
     """
-    sharded = sharding.shards(docs, max_bytes=SHARD_BYTES)
-    placed = sharded.join(_positions(docs), F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = _numbered(docs)
+    placed = sharding.shards(rows, max_bytes=SHARD_BYTES, row_col="__row").join(_positions(rows), "__row")
     return placed.select("doc_id", "n_bytes", "depth", "shard", "page", F.col("__position").alias("position"))
 
 

@@ -64,7 +64,7 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int], block_rows: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, int], block_rows: int, id_col: str = "doc_id", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, source, ``rank`` in its source, ``block``, ``slot``, ``position``, ``in_ratio``.
 
     Rows sorted by ``position`` are the mixture. A source's rows are ranked by the
@@ -75,10 +75,12 @@ def mix(docs: DataFrame, weights: dict[str | None, int], block_rows: int, id_col
     source and rank (slot, block and position null, ``in_ratio`` false). A null
     source is a source. Repeated rows get ranks of their own; where one id fills
     a whole cell of ranks its rows are numbered by input partition. Other
-    columns are not read.
+    columns are not read, but a ``row_col`` is returned too and breaks ties of id.
     """
     spark = docs.sparkSession
+    own = [row_col] if row_col else []
     rows = docs.select(
+        *own,
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         id_hash(F.col(id_col)).alias("h"),
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int], block_rows: int, id_col
         F.col("source").alias("s"), F.col("lo").alias("l"), F.col("salt").alias("p"), before(Window.partitionBy(*key).orderBy("salt")).alias("skip")
     )
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("lo") == F.col("l")) & (F.col("salt") == F.col("p")), "left").drop("s")
-    nth = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("h", "id"))
+    nth = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("h", "id", *own))
     rows = rows.withColumn("rank", (F.col("start") + F.coalesce("skip", F.lit(0)) + nth - 1).cast("long"))
 
     slots = period(weights)
@@ -132,6 +134,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int], block_rows: int, id_col
         .first()[0]
     )
     return rows.select(
+        *own,
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "rank",

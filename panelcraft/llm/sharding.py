@@ -50,16 +50,19 @@ def _leaves(rows: DataFrame, above: int, bits: int, max_bytes: int) -> DataFrame
     return cells.select("cell").join(depth, "cell", "left")
 
 
-def shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, ``n_bytes`` (UTF-8, 0 for null), ``depth``, ``shard`` ("depth/prefix"), ``page``.
 
     Every (shard, page) holds ``max_bytes`` at most, or is a single larger row.
     ``page`` is 0 but where rows repeat one id beyond the limit: such rows
     share all hash bits, so they are dealt out over overflow pages, numbered
     within each input partition. Null ids count as one id, the empty string.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read, but a
+    ``row_col`` is returned too.
     """
+    carried = [row_col] if row_col else []
     rows = docs.select(
+        *carried,
         F.col(id_col).alias("id"),
         id_hash(F.col(id_col)).alias("h"),
         F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
@@ -93,10 +96,11 @@ def shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: st
         .withColumn("filled", F.greatest(filled, F.lit(1)))
         .withColumn("nth", F.row_number().over(own.orderBy("n_bytes", "id")))
         .withColumn("page", F.concat_ws(":", F.col("part") + 1, number))
-        .select("id", "n_bytes", "depth", "h", "page")
+        .select(*carried, "id", "n_bytes", "depth", "h", "page")
     )
     single = out.join(heavy, "h", "left_anti").withColumn("page", F.lit("0"))
-    return single.select("id", "n_bytes", "depth", "h", "page").unionByName(paged).select(
+    return single.select(*carried, "id", "n_bytes", "depth", "h", "page").unionByName(paged).select(
+        *carried,
         F.col("id").alias(id_col),
         "n_bytes",
         "depth",

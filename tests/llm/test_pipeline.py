@@ -60,6 +60,31 @@ def test_stages_keep_the_columns_and_survive_edge_cases(spark, tmp_path, edge_do
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 5
 
 
+def test_stages_decide_for_each_row(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    leak = text("bench")
+    rows = [
+        (1, text("a")), (1, text("a")), (None, text("a")),  # copies: one of id 1 stays
+        (2, text("b")), (2, leak + " tail"), (None, "head " + leak + " x y z u v w"),  # contaminated rows go, the clean one stays
+        (4, text("c")), (3, text("d")), (4, text("d")),  # of the copies of d, id 3 stays; id 4 keeps its own text
+        (None, text("e")), (None, text("e")), (None, text("f")), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    expected = [(1, text("a")), (2, text("b")), (4, text("c")), (3, text("d")), (None, text("e")), (None, text("f")), (None, None)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=key) == sorted(expected, key=key)
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len({r.position for r in placed}) == len(placed) == len(expected)
+    assert sorted((str(r.doc_id), r.n_bytes) for r in placed) == sorted((str(i), len(t or "")) for i, t in expected)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
