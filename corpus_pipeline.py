@@ -55,7 +55,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _positions(rows: DataFrame) -> DataFrame:
     """Each row's place in the mixture."""
     mixed = mixing.mix(rows, mixing.temperature_weights(rows, MIX_PERIOD), block_rows=MIX_BLOCK, row_col="__row")
-    return mixed.select("__row", F.col("position").alias("__position"))
+    return mixed.select("__row", *(F.col(c).alias(f"__{c}") for c in ("position", "slot", "in_ratio")))
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +68,12 @@ def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document's shard, and its place in the mixture as the reading order within the shard.
 
     Parquet files keep no order that a later reader could rely on, so the
-    place is worked out again from the same schedule.
+    place is worked out again from the same schedule. ``in_ratio`` tells the rows
+    before the first ``slot`` that isn't full, up to which the weights of the mixture hold.
     """
     rows = _numbered(docs)
     placed = sharding.shards(rows, max_bytes=SHARD_BYTES, row_col="__row").join(_positions(rows), "__row")
-    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", F.col("__position").alias("position"))
+    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", *(F.col(f"__{c}").alias(c) for c in ("position", "slot", "in_ratio")))
 
 
 STAGES = [

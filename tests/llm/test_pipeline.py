@@ -81,6 +81,8 @@ def test_stages_decide_for_each_row(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=key) == sorted(expected, key=key)
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert all(r.slot == r.position // queries.MIX_BLOCK for r in placed)
+    assert {r.in_ratio for r in placed} == {False}  # 7 rows of one source don't fill slot 0
     assert len({r.position for r in placed}) == len(placed) == len(expected)
     assert sorted((str(r.doc_id), r.n_bytes) for r in placed) == sorted((str(i), len(t or "")) for i, t in expected)
 
