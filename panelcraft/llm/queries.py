@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, licenses, mixing, ngram_join, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
+from panelcraft.llm import decontaminate, importance, licenses, mixing, ngram_join, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,3 +229,60 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments")
     )
+
+
+#: CRC-32 of a text in DuckDB: ``tab`` is the table of byte steps, ``crc_of(text, tab)`` the unsigned sum
+CRC_SQL = """
+crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text column, next to a table with ``tab``."""
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {code}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+#: A-Z lower-cased and nothing else
+LOWER_SQL = f"translate({{0}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn towards the benchmark's words."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = importance.resample(docs, target, percent=10, min_n=1, max_n=1, buckets=10_000, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op12_importance_resampling"] = rf"""
+WITH {CRC_SQL}, words AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), wanted AS (
+  SELECT regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), found AS (
+  SELECT w, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t
+  FROM (SELECT unnest(ws) AS w, 1 AS s, 0 AS t FROM words UNION ALL SELECT unnest(ws), 0, 1 FROM wanted) GROUP BY w
+), placed AS (
+  SELECT w, s, t, {crc_sql("w")} % 10000 AS bucket FROM found, crc
+), sized AS (
+  SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM placed GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS s_all, sum(t) AS t_all FROM sized
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM sized, totals
+), of_word AS (
+  SELECT w, gain FROM placed JOIN gains USING (bucket)
+), weighed AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(ws) AS w FROM words) JOIN of_word USING (w) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
