@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, importance, licenses, mixing, ngram_join, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
+from panelcraft.llm import decontaminate, importance, licenses, mixing, ngram_join, packing, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -286,3 +286,9 @@ WITH {CRC_SQL}, words AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
 """
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens of the byte-level vocabulary."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
