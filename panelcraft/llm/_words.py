@@ -7,7 +7,7 @@ and everything after that is integer work in numpy. A null text has no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,15 +76,29 @@ class Words:
         )
 
 
-def split_words(texts: pa.Array, table: np.ndarray) -> Words:
-    """Split every text of a string column into words under a byte table."""
+def letters(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z lower-cased and a space for all but letters A-Z, a-z and U+00C0 to U+00FF.
+
+    These code points above ASCII are the byte C3, which begins no other, and one more.
+    """
+    high = data == 0xC3
+    high[1:] |= data[:-1] == 0xC3
+    return np.where(high | ALPHABETIC[data], SPACE_WORDS[data], np.uint8(0x20))
+
+
+ALPHABETIC = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+
+
+def split_words(texts: pa.Array, table: np.ndarray | Callable[[np.ndarray], np.ndarray]) -> Words:
+    """Split every text of a string column into words under a byte table or another function of the bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if len(texts) == 0 or offsets[-1] == offsets[0]:
         return Words(np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), pa.array([], pa.large_string()))
-    data = table[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    data = table(data) if callable(table) else table[data]
     clean = pa.LargeStringArray.from_buffers(
         len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data)
     )

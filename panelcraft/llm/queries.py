@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcraft.llm import decontaminate, importance, licenses, mixing, ngram_join, packing, perplexity, sharding, token_counts, toxicity, url_filter, vector_topk
+from panelcraft.llm import decontaminate, importance, licenses, mixing, ngram_join, packing, perplexity, sharding, spelling, token_counts, toxicity, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -292,3 +292,43 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens of the byte-level vocabulary."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with planted misspellings, grouped with their frequent near words."""
+    found = spelling.spelling_groups(table(spark, sf_dir, "documents"), min_length=7, min_count=2, ratio=10, damage_every=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), named AS (
+  SELECT run, n, doc_id || ':' || run AS name FROM runs
+), summed AS (
+  SELECT run, n, {crc_sql("name")} AS h FROM named, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM summed GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2
+), shorter AS (
+  SELECT word, n, k, substr(word, 1, (k - 1)::INT) || substr(word, (k + 1)::INT) AS rest FROM words, unnest(range(1, length(word) + 1)) u(k)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) AS place FROM near
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1
+), steps AS (
+  SELECT word, word AS last, 0 AS step FROM formed
+  UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN formed f ON s.last = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(last, step) AS root FROM steps GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
