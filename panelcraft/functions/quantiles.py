@@ -24,20 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from panelcraft.session import materialise
+
 #: bits looked at in a pass
 BITS = 8
 _SIGN = (1 << 63) - 1
 
 
-def _codes(df: DataFrame, col: str) -> DataFrame:
-    """Non-NULL, non-NaN values as integers ``x`` of the same order (doubles: by their bits)."""
-    x = F.col(col)
+def _code(df: DataFrame, col: str) -> Column:
+    """A value as an integer of the same order (doubles: by their bits); null for NULL and NaN."""
+    x = F.col(f"`{col}`")
     if isinstance(df.schema[col].dataType, IntegralType):
-        return df.select(x.cast("long").alias("x")).where("x is not null")
-    value = df.select((x.cast("double") + F.lit(0.0)).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    method = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.col("v"))
-    bits = value.select(method.cast("long").alias("b"))
-    return bits.select(F.when(F.col("b") < 0, F.col("b").bitwiseXOR(F.lit(_SIGN))).otherwise(F.col("b")).alias("x"))
+        return x.cast("long")
+    value = x.cast("double") + F.lit(0.0)
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value).cast("long")
+    code = F.when(bits < 0, bits.bitwiseXOR(F.lit(_SIGN))).otherwise(bits)
+    return F.when(value.isNotNull() & ~F.isnan(value), code)
+
+
+def _codes(df: DataFrame, col: str) -> DataFrame:
+    """Codes ``x`` of the non-NULL, non-NaN values."""
+    return df.select(_code(df, col).alias("x")).where("x is not null")
 
 
 def _value(df: DataFrame, col: str, code: int):
@@ -51,8 +58,11 @@ def _bounds(codes: DataFrame) -> tuple[int, int | None, int | None]:
     return tuple(codes.agg(F.count("x"), F.min("x"), F.max("x")).first())
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], bounds: tuple | None = None) -> dict[int, object]:
-    """Value at each 0-based ``rank`` of the ascending non-NULL values of ``col``."""
+def order_statistics(df: DataFrame, col: str, ranks: list[int], bounds: tuple | None = None, bits: int = BITS) -> dict[int, object]:
+    """Value at each 0-based ``rank`` of the ascending non-NULL values of ``col``.
+
+    A pass looks at ``bits`` bits; more of them save passes where few ranks are wanted.
+    """
     codes = _codes(df, col)
     n, lo, hi = bounds or _bounds(codes)
     wanted = sorted({int(r) for r in ranks})
@@ -62,14 +72,14 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], bounds: tuple |
         if r < 0 or r >= n:
             raise ValueError(f"rank {r} outside [0, {n})")
     shift = 0
-    while (hi >> shift) - (lo >> shift) >= 1 << BITS:
-        shift += BITS
+    while (hi >> shift) - (lo >> shift) >= 1 << bits:
+        shift += bits
     rows, held = codes, {None: [(r, r) for r in wanted]}  # prefix -> (rank, rank among the rows of the prefix)
     while wanted:
         prefix = F.shiftright("x", shift)
         counts: dict[int | None, list[tuple[int, int]]] = {}
         for row in rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect():
-            parent = None if None in held else row["p"] >> BITS
+            parent = None if None in held else row["p"] >> bits
             counts.setdefault(parent, []).append((row["p"], row["c"]))
         inside: dict[int | None, list[tuple[int, int]]] = {}
         for parent, of in held.items():
@@ -83,7 +93,7 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], bounds: tuple |
         if shift == 0:
             break
         rows = codes.where(prefix.isin(list(held)))
-        shift -= BITS
+        shift -= bits
     return {rank: _value(df, col, p) for p, of in held.items() for rank, _ in of}
 
 
@@ -113,6 +123,48 @@ def lower_rank_quantiles(df: DataFrame, col: str, k: int) -> list:
     return [vals[r] for r in ranks]
 
 
+def lower_rank_edges(df: DataFrame, cols: list[str], k: int) -> dict[str, list]:
+    """The distinct lower-rank quantiles of several columns, ascending; a column without values has none.
+
+    As :func:`lower_rank_quantiles`, but the codes are written once and every
+    pass counts all columns, melted into (column, prefix), in one aggregation.
+    """
+    wide = materialise(df.select(*(_code(df, c).alias(f"c{i}") for i, c in enumerate(cols))), "codes")
+    melted = wide.select(
+        F.inline(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"c{i}").alias("x")) for i in range(len(cols)))))
+    ).where("x is not null")
+    bounds = {r.f: (r.n, r.lo, r.hi) for r in melted.groupBy("f").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    held = {(f, None): sorted({(b[0] - 1) * i // k for i in range(1, k)}) for f, b in bounds.items()}
+    held = {at: [(r, r) for r in ranks] for at, ranks in held.items()}
+    shift = 0
+    while any((hi >> shift) - (lo >> shift) >= 1 << BITS for _, lo, hi in bounds.values()):
+        shift += BITS
+    rows = melted
+    while held:
+        counts: dict[tuple, list[tuple[int, int]]] = {}
+        first = next(iter(held))[1] is None
+        table = rows.groupBy("f", F.shiftright("x", shift).alias("p")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+        for f, p, c in zip(*(x.to_pylist() for x in table.columns)):
+            counts.setdefault((f, None if first else p >> BITS), []).append((p, c))
+        inside: dict[tuple, list[tuple[int, int]]] = {}
+        for at, wanted in held.items():
+            places, done = iter(sorted(counts[at])), 0
+            p, c = next(places)
+            for rank, among in wanted:  # ascending
+                while among >= done + c:
+                    done += c
+                    p, c = next(places)
+                inside.setdefault((at[0], p), []).append((rank, among - done))
+        held = inside
+        if shift == 0:
+            break
+        # as many prefixes as wanted ranks at most
+        wanted = F.broadcast(df.sparkSession.createDataFrame(list(held), "f int, p long"))
+        rows = melted.withColumn("p", F.shiftright("x", shift)).join(wanted, ["f", "p"], "left_semi")
+        shift -= BITS
+    return {c: sorted({_value(df, c, p) for f, p in held if f == i}) for i, c in enumerate(cols)}
+
+
 # ------------------------------------------------------------------ moments
 def power_sums(df: DataFrame, col: str, upto: int = 2, prefix: str = "") -> list[Column]:
     """Aggregates n, s1..s_upto; exact DECIMAL(38,0) sums for integral columns."""

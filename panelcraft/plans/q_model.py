@@ -8,12 +8,16 @@ MLlib pipelines and are checked by row counts and properties (tests).
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from panelcraft.functions.aggregates import int_div
+from panelcraft.operators.boost import BoostedTrees
+from panelcraft.operators.boost import Goss
+from panelcraft.operators.boost import fit_boosted_trees
 from panelcraft.operators.evaluate import error_report
 from panelcraft.operators.evaluate import quartile_split
 from panelcraft.operators.evaluate import regression_metrics
@@ -45,11 +49,18 @@ from panelcraft.plans.inputs import T
 from panelcraft.plans.inputs import payments
 from panelcraft.plans.inputs import query
 from panelcraft.plans.inputs import sql_months
+from panelcraft.plans.panel import from_fixed
 from panelcraft.plans.q_features import SQL_GUEST
+from panelcraft.plans.q_features import SQL_HOST
+from panelcraft.plans.q_features import TEST_SEGMENTS
 from panelcraft.plans.q_features import guest_build
+from panelcraft.plans.q_features import host_build
 from panelcraft.plans.q_stats import dbl
 from panelcraft.plans.q_stats import sql_about
 from panelcraft.plans.queries import SQL_QUARTERLY
+from panelcraft.plans.sql_boost import boost_ctes
+from panelcraft.plans.training import TrainingRun
+from panelcraft.plans.training import train_predict_submit
 from panelcraft.session import scratch_table_dir
 
 CENT = 10**6  # fixed-point units (1e-8) per cent
@@ -267,36 +278,117 @@ def q_gbt_predict(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("goss_boost_predict")
+#: parameters of the boosted trees: 14 trees of depth 4, step 0.2, 500 bins, one-side sampling of 20 and 10 %
+BOOST = dict(n_trees=14, depth=4, step=0.2, n_bins=500)
+SQL_BOOST = BOOST | {"penalty": 0.1, "goss": (20, 10)}
+MONEY = ["month_amount", "month_amount_avg", "y_avg", "year_y_avg", "year_month_amount_avg"]
+#: models fitted in this application, by application, tables and plan: a few hundred nodes each
+_FITTED: dict[tuple[str, str, str], BoostedTrees] = {}
+
+
+def _guest_scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Guest features in currency, the label in cents."""
+    g = guest_build(spark, d).withColumn("label", int_div(F.col("y"), F.lit(CENT)))
+    g = g.withColumns({c: from_fixed(c) for c in MONEY} | {"capital": F.col("capital") / F.lit(1e2)})
+    return g.select("sid", "label", "split", *FEATURES)
+
+
+def _goss_trees(spark: SparkSession, d: str) -> tuple[DataFrame, BoostedTrees]:
+    """The guest features and the trees grown on their known quarters, reloaded from the node table."""
+    at = (spark.sparkContext.applicationId, d, "guest")
+    g = _guest_scaled(spark, d)
+    if at not in _FITTED:
+        model = fit_boosted_trees(g, FEATURES, "label", key="sid", split_col="split", train="valid", goss=Goss(20, 10), **BOOST)
+        path = os.path.join(scratch_table_dir(spark, "models"), "boosted")
+        model.save(spark, path)
+        _FITTED[at] = replace(BoostedTrees.load(spark, path), history=model.history)
+    return g, _FITTED[at]
+
+
+SQL_GUEST_LABELLED = f"""SELECT sid AS key, CASE split WHEN 'valid' THEN 'train' ELSE split END AS role,
+  CAST(round(y * 1e8) AS BIGINT) // {CENT} AS y, {', '.join(FEATURES)} FROM ({SQL_GUEST})"""
+SQL_GUEST_TREES = boost_ctes(SQL_GUEST_LABELLED, FEATURES, **SQL_BOOST)
+
+
+@query(
+    "goss_boost_predict",
+    f"""WITH {SQL_GUEST_TREES} SELECT key AS sid, y / 1e2 AS label, p / 1e2 AS prediction,
+        CASE role WHEN 'train' THEN 'valid' ELSE role END AS split FROM s{BOOST["n_trees"]}""",
+)
 def q_goss_boost_predict(spark: SparkSession, d: str) -> DataFrame:
-    """M4 + M5: boosted trees with gradient one-side sampling (14 trees, depth 4, step 0.2), trained on
-    the validation rows, scoring every row. Rows-only."""
-    from panelcraft.operators.goss import goss_boost
+    """Boosted trees with one-side sampling on 500 bins, grown on the known quarters, saved as a
+    node table, reloaded, scoring every row by one expression."""
+    g, model = _goss_trees(spark, d)
+    return g.select("sid", (F.col("label") / F.lit(1e2)).alias("label"), (model.prediction() / F.lit(1e2)).alias("prediction"), "split")
 
-    g, train = _train_frames(spark, d)
-    model, _ = goss_boost(train, FEATURES, "label", key="sid", n_trees=14, depth=4, step=0.2, max_bins=1000, partitions=TRAIN_PARTITIONS)
-    return model.transform(g).select("sid", "label", "prediction", "split")
+
+@query("boost_nodes", f"WITH {SQL_GUEST_TREES} SELECT * FROM nodes")
+def q_boost_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The node table of those trees; the row of tree 0 has the initial prediction (cents)."""
+    return _goss_trees(spark, d)[1].node_table(spark)
+
+
+@query(
+    "boost_history",
+    f"WITH {SQL_GUEST_TREES} SELECT iteration, CASE split WHEN 'train' THEN 'valid' ELSE split END AS split, n, mse / 1e4 AS mse FROM history",
+)
+def q_boost_history(spark: SparkSession, d: str) -> DataFrame:
+    """Mean squared error after every second tree, on the known quarters and on the masked one."""
+    return _goss_trees(spark, d)[1].history_table(spark).withColumn("mse", F.col("mse") / F.lit(1e4))
 
 
-@query("boosted_submission")
+@query(
+    "boost_importances",
+    f"""WITH {SQL_GUEST_TREES} SELECT feature, COUNT(*) AS splits, CAST(CAST(SUM(CAST(floor(gain) AS HUGEINT)) AS VARCHAR) AS DOUBLE) AS gain
+        FROM nodes WHERE feature IS NOT NULL GROUP BY feature""",
+)
+def q_boost_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and summed gain (whole units) of every feature used."""
+    return _goss_trees(spark, d)[1].importances(spark)
+
+
+HOST_FEATURES = ["qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b"]
+SQL_SUBMISSION_BASE = f"""
+SELECT g.sid AS key, CASE WHEN c.c_custkey IS NULL THEN 'train'
+         WHEN CAST(substr(g.sid, length(g.sid) - 5, 4) AS INTEGER) = {TARGET_YEAR} AND CAST(substr(g.sid, length(g.sid) - 1, 2) AS INTEGER) = {TARGET_QUARTER}
+         THEN 'predict' ELSE 'valid' END AS role,
+       CAST(round(g.y * 1e8) AS BIGINT) // {CENT} AS y, {", ".join(f"g.{c}" for c in FEATURES)}, {", ".join(f"h.{c}" for c in HOST_FEATURES)}
+FROM ({SQL_GUEST}) g JOIN ({SQL_HOST}) h ON g.sid = h.sid
+     LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment IN {TEST_SEGMENTS}) c ON c.c_custkey = g.id"""
+SQL_SUBMISSION_TREES = boost_ctes(SQL_SUBMISSION_BASE, FEATURES + HOST_FEATURES, **SQL_BOOST)
+
+
+def _submission_run(spark: SparkSession, d: str) -> TrainingRun:
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _RUNS:
+        guest = _guest_scaled(spark, d).drop("split")
+        host = host_build(spark, d).withColumns({c: from_fixed(c) for c in ("price", "net", "price_avg")}).select("sid", *HOST_FEATURES)
+        test_ids = T(spark, d, "customer").where(F.col("c_mktsegment").isin(*TEST_SEGMENTS)).select("c_custkey")
+        _RUNS[at] = train_predict_submit(
+            guest, host, test_ids, key="sid", label="label", features=FEATURES + HOST_FEATURES, target=(TARGET_YEAR, TARGET_QUARTER),
+            scale=1e2, goss=Goss(20, 10), **BOOST,
+        )
+    return _RUNS[at]
+
+
+_RUNS: dict[tuple[str, str], TrainingRun] = {}
+
+
+@query(
+    "boosted_submission",
+    f"""WITH {SQL_SUBMISSION_TREES} SELECT CAST(substr(key, 1, length(key) - 6) AS BIGINT) AS id, p / 1e2 AS predict_result
+        FROM s{BOOST["n_trees"]} WHERE role = 'predict'""",
+)
 def q_boosted_submission(spark: SparkSession, d: str) -> DataFrame:
-    """Section 3.3 end to end: guest x host features on the row key, boosted trees trained on the train
-    entities, validated on the test entities' known quarters, submission for their target quarter. Rows-only."""
-    from panelcraft.plans.q_features import TEST_SEGMENTS
-    from panelcraft.plans.q_features import host_build
-    from panelcraft.plans.training import train_predict_submit
-
-    guest = guest_build(spark, d).select(
-        "sid", *[c for c in FEATURES], F.col("y").alias("y")
-    )
-    host = host_build(spark, d).select("sid", "qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b")
-    test_ids = T(spark, d, "customer").where(F.col("c_mktsegment").isin(*TEST_SEGMENTS)).select("c_custkey")
-    run = train_predict_submit(
-        guest, host, test_ids, key="sid", label="y",
-        features=FEATURES + ["qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b"],
-        target=(TARGET_YEAR, TARGET_QUARTER),
-    )
-    return run.submission
+    """Section 3.3 end to end: guest x host features on the row key, boosted trees with one-side sampling trained on
+    the train entities, validated on the test entities' known quarters, submission for their target quarter."""
+    return _submission_run(spark, d).submission
+
+
+@query("boosted_history", f"WITH {SQL_SUBMISSION_TREES} SELECT * REPLACE (mse / 1e4 AS mse) FROM history")
+def q_boosted_history(spark: SparkSession, d: str) -> DataFrame:
+    """M10 of that run: errors on train, valid and predict rows after every second tree."""
+    return _submission_run(spark, d).history.withColumn("mse", F.col("mse") / F.lit(1e4))
 
 
 @query("gbt_lineitem")

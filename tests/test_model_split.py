@@ -74,21 +74,6 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q) and len(q) >= 50
 
 
-def test_goss_boost_learns(spark):
-    from panelcraft.operators.goss import goss_boost
-
-    df = spark.range(0, 3000).select(
-        F.col("id").alias("k"), (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")
-    ).withColumn("label", F.col("a") * 3.0 + F.col("b") ** 2)
-    model, hist = goss_boost(df, ["a", "b"], key="k", n_trees=8, depth=3, step=0.3, max_bins=32, top_rate=0.3, other_rate=0.2,
-                             materialise_every=3)
-    var = df.agg(F.var_pop("label")).first()[0]
-    assert len(hist) == 8 and hist[-1] < hist[0] < var
-    pred = model.transform(df)
-    mse = pred.agg(F.avg((F.col("prediction") - F.col("label")) ** 2)).first()[0]
-    assert abs(mse - hist[-1]) < 1e-6 * max(1.0, var)
-
-
 def test_train_predict_submit(spark):
     q = E.queries()
     sub = q["boosted_submission"](spark, SMOKE)
