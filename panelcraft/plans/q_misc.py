@@ -20,8 +20,8 @@ from panelcraft.operators.features import leave_one_out_mean
 from panelcraft.operators.impute import fill_group_mean
 from panelcraft.operators.impute import impute_mean
 from panelcraft.operators.impute import replace_tokens
-from panelcraft.operators.model import cross_validate
-from panelcraft.operators.model import linear_pipeline
+from panelcraft.operators.linear import cross_validate_ridge
+from panelcraft.operators.linear import fold_moments
 from panelcraft.operators.monthly import monthly_panel
 from panelcraft.operators.ordering import slice_rows
 from panelcraft.operators.rollup import rollup_period
@@ -41,6 +41,7 @@ from panelcraft.plans.inputs import sql_months
 from panelcraft.plans.panel import from_fixed
 from panelcraft.plans.q_features import SQL_HOST_PANEL
 from panelcraft.plans.q_features import q_host_panel
+from panelcraft.plans import q_model as m
 from panelcraft.plans.queries import SQL_QUARTERLY
 from panelcraft.plans.queries import q_quarterly_panel
 from panelcraft.session import scratch_table_dir
@@ -188,15 +189,22 @@ def q_panel_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- M3
-@query("linear_cross_validation")
-def q_linear_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    """M3 + M6: unshuffled 2-fold cross-validation of the linear model (RMSE per parameter set). Rows-only."""
-    from panelcraft.plans.q_model import FEATURES
-    from panelcraft.plans.q_model import _train_frames
-
-    _, train = _train_frames(spark, d)
-    folded = kfold_ids(train, ["sid"], 2)
-    _, metrics = cross_validate(linear_pipeline(FEATURES), folded, "fold", 2)
-    return folded.groupBy("fold").agg(F.count(F.lit(1)).alias("rows")).withColumn("avg_rmse", F.lit(metrics[0]))
+def _sql_folds() -> str:
+    sized = f"(SELECT *, row_number() OVER (ORDER BY key) - 1 AS i, COUNT(*) OVER () AS n FROM ({m.sql_guest_whole('NULL')}) WHERE split = 'valid')"
+    fold = "CASE WHEN i < (n % 2) * (n // 2 + 1) THEN i // (n // 2 + 1) ELSE n % 2 + (i - (n % 2) * (n // 2 + 1)) // (n // 2) END"
+    rows = f"SELECT key, CAST({fold} AS INTEGER) AS fold, y, {', '.join(m.FEATURES)} FROM {sized}"
+    return f"""WITH RECURSIVE {m.ridge_ctes(rows, m.FEATURES, m.ALPHA)},
+scored AS (SELECT d.fold, COUNT(*) AS "rows", sqrt(AVG((d.y - {m.ridge_prediction(m.FEATURES)}) * (d.y - {m.ridge_prediction(m.FEATURES)}))) / 1e2 AS rmse
+           FROM data d JOIN fitted t ON d.fold = t.fold GROUP BY d.fold)
+SELECT fold, "rows", round(rmse, 4) AS rmse, round(AVG(rmse) OVER (), 4) AS avg_rmse FROM scored"""
 
 
+@query("linear_cross_validation", _sql_folds())
+def q_linear_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    """M3 + M6: unshuffled 2-fold cross-validation of the linear model, all folds from one scan (RMSE in currency)."""
+    g = m._guest_whole(spark, d).where("split = 'valid'")
+    folds = fold_moments(kfold_ids(g, ["sid"], 2), [*m.FEATURES, "label"], by="fold")
+    scored = [(f, n, e / 1e2) for f, n, e in cross_validate_ridge(folds, m.FEATURES, m.ALPHA)]
+    mean = sum(e for _, _, e in scored) / len(scored) if scored else None
+    rows = [(f, n, round(e, 4), round(mean, 4)) for f, n, e in scored]
+    return spark.createDataFrame(rows, "fold int, rows long, rmse double, avg_rmse double")

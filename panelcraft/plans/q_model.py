@@ -23,13 +23,14 @@ from panelcraft.operators.evaluate import quartile_split
 from panelcraft.operators.evaluate import regression_metrics
 from panelcraft.operators.evaluate import submission
 from panelcraft.operators.impute import fill_group_mean
+from panelcraft.operators.linear import fold_moments
+from panelcraft.operators.linear import solve_ridge
 from panelcraft.functions.scalar import parse_row_key
 from panelcraft.operators.model import deploy
 from panelcraft.operators.model import fit
 from panelcraft.operators.model import spread
 from panelcraft.operators.model import gbt_pipeline
 from panelcraft.operators.model import iteration_history
-from panelcraft.operators.model import linear_pipeline
 from panelcraft.operators.model import load_model
 from panelcraft.operators.model import logistic_pipeline
 from panelcraft.operators.model import save_model
@@ -59,6 +60,8 @@ from panelcraft.plans.q_stats import dbl
 from panelcraft.plans.q_stats import sql_about
 from panelcraft.plans.queries import SQL_QUARTERLY
 from panelcraft.plans.sql_boost import boost_ctes
+from panelcraft.plans.sql_linear import ridge_ctes
+from panelcraft.plans.sql_linear import ridge_prediction
 from panelcraft.plans.training import TrainingRun
 from panelcraft.plans.training import train_predict_submit
 from panelcraft.session import scratch_table_dir
@@ -414,12 +417,47 @@ def q_gbt_history(spark: SparkSession, d: str) -> DataFrame:
     return iteration_history(model, known.where(year == TARGET_YEAR))
 
 
-@query("linear_predict")
+def _guest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Guest features and label as whole numbers: money in cents, codes as they are."""
+    g = guest_build(spark, d).withColumn("label", int_div(F.col("y"), F.lit(CENT)))
+    return g.withColumns({c: int_div(F.col(c), F.lit(CENT)) for c in MONEY}).select("sid", "split", *FEATURES, "label")
+
+
+def sql_guest_whole(fold: str = "NULL::INTEGER") -> str:
+    whole = ", ".join(f"CAST(round({c} * {'1e2' if c == 'capital' else '1e8'}) AS BIGINT) // {1 if c == 'capital' else CENT} AS {c}" if c in (*MONEY, "capital") else c for c in FEATURES)
+    return f"SELECT sid AS key, {fold} AS fold, CAST(round(y * 1e8) AS BIGINT) // {CENT} AS y, {whole}, split FROM ({SQL_GUEST})"
+
+
+ALPHA = 0.01
+SQL_RIDGE = ridge_ctes(f"SELECT * EXCLUDE (split) FROM ({sql_guest_whole()}) WHERE split = 'valid'", FEATURES, ALPHA)
+
+
+def _ridge(spark: SparkSession, d: str):
+    g = _guest_whole(spark, d)
+    return g, solve_ridge(fold_moments(g.where("split = 'valid'"), [*FEATURES, "label"])[None], FEATURES, ALPHA)
+
+
+@query(
+    "linear_predict",
+    f"""WITH RECURSIVE {SQL_RIDGE} SELECT key AS sid, d.y / 1e2 AS label, round({ridge_prediction(FEATURES)} / 1e2, 2) AS prediction
+        FROM ({sql_guest_whole()}) d, fitted t""",
+)
 def q_linear_predict(spark: SparkSession, d: str) -> DataFrame:
-    """M6 + E6: L2 linear regression on standard-scaled features. Rows-only."""
-    g, train = _train_frames(spark, d)
-    model = fit(linear_pipeline(FEATURES), train)
-    return model.transform(g).select("sid", "label", "prediction")
+    """M6 + E6: L2 linear regression on standard-scaled features, from the known quarters' sums, scoring every row."""
+    g, model = _ridge(spark, d)
+    return g.select("sid", (F.col("label") / F.lit(1e2)).alias("label"), F.round(model.prediction() / F.lit(1e2), 2).alias("prediction"))
+
+
+@query(
+    "linear_coefficients",
+    f"""WITH RECURSIVE {SQL_RIDGE} SELECT unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) AS feature, round(unnest(mean), 4) AS mean,
+        round(unnest(sd), 4) AS scale, round(unnest(w), 4) AS coefficient, round(b, 4) AS intercept FROM fitted""",
+)
+def q_linear_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """M6: that model's scaling and coefficients (cents)."""
+    _, m = _ridge(spark, d)
+    rows = [(f, round(a, 4), round(s, 4), round(c, 4), round(m.intercept, 4)) for f, a, s, c in zip(m.features, m.mean, m.scale, m.coefficients)]
+    return spark.createDataFrame(rows, "feature string, mean double, scale double, coefficient double, intercept double")
 
 
 @query("logistic_quality")
