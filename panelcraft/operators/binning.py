@@ -130,3 +130,114 @@ def apply_bin_merge(df: DataFrame, bin_col: str, mapping: dict[int, int], out: s
     """Map initial bins to merged bins (a literal map: the mapping is bounded by the initial bin count)."""
     pairs = [x for b, k in mapping.items() for x in (F.lit(float(b)), F.lit(k))]
     return df.withColumn(out or bin_col, F.try_element_at(F.create_map(*pairs), F.col(bin_col).cast("double")))
+
+
+def quantile_sketches(df: DataFrame, cols: list[str], by: list[str], k: int = 4096) -> DataFrame:
+    """E8 approximate, mergeable: one KLL sketch per column and group (a day, a load), as a table to store.
+
+    ``column, <by>, sketch``; a new day's rows add sketches, old rows are not read again.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols))
+    melted = df.select(*by, F.inline(cells)).where("x is not null and not isnan(x)")
+    return melted.groupBy("column", *by).agg(F.kll_sketch_agg_double("x", k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, n_bins: int) -> dict[str, list[float]]:
+    """The quantiles ``i / n_bins`` from stored sketches, merged; ``n_bins`` numbers a column reach the driver.
+
+    Their distinct values are bin edges.
+    """
+    merged = sketches.groupBy("column").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    ranks = F.array(*(F.lit(i / n_bins) for i in range(1, n_bins)))
+    found = merged.select("column", F.kll_sketch_get_quantile_double("sketch", ranks).alias("q")).collect()
+    return {r.column: [float(v) for v in r.q] for r in found}
+
+
+def rank_errors(df: DataFrame, quantiles: dict[str, list[float]]) -> DataFrame:
+    """``column, n, worst``: how far the wanted ranks ``i / n_bins`` lie from their quantiles' ranks at most.
+
+    A value covers the ranks from the share of rows below it to the share of rows at or below it.
+    """
+    parts = []
+    for c, q in quantiles.items():
+        e = sorted(set(q))
+        x = df.select(F.col(c).cast("double").alias("x")).where("x is not null and not isnan(x)")
+        binned = bucketizer({"x": e}).transform(x).select(F.col("x_bin").cast("int").alias("b"), "x")
+        listed = F.array(*(F.lit(v) for v in e))
+        counted = binned.groupBy("b", F.when(F.col("b") > 0, F.get(listed, F.col("b") - 1) == F.col("x")).alias("at")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        rows = counted.collect()  # two rows a bin
+        total, below = sum(r.n for r in rows), 0
+        size = {}
+        for r in rows:
+            here = size.setdefault(r.b, [0, 0])
+            here[0] += r.n
+            here[1] += r.n if r["at"] else 0
+        spans = {}
+        for j in range(len(e) + 1):
+            n, at = size.get(j, (0, 0))
+            if j:
+                spans[e[j - 1]] = (below / total, (below + at) / total)
+            below += n
+        gap = lambda v, rank: max(spans[v][0] - rank, rank - spans[v][1], 0.0)
+        parts.append((c, total, max(gap(v, (i + 1) / (len(q) + 1)) for i, v in enumerate(q))))
+    return df.sparkSession.createDataFrame(parts, "column string, n long, worst double")
+
+
+def contingency(df: DataFrame, bin_cols: list[str], label: str) -> DataFrame:
+    """``feature, bin, events, non_events`` of all binned columns, melted into one aggregation."""
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("int").alias("bin")) for c in bin_cols))
+    melted = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.inline(cells)).where("bin is not null")
+    events = F.count(F.when(F.col("label") == 1, 1))
+    return melted.groupBy("feature", "bin").agg(events.alias("events"), (F.count(F.lit(1)) - events).alias("non_events"))
+
+
+def optimal_merge(
+    counts: list[tuple[int, int, int]], max_bins: int, adjustment: float = 0.5
+) -> list[tuple[int, int, int, int, float, float]]:
+    """The partition of adjacent bins into ``max_bins`` groups at most with the largest information value
+    among those whose WOE only rises or only falls.
+
+    ``counts``: ``(bin, events, non_events)``. Gives ``(first bin, last bin, events, non_events, woe, iv)`` by group.
+    Dynamic programme over (groups, last group's bins): its work grows with the cube of
+    the bins, so fit it on some dozens of initial bins. Ties go to fewer groups.
+    """
+    rows = sorted(counts)
+    e_t, ne_t = float(sum(r[1] for r in rows)) or 1.0, float(sum(r[2] for r in rows)) or 1.0
+    n = len(rows)
+    group: dict[tuple[int, int], tuple[int, int, float, float]] = {}
+    for a in range(n):
+        e = ne = 0
+        for b in range(a, n):
+            e, ne = e + rows[b][1], ne + rows[b][2]
+            pe, pn = (e + adjustment) / e_t, (ne + adjustment) / ne_t
+            woe = math.log(pe / pn)
+            group[a, b] = (e, ne, woe, (pe - pn) * woe)
+    best: tuple[float, list[tuple[int, int]]] = (-math.inf, [])
+    for sign in (1.0, -1.0):
+        # (first, last bin of the last group) -> (iv so far, groups), for one more group in each round
+        reached = {(0, b): (group[0, b][3], [(0, b)]) for b in range(n)}
+        for _ in range(max_bins):
+            for (_, b), (iv, cut) in reached.items():
+                if b == n - 1 and iv > best[0]:
+                    best = (iv, cut)
+            further: dict[tuple[int, int], tuple[float, list[tuple[int, int]]]] = {}
+            for (a, b), (iv, cut) in reached.items():
+                for c in range(b + 1, n):
+                    if sign * (group[b + 1, c][2] - group[a, b][2]) > 0:
+                        total = iv + group[b + 1, c][3]
+                        if total > further.get((b + 1, c), (-math.inf,))[0]:
+                            further[b + 1, c] = (total, [*cut, (b + 1, c)])
+            reached = further
+    return [(rows[a][0], rows[b][0], *group[a, b]) for a, b in best[1]]
+
+
+def optimal_bins(df: DataFrame, bin_cols: list[str], label: str, max_bins: int, adjustment: float = 0.5) -> DataFrame:
+    """:func:`optimal_merge` of every binned column: ``feature, grp, first_bin, last_bin, events, non_events, woe, iv``."""
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for r in contingency(df, bin_cols, label).collect():  # a row for each feature and bin
+        found.setdefault(r.feature, []).append((r.bin, r.events, r.non_events))
+    rows = [(f, k, *g) for f in sorted(found) for k, g in enumerate(optimal_merge(found[f], max_bins, adjustment))]
+    kinds = "feature string, grp int, first_bin int, last_bin int, events long, non_events long, woe double, iv double"
+    return df.sparkSession.createDataFrame(rows, kinds)

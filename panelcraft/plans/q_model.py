@@ -32,7 +32,6 @@ from panelcraft.operators.model import spread
 from panelcraft.operators.model import gbt_pipeline
 from panelcraft.operators.model import iteration_history
 from panelcraft.operators.model import load_model
-from panelcraft.operators.model import logistic_pipeline
 from panelcraft.operators.model import save_model
 from panelcraft.operators.model import typed_label
 from panelcraft.operators.monthly import monthly_panel
@@ -460,17 +459,6 @@ def q_linear_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, mean double, scale double, coefficient double, intercept double")
 
 
-@query("logistic_quality")
-def q_logistic_quality(spark: SparkSession, d: str) -> DataFrame:
-    """M7: logistic regression of the binary document quality label on document length. Rows-only."""
-    docs = T(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
-    lab = T(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    x = lab.join(docs, "doc_id")
-    x = x.withColumn("log_chars", F.log1p("n_chars"))
-    model = fit(logistic_pipeline(["n_chars", "log_chars"]), x)
-    return model.transform(x).select("doc_id", "label", "prediction", "probability")
-
-
 @query("feature_export", f"SELECT split, COUNT(*) AS rows FROM ({SQL_GUEST}) GROUP BY split")
 def q_feature_export(spark: SparkSession, d: str) -> DataFrame:
     """S5 + S9: guest features written partitioned by split and read back (rows per split); the

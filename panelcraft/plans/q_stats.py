@@ -137,7 +137,7 @@ def q_histogram_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A13 E12 E13
-def _sql_colstats(col: str) -> str:
+def sql_colstats(col: str, rows: str = f"({SQL_LINES})") -> str:
     m, m2 = "(s1 // n)", sql_about("n", "s1", "s2")
     rest = f"CAST(s1 - n * {m} AS DOUBLE)"
     c2, c3 = f"s2 - 2 * {m} * s1 + n * {m} * {m}", f"s3 - 3 * {m} * s2 + 3 * {m} * {m} * s1 - n * {m} * {m} * {m}"
@@ -149,11 +149,11 @@ def _sql_colstats(col: str) -> str:
                    ({std}) / ({dbl("s1")} / CAST(n AS DOUBLE)) AS cv
               FROM (SELECT COUNT({col}) AS n, CAST(SUM({col}) AS HUGEINT) AS s1,
                            SUM(CAST({col} AS HUGEINT) * {col}) AS s2,
-                           SUM(CAST({col} AS HUGEINT) * {col} * {col}) AS s3 FROM ({SQL_LINES}))"""
+                           SUM(CAST({col} AS HUGEINT) * {col} * {col}) AS s3 FROM {rows})"""
 
 
 STAT_COLS = ["qty", "price", "const"]
-SQL_COLSTATS = " UNION ALL ".join(_sql_colstats(c) for c in STAT_COLS)
+SQL_COLSTATS = " UNION ALL ".join(sql_colstats(c) for c in STAT_COLS)
 
 
 @query("column_stats", SQL_COLSTATS)
