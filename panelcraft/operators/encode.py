@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -109,7 +111,7 @@ def fit_one_hot(df: DataFrame, cols: list[str], max_categories: int | None = Non
 
     The values become columns of the plan, so they are collected; a caller
     that wants a limit sets ``max_categories``. Wide columns belong in
-    :func:`one_hot_vector`, whose values stay in one vector.
+    :func:`one_hot_positions`, which collects nothing.
     """
     stacked = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("e")
@@ -161,11 +163,30 @@ def align_columns(df: DataFrame, columns: list[str], fill=0) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
-def one_hot_vector(cols: list[str], out: str = "features_onehot"):
-    """E3 vector form for model input: StringIndexer + OneHotEncoder stages."""
-    from pyspark.ml.feature import OneHotEncoder
-    from pyspark.ml.feature import StringIndexer
+def one_hot_positions(df: DataFrame, cols: list[str]) -> DataFrame:
+    """E3 fit for wide columns: ``col, value, position`` of every distinct non-NULL value, as a table.
 
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc") for c in cols]
-    enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__vec" for c in cols], handleInvalid="keep")
-    return idx + [enc]
+    Positions are numbered from 0 by column and value (as text); nothing is collected.
+    """
+    cells = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(cols)))
+    found = df.select(F.inline(cells)).where("value is not null").distinct()
+    return materialise(global_row_index(found, ["at", "value"], "position").select("col", "value", "position"), "positions")
+
+
+def one_hot_sparse(df: DataFrame, cols: list[str], positions: DataFrame, out: str = "indices") -> DataFrame:
+    """E3 transform for wide columns: every row with the ascending positions of its values, whose entries are 1.
+
+    NULL and values that were not fitted have no position. Each column is joined with
+    its part of the positions; adaptive execution sends small parts to all tasks and splits hot values.
+    """
+    for i, c in enumerate(cols):
+        part = positions.where(F.col("col") == c).select(F.col("value").alias(f"__v{i}"), F.col("position").alias(f"__p{i}"))
+        df = df.join(part, F.col(f"`{c}`").cast("string") == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    places = [f"__p{i}" for i in range(len(cols))]
+    return df.withColumn(out, F.array_sort(F.array_compact(F.array(*places)))).drop(*places)
+
+
+def sparse_vectors(rows: DataFrame, size: int, out: str = "features_onehot") -> DataFrame:
+    """The indices as MLlib vectors of ``size`` entries."""
+    vector = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    return rows.withColumn(out, vector("indices")).drop("indices")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column
 from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from panelcraft.session import materialise
+
 
 def month_range(lo: str, hi: str) -> Column:
     """ARRAY<DATE> of month starts from ``lo`` to ``hi`` inclusive ('YYYY-MM-DD')."""
@@ -66,3 +72,60 @@ def blinded_intersection(left: DataFrame, right: DataFrame, key: str, salt: str,
     lb = left.withColumn(out, blinded_key(key, salt)).drop(key)
     rb = right.withColumn(out, blinded_key(key, salt)).drop(key)
     return lb.join(rb, on=out, how="inner")
+
+
+#: where the key of the blinded join is read from
+BLINDING_KEY = "spark.panelcraft.blinding.key"
+#: bits of a filter for each key, and the words of 64 bits that a filter has at most (8 MB)
+FILTER_BITS_A_KEY, MAX_FILTER_WORDS = 16, 1 << 20
+
+
+def blinding_key(spark: SparkSession) -> bytes:
+    """The key from the session's configuration; without one a new random key, which only this call's caller has."""
+    text = spark.conf.get(BLINDING_KEY, None)
+    return text.encode() if text else secrets.token_bytes(32)
+
+
+def keyed_digest(c: str | Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a key column, as binary. The padded key is part of the plan, so keep plans of it private."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    col = (F.col(c) if isinstance(c, str) else c).cast("string").cast("binary")
+    return F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, col), 256))), 256))
+
+
+def _filter_place(digest: Column, words: int) -> tuple[Column, Column]:
+    """The word of a Bloom filter that a digest belongs to, and its four bits there."""
+    number = lambda a: F.conv(F.hex(F.substring(digest, a, 6)), 16, 10).cast("long")
+    bits = number(7)
+    mask = F.lit(0).cast("long")
+    for k in range(4):
+        at = F.shiftright(bits, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    return F.pmod(number(1), F.lit(words).cast("long")), mask
+
+
+def prune_by_filter(df: DataFrame, digest: str, other: DataFrame, other_digest: str) -> DataFrame:
+    """The rows of ``df`` whose digest may be among the other side's: all that are, and a few more.
+
+    The other side sends only a Bloom filter: a table of 64-bit words, broadcast, of
+    ``MAX_FILTER_WORDS`` at most; with more keys it lets more rows through.
+    """
+    n = other.count()
+    words = max(1, min(MAX_FILTER_WORDS, n * FILTER_BITS_A_KEY // 64))
+    word, mask = _filter_place(F.col(other_digest), words)
+    held = other.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+    word, mask = _filter_place(F.col(digest), words)
+    probed = df.withColumns({"__word": word, "__mask": mask}).join(F.broadcast(held), "__word")
+    return probed.where(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*df.columns)
+
+
+def keyed_intersection(left: DataFrame, right: DataFrame, key: str, secret: bytes, out: str = "bkey") -> DataFrame:
+    """Intersect two keyed frames on a keyed digest; raw keys are dropped.
+
+    The left side is first pruned by a filter of the right side's digests, so that
+    rows without a partner are not shuffled. Null keys have no partner.
+    """
+    lb = left.where(F.col(key).isNotNull()).withColumn(out, keyed_digest(key, secret)).drop(key)
+    rb = materialise(right.where(F.col(key).isNotNull()).withColumn(out, keyed_digest(key, secret)).drop(key), "blinded")
+    return prune_by_filter(lb, out, rb, out).join(rb, on=out, how="inner")

@@ -13,6 +13,7 @@ from panelcraft.plans import q_misc as _q_misc  # noqa: F401  (registers)
 from panelcraft.plans import q_model as _q_model  # noqa: F401  (registers)
 from panelcraft.plans import q_select as _q_select  # noqa: F401  (registers)
 from panelcraft.plans import q_stats as _q_stats  # noqa: F401  (registers)
+from panelcraft.plans import q_storage as _q_storage  # noqa: F401  (registers)
 from panelcraft.plans import queries as _q_panel  # noqa: F401  (registers)
 
 

@@ -6,6 +6,8 @@ with a corrupt-record column so one bad line does not fail a 100 TB job.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql.types import StructField
 from pyspark.sql.types import StructType
 from pyspark.sql.types import StringType
 
+from panelcraft.session import materialise
+
 CORRUPT = "_corrupt_record"
 
 
@@ -129,3 +133,68 @@ def export_headerless(df: DataFrame, path: str, cols: list[str], single_file: bo
     if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").option("header", False).csv(path)
+
+
+def read_with_quarantine(
+    spark: SparkSession, path: str, schema: StructType, date_format: str | None = None, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """``(typed rows, quarantine)`` of CSV files: every line is in one of the two.
+
+    A line that doesn't fit ``schema`` (a value of another type, too few or too many
+    fields) goes to the quarantine with its text, file and reason. The files are parsed once.
+    """
+    full = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
+    reader = spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if date_format:
+        reader = reader.option("dateFormat", date_format)
+    parsed = materialise(reader.csv(path).withColumn("_file", F.col("_metadata.file_path")), "parsed")
+    good = nan_to_null(parsed.where(F.col(CORRUPT).isNull()).select(*schema.names))
+    fields = F.size(F.split(CORRUPT, ","))
+    reason = F.when(fields < len(schema), "too few fields").when(fields > len(schema), "too many fields").otherwise("unreadable value")
+    bad = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.col("_file").alias("file"), reason.alias("reason"))
+    return good, bad
+
+
+def replace_table(
+    df: DataFrame, name: str, namespace: str, location: str, *, bucket_by: list[str], buckets: int, sort_by: list[str] | None = None
+) -> str:
+    """Replace a bucketed table as a whole: readers see the old version or the new one, never a mixture.
+
+    The new version is written to a folder of its own; then the table's location is
+    changed to it, which is one change in the catalog. The folder before it stays, for
+    readers that have begun (:func:`drop_versions` removes what isn't current). A
+    table keeps its columns and buckets; others raise ``ValueError``.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    full, stage = f"`{namespace}`.`{name}`", f"`{namespace}`.`{name}_{version}`"
+    folder = f"{location.rstrip('/')}/{name}/{version}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}` LOCATION '{location}'")
+    order = sort_by or bucket_by
+    out = df.repartition(buckets, *bucket_by)  # as the buckets are dealt: one file a bucket
+    layout = f"CLUSTERED BY ({', '.join(bucket_by)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    properties = f"TBLPROPERTIES ('panelcraft.layout' = '{layout}')"
+    if spark.catalog.tableExists(f"{namespace}.{name}"):
+        current = spark.table(full)
+        held = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {full}").collect()}.get("panelcraft.layout")
+        if [(f.name, f.dataType) for f in current.schema] != [(f.name, f.dataType) for f in df.schema] or held != layout:
+            raise ValueError(f"{full}: other columns or buckets than the table has")
+    out.write.format("parquet").bucketBy(buckets, *bucket_by).sortBy(*order).option("path", folder).saveAsTable(stage)
+    spark.sql(f"DROP TABLE {stage}")  # an external table: its files stay
+    if spark.catalog.tableExists(f"{namespace}.{name}"):
+        spark.sql(f"ALTER TABLE {full} SET LOCATION '{folder}'")
+    else:
+        spark.sql(f"CREATE TABLE {full} ({columns}) USING parquet {layout} {properties} LOCATION '{folder}'")
+    return full
+
+
+def drop_versions(spark: SparkSession, name: str, namespace: str) -> int:
+    """Delete the folders of a replaced table's former versions; returns how many. Call when no reader uses them."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED `{namespace}`.`{name}`").collect()
+    current = next(r.data_type for r in rows if r.col_name == "Location")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(current)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    former = [s.getPath() for s in fs.listStatus(at.getParent()) if s.getPath().getName() != at.getName()]
+    return sum(bool(fs.delete(p, True)) for p in former)
