@@ -15,6 +15,7 @@ Words: A-Z lower-cased; runs of 0-9, a-z and non-ASCII characters.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -104,12 +105,39 @@ class Windows:
         self.codes = [c for _, c in found]
 
 
+def _covers(codes: list[int], lists: dict[int, np.ndarray], rarest: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """``(first, last)`` of every shortest stretch of ``reach + 1`` words at most that has all terms, each as often as in ``codes``.
+
+    Only positions within reach of the rarest term are looked at; one pass over them in order.
+    """
+    needed = Counter(codes)
+    near = []
+    for c in needed:
+        at = lists[c]
+        i = np.searchsorted(rarest, at)
+        gap = np.minimum(np.abs(rarest[np.minimum(i, len(rarest) - 1)] - at), np.abs(at - rarest[np.maximum(i - 1, 0)]))
+        near += [(p, c) for p in at[gap <= reach].tolist()]
+    near.sort()
+    held: Counter = Counter()
+    missing, left, found = len(codes), 0, []
+    for position, c in near:
+        missing -= held[c] < needed[c]
+        held[c] += 1
+        while held[near[left][1]] > needed[near[left][1]]:  # its first word is there once more
+            held[near[left][1]] -= 1
+            left += 1
+        first = near[left][0]
+        if not missing and position - first <= reach and (not found or found[-1][0] < first):
+            found.append((first, position))
+    return found
+
+
 def intersect(windows: Windows, lists: dict[int, np.ndarray], slack: int = 0) -> list[tuple[int, int, int]]:
     """``(item, first position, last position)`` of every window that occurs.
 
     ``lists``: ascending positions by term code. The rarest term comes first;
-    each further list is shifted by its offset and intersected, or, with slack,
-    looked for within the window length plus slack around the candidates.
+    each further list is shifted by its offset and intersected. With slack, the
+    terms may stand in any order within the window length plus slack.
     """
     found = []
     for item, codes in zip(windows.owner, windows.codes):
@@ -117,20 +145,7 @@ def intersect(windows: Windows, lists: dict[int, np.ndarray], slack: int = 0) ->
             continue
         by_size = sorted(range(len(codes)), key=lambda k: len(lists[codes[k]]))
         if slack:
-            reach = len(codes) - 1 + slack
-            low = high = lists[codes[by_size[0]]]
-            for k in by_size[1:]:
-                at = lists[codes[k]]
-                i = np.searchsorted(at, low)
-                after = at[np.minimum(i, len(at) - 1)]
-                before = at[np.maximum(i - 1, 0)]
-                near = np.where(np.abs(after - low) <= np.abs(low - before), after, before)
-                low, high = np.minimum(low, near), np.maximum(high, near)
-                kept = high - low <= reach
-                low, high = low[kept], high[kept]
-                if not len(low):
-                    break
-            found += [(item, int(a), int(b)) for a, b in zip(low, high)]
+            found += [(item, a, b) for a, b in _covers(codes.tolist(), lists, lists[codes[by_size[0]]], len(codes) - 1 + slack)]
             continue
         start = lists[codes[by_size[0]]] - by_size[0]
         for k in by_size[1:]:

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from panelcraft.llm.sharding import HASH_BITS, id_hash
 
-#: sources of a mixture at most
-MAX_SOURCES = 10_000
 #: rows of a rank cell on average, and rows from which a cell is split by input partition
 CELL_ROWS = 512
 LARGE_CELL = 64 * CELL_ROWS
@@ -46,10 +44,14 @@ def period(weights: dict[str | None, int]) -> list[str | None]:
 
 
 def temperature_weights(docs: DataFrame, total: int, source_col: str = "source") -> dict[str | None, int]:
-    """Weights in proportion to the square root of each source's rows: at least 1 each, adding up to ``total``."""
-    rows = docs.groupBy(F.col(source_col).cast("string").alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(rows) > min(MAX_SOURCES, total):
-        raise ValueError(f"a mixture has {min(MAX_SOURCES, total)} sources at most")
+    """Weights in proportion to the square root of each source's rows: at least 1 each, adding up to ``total``.
+
+    With more than ``total`` sources they add up to the least multiple of it with two slots a
+    source. Sources are collected: a mixture's plan has a row for each slot.
+    """
+    rows = docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()
+    if len(rows) > total:
+        total *= -(-2 * len(rows) // total)
     root = {r.s: math.floor(math.sqrt(r["count"]) * 1000) for r in rows}
     spare, whole = total - len(root), sum(root.values())
     weights = {s: 1 + r * spare // whole for s, r in root.items()}
@@ -60,7 +62,7 @@ def temperature_weights(docs: DataFrame, total: int, source_col: str = "source")
 
 
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table of parameters."""
+    """A table of parameters."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 

@@ -37,7 +37,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List entries about the crawl's own hosts: some domains are blocked, cleared and blocked again,
     some sections are allowed or blocked for good."""
-    pages = crawl(spark, sf_dir).select(url_filter.host(F.col("url")).alias("h"), url_filter.path_parts(F.col("url")).alias("p"))
+    pages = crawl(spark, sf_dir).select(url_filter.host(F.col("url")).alias("h"), url_filter.path_parts(F.col("url"), 1).alias("p"))
     sites = pages.select(F.expr("array_join(slice(split(h, '[.]'), -3, 3), '.')").alias("pattern")).where("size(split(pattern, '[.]')) = 3")
     sections = pages.where("size(p) > 0").select(F.concat_ws("/", "h", F.expr("p[0]")).alias("pattern"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (n % 200).cast("int"))
@@ -58,7 +58,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_url_filters"] = r"""
 WITH captures AS (
   SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '[.]$', '') AS host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda p: p <> '')[1:2] AS parts,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
          DATE '2024-01-01' + (page_id % 366)::INT AS day
   FROM pages
 ), named AS (

@@ -1,7 +1,8 @@
 """URL filters: captures against block and allow lists as they stood when each page was fetched.
 
 Dated list entries (a pattern added or removed on a day) become validity
-intervals per pattern. Every distinct place (host and first path parts) and day
+intervals per pattern. Every distinct place (host and as many path parts as the
+list's deepest pattern has) and day
 of the captures is then looked up as of that day, and the captures take the
 verdict of their place and day. A host that holds a third of all captures is a
 few rows by then, one for each place and day.
@@ -12,9 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: path parts that a pattern can have
-PATH_PARTS = 2
-
 
 def host(url: Column) -> Column:
     """The lower-case host of a URL without user, port and final dot; empty if there is none."""
@@ -22,10 +20,15 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(found), r"\.$", "")
 
 
-def path_parts(url: Column) -> Column:
-    """The first parts of a URL's path, as an array."""
+def path_parts(url: Column, depth: int) -> Column:
+    """The first ``depth`` parts of a URL's path, as an array."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
-    return F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, PATH_PARTS)
+    return F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, depth)
+
+
+def deepest(listed: DataFrame) -> int:
+    """Path parts of the pattern that has the most."""
+    return listed.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -64,17 +67,18 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     read.
     """
     url = F.col(url_col)
+    listed = intervals(entries)
+    depth = deepest(listed)
     rows = captures.select(
-        F.col(id_col).alias("id"), host(url).alias("host"), path_parts(url).alias("parts"), F.to_date(F.col(day_col)).alias("day")
+        F.col(id_col).alias("id"), host(url).alias("host"), path_parts(url, depth).alias("parts"), F.to_date(F.col(day_col)).alias("day")
     ).withColumn("host", F.when(F.col("host") != "", F.col("host")))
     places = rows.where("host is not null and day is not null").select("host", "parts", "day").distinct()
     asked = places.withColumn("pattern", F.explode(keys(F.col("host"), F.col("parts"))))
 
     # as of each asked day: the last change of the pattern up to it
-    listed = intervals(entries)
     changes = listed.select("pattern", F.col("since").alias("day"), F.struct("action", "since", "until").alias("change"))
-    named = asked.join(listed.select("pattern").distinct(), "pattern", "left_semi")
-    days = named.select("pattern", "day").distinct().withColumn("change", F.lit(None).cast(changes.schema["change"].dataType))
+    days = asked.select("pattern", "day").distinct().join(listed.select("pattern").distinct(), "pattern", "left_semi")
+    days = days.withColumn("change", F.lit(None).cast(changes.schema["change"].dataType))
     order = Window.partitionBy("pattern").orderBy("day", F.col("change").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     state = (
         changes.unionByName(days)
@@ -83,7 +87,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
         .select("pattern", "day", F.col("state.action").alias("action"), F.col("state.since").alias("since"))
     )
     decided = (
-        named.join(state, ["pattern", "day"])
+        asked.join(state, ["pattern", "day"])
         .groupBy("host", "parts", "day")
         .agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "since")).alias("best"))
         .select("host", "parts", "day", "best.pattern", "best.since", "best.action")

@@ -2,9 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelcraft.llm import decontaminate, ngram_join, vector_topk
@@ -183,3 +187,28 @@ def test_hash_filter_has_no_misses(spark):
     ids = spark.range(5000).select((F.col("id") * 3).alias("doc_id"))
     rows = spark.range(15000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     assert without_ids(rows, ids).count() == 10000
+
+
+def covering(words, terms, reach):
+    """Shortest stretches that have all terms, each as often, by trying all."""
+    need = Counter(terms)
+    has = [(a, b) for a in range(len(words)) for b in range(a, min(len(words), a + reach + 1)) if not need - Counter(words[a : b + 1])]
+    return [(a, b) for a, b in has if not any((c, d) != (a, b) and a <= c and d <= b for c, d in has)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcx"), max_size=30), st.lists(st.sampled_from("abc"), min_size=1, max_size=4), st.integers(1, 4))
+def test_proximity_equals_brute_force(words, terms, slack):
+    windows = decontaminate.Windows(["i"], [" ".join(terms)], n=len(terms))
+    at = {t: np.flatnonzero(np.array(words) == t) for t in set(words)}
+    code = dict(zip([int(t) for t in decontaminate._terms(decontaminate.split_words(pa.array(["a b c x"]), decontaminate.ALNUM_WORDS))], "abcx"))
+    lists = {k: at[code[int(t)]] for k, t in enumerate(windows.terms) if code[int(t)] in at}
+    got = [(a, b) for _, a, b in decontaminate.intersect(windows, lists, slack)]
+    assert got == covering(words, terms, len(terms) - 1 + slack)
+
+
+def test_proximity_looks_beyond_the_nearest_position(spark):
+    docs = spark.createDataFrame([(1, "b x x a x x c b"), (2, "a b c"), (3, "a x x x b c")], "doc_id long, text string")
+    items = spark.createDataFrame([("q", "a b c")], "item_id string, text string")
+    got = {r.doc_id: [(s["first"], s["last"]) for s in r.spans] for r in decontaminate.contamination(docs, items, n=3, slack=2).collect()}
+    assert got == {1: [(3, 7)], 2: [(0, 2)], 3: []}

@@ -124,8 +124,19 @@ def test_mixing_edge_cases(spark, monkeypatch, edge_docs, no_docs):
     assert mixing.temperature_weights(no_docs, 20) == {}
     assert mixing.mix(no_docs, {"a": 2}, block_rows=2).count() == 0
     assert mixing.mix(edge_docs, {}, block_rows=2).where("slot is not null").count() == 0
-    with pytest.raises(ValueError):
-        mixing.temperature_weights(edge_docs, 2)
+    more = mixing.temperature_weights(edge_docs, 2)  # more sources than slots: the period grows
+    assert sum(more.values()) == 8 and len(more) == 4 and min(more.values()) >= 1
+
+
+def test_mixing_of_a_thousand_and_one_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 1001) AS source")
+    weights = mixing.temperature_weights(docs, 1000)
+    assert len(weights) == 1001 and sum(weights.values()) == 3000
+    got = mixing.mix(docs, weights, block_rows=1).collect()
+    assert len(got) == 3000 and len({r.position for r in got}) == 3000
+    slots = mixing.period(weights)
+    for r in got[:50]:
+        assert slots[r.slot % 3000] == r.source
 
 
 def brute_verdict(url, day, entries):
@@ -134,7 +145,7 @@ def brute_verdict(url, day, entries):
         return None, "keep"
     host = re.sub(r"\.$", "", m[1].lower())
     path = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", url)
-    parts = [p for p in (path[1] if path else "").split("/") if p][:2]
+    parts = [p for p in (path[1] if path else "").split("/") if p]
     labels = host.split(".")
     patterns = {"/".join([".".join(labels[i:]), *parts[:n]]) for i in range(len(labels)) for n in range(len(parts) + 1)}
     strength = ["remove", "allow", "block"]
@@ -153,7 +164,7 @@ def test_url_filters_equal_brute_force(spark):
     urls = [f"http://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/1', '/en//2?q=/x', '/de#/en', '/en/sub/3'])}" for _ in range(150)]
     urls += [None, "", "not a url", "http://", "/relative/en"]
     captures = [(i if i % 9 else None, u, day() if i % 11 else None) for i, u in enumerate(urls)] * 2
-    patterns = ["example.com", "a.example.com", "Example.com/en", "x.org", "x.org/en", "x.org/en/sub", "a.b.x.org", "org"]
+    patterns = ["example.com", "a.example.com", "Example.com/en", "x.org", "x.org/en", "x.org/en/sub", "x.org/en/sub/3", "a.b.x.org", "org"]
     entries = [(rnd.choice(patterns), day(), rnd.choice(["block", "Block", "allow", "remove", "other"])) for _ in range(60)]
     entries += [(None, day(), "block"), ("x.org", None, "block"), ("x.org", day(), None)] + entries[:5]
     got = url_filter.evaluate(
@@ -172,3 +183,14 @@ def test_url_filters_on_empty_tables(spark):
     assert [r.verdict for r in url_filter.evaluate(captures, entries.limit(0)).collect()] == ["keep"]
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0
     assert url_filter.intervals(entries).where(F.col("until").isNull()).count() == 1
+
+
+def test_url_filters_match_paths_of_any_depth(spark):
+    urls = ["https://a.com/x/y/z", "https://www.a.com/x/y/z/w?q", "https://a.com/x/y", "https://a.com/x/y/zz", "https://b.com/x/y/z"]
+    urls += ["https://a.com/" + "/".join("p" * k for k in range(1, 12)), "https://c.com/" + "d/" * 2000]
+    pages = spark.createDataFrame([(k, u, "2024-02-01") for k, u in enumerate(urls)], "page_id int, url string, fetched string")
+    listed = [("a.com/x/y/z", "2024-01-01", "block"), ("a.com/p/pp/ppp/pppp/ppppp/pppppp", "2024-01-01", "block"), ("c.com", "2024-01-01", "block")]
+    got = {r.page_id: r.verdict for r in url_filter.evaluate(pages, spark.createDataFrame(listed, "pattern string, day string, action string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "keep", 3: "keep", 4: "keep", 5: "block", 6: "block"}
+    none = url_filter.evaluate(pages, spark.createDataFrame([], "pattern string, day string, action string"))
+    assert {r.verdict for r in none.collect()} == {"keep"}
