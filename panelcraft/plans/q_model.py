@@ -211,6 +211,20 @@ def q_row_bucket_sum(spark: SparkSession, d: str) -> DataFrame:
     return b.select("id", "bucket", (F.col("y") / F.lit(1e8)).alias("y"))
 
 
+@query(
+    "row_bucket_divided",
+    SQL_BUCKETS.replace("SELECT id, y, CAST((row_number()", "SELECT id, month, y, CAST((row_number()").rsplit("SELECT id, bucket", 1)[0]
+    + """SELECT id, bucket, CAST(SUM(y) AS BIGINT) / 1e8 AS y, CAST(SUM(year(month)) AS DOUBLE) / 3 AS year,
+                CAST(SUM(quarter(month)) AS DOUBLE) / 3 AS quarter FROM b GROUP BY id, bucket""",
+)
+def q_row_bucket_divided(spark: SparkSession, d: str) -> DataFrame:
+    """A8 as the legacy roll-up has it: every 3 consecutive months summed, year and quarter divided back by 3."""
+    m = monthly_panel(payments(spark, d), lo=SPINE_LO, hi=SPINE_HI, value="y")
+    m = fill_group_mean(m, ["y"], ["id"]).withColumns({"year": F.year("month"), "quarter": F.quarter("month")})
+    b = row_bucket_sum(m, "id", "month", 3, ["y"], div_cols=["year", "quarter"])
+    return b.select("id", "bucket", (F.col("y") / F.lit(1e8)).alias("y"), "year", "quarter")
+
+
 # -------------------------------------------------------------------- M2 M3 M4
 @query(
     "stratified_split",

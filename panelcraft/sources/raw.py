@@ -82,8 +82,10 @@ def typed(c: Column, kind: str) -> Column:
         return parse_date(c)
     if kind == "string":
         return F.when(F.trim(c) != "", c)
-    # numbers: text such as '11.0' also parses for integer codes
-    return F.trim(c).try_cast("double").try_cast(kind) if kind in ("int", "bigint") else F.trim(c).try_cast(kind)
+    number = F.trim(c).try_cast(kind)
+    if kind in ("int", "bigint"):  # text such as '11.0' also parses for whole numbers; whole text keeps all its digits
+        return F.coalesce(number, F.trim(c).try_cast("double").try_cast(kind))
+    return number
 
 
 def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_row_order_is_file_order(spark, tmp_path):
     _write(f"{tmp_path}/raw/part-1.csv", "payments", [(k, "2021-01-01", "2021-01-31", "1") for k in range(1, 51)])
     got = read_raw(spark, f"{tmp_path}/raw", "payments").orderBy("_row_order").select("id").collect()
     assert [r.id for r in got] == list(range(51))
+
+
+def test_whole_numbers_keep_all_digits(spark):
+    from pyspark.sql import functions as F
+
+    from panelcraft.sources.raw import typed
+
+    texts = ["9007199254740993", " 11.0 ", "11.5", "x", "", None, "99999999999999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.v for r in df.select(typed(F.col("t"), "bigint").alias("v")).collect()] == [9007199254740993, 11, 11, None, None, None, None]
