@@ -138,7 +138,7 @@ def window_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     h = words.hashes()
     acc = np.zeros(len(words.codes) + n, np.uint64)
     for k in range(n):  # window at i: sum of position-dependent hashes of words i to i + n - 1
-        acc[: len(words.codes) - k] += mix64(h + np.uint64((k + 1) * 0x632BE59BD9B4E019 & MASK))[words.codes[k:]]
+        acc[: max(0, len(words.codes) - k)] += mix64(h + np.uint64((k + 1) * 0x632BE59BD9B4E019 & MASK))[words.codes[k:]]
     first = np.repeat(words.starts[:-1] - cuts[:-1], windows) + np.arange(cuts[-1])
     out = mix64(acc[first] + np.uint64(n * 0x9E3779B97F4A7C15 & MASK))
     for i in np.flatnonzero((counts > 0) & (counts < n)):

@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from panelcraft.llm import mixing, queries
 from tests.llm.test_corpus import brute_groups, brute_hits, random_docs
 from tests.llm.test_native import brute_shard
@@ -87,6 +88,20 @@ def test_stages_decide_for_each_row(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_bytes) for r in placed) == sorted((str(i), len(t or "")) for i, t in expected)
 
 
+def test_columns_with_the_stages_own_names(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, 10, 20, 30), (2, text + " x", 11, 21, 31), (3, "other", None, 22, 32), (None, None, 13, 23, 33)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row long, __position long, row_number long").withColumn("source", F.lit("s"))
+    spark.createDataFrame([(9, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = sorted((str(r.doc_id), str(r["__row"]), r["__position"], r.row_number) for r in docs.collect())
+    assert kept == [("1", "10", 20, 30), ("3", "None", 22, 32), ("None", "13", 23, 33)]
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    assert {r.doc_id: r.text_hash for r in placed.collect()} == hashes
+
+
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)

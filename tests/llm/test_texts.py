@@ -43,6 +43,12 @@ def test_window_hashes_are_equal_only_for_equal_windows():
     assert len(set(by_window.values())) == len(by_window)
 
 
+@pytest.mark.parametrize("texts", [["a"], ["a b", None], ["", "c"], []])
+def test_window_hashes_of_fewer_words_than_a_window(texts):
+    hashes, cuts = window_hashes(split_words(pa.array(texts, pa.string()), SPACE_WORDS), 5)
+    assert np.diff(cuts).tolist() == [int(bool(t)) for t in texts] and len(hashes) == cuts[-1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.sampled_from(PIECES), st.text(max_size=4)), max_size=8).map("".join), max_size=20))
 def test_token_counts_equal_the_library(texts):
