@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelcraft.functions.aggregates import int_div
 from panelcraft.operators.boost import BoostedTrees
 from panelcraft.operators.boost import Goss
+from panelcraft.operators.boost import cross_validate_boosted
 from panelcraft.operators.boost import fit_boosted_trees
 from panelcraft.operators.evaluate import error_report
 from panelcraft.operators.evaluate import quartile_split
@@ -63,6 +64,7 @@ from panelcraft.plans.sql_linear import ridge_ctes
 from panelcraft.plans.sql_linear import ridge_prediction
 from panelcraft.plans.training import TrainingRun
 from panelcraft.plans.training import train_predict_submit
+from panelcraft.session import materialise
 from panelcraft.session import scratch_table_dir
 
 CENT = 10**6  # fixed-point units (1e-8) per cent
@@ -363,6 +365,31 @@ def q_boost_importances(spark: SparkSession, d: str) -> DataFrame:
     return _goss_trees(spark, d)[1].importances(spark)
 
 
+CV = dict(n_trees=6, depth=6, step=0.3, n_bins=32)
+CV_FOLDS = 5
+SQL_CV_ROWS = f"""SELECT *, CAST(CASE WHEN i < (n % {CV_FOLDS}) * (n // {CV_FOLDS} + 1) THEN i // (n // {CV_FOLDS} + 1)
+  ELSE n % {CV_FOLDS} + (i - (n % {CV_FOLDS}) * (n // {CV_FOLDS} + 1)) // (n // {CV_FOLDS}) END AS INTEGER) AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i, COUNT(*) OVER () AS n FROM ({SQL_GUEST_LABELLED}) WHERE role = 'train')"""
+
+
+def _sql_cv_fold(fold: int) -> str:
+    base = f"SELECT * REPLACE (CASE WHEN fold = {fold} THEN 'valid' ELSE 'train' END AS role) FROM cv_rows"
+    ctes = boost_ctes(base, FEATURES, **CV, penalty=0.1, goss=None)
+    return f"SELECT * FROM (WITH {ctes} SELECT {fold} AS fold, n AS \"rows\", mse / 1e4 AS mse FROM history WHERE split = 'valid' AND iteration = {CV['n_trees']})"
+
+
+@query(
+    "boosted_cross_validation",
+    f"WITH cv_rows AS MATERIALIZED ({SQL_CV_ROWS}) " + " UNION ALL ".join(map(_sql_cv_fold, range(CV_FOLDS))),
+)
+def q_boosted_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    """M3 + M5: unshuffled 5-fold cross-validation of 6 trees of depth 6: each fold's error under the trees of the others."""
+    g = _guest_scaled(spark, d).where("split = 'valid'").drop("split")
+    folded = materialise(kfold_ids(g, ["sid"], CV_FOLDS), "folds")
+    found = cross_validate_boosted(folded, FEATURES, "label", key="sid", fold_col="fold", **CV)
+    return spark.createDataFrame([(f, n, mse / 1e4) for f, n, mse in found], "fold int, rows long, mse double")
+
+
 HOST_FEATURES = ["qty", "price", "net", "price_avg", "qty_avg", "code_a", "code_b"]
 SQL_SUBMISSION_BASE = f"""
 SELECT g.sid AS key, CASE WHEN c.c_custkey IS NULL THEN 'train'
