@@ -7,6 +7,7 @@ and everything after that is integer work in numpy. A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,17 @@ ALNUM_WORDS = byte_table(
 CASED_WORDS = byte_table(lower=False)
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system: workers live on between stages, and a container counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
+#: of glibc; other C libraries have none
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts in a column have about ``max_bytes``, or are a single text."""
     for batch in batches:
@@ -46,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 <<
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
                 yield batch.slice(a, b - a)
+        _give_back()
 
 
 @dataclass
