@@ -25,43 +25,55 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.harmless(docs, model, threshold=0.3)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, ``__row``, the same each time they are read.
+def _unused(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, the same each time they are read, and that column's name.
 
     Rows read from files come in the same partitions and order each time; all others are written first.
     """
     if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
         docs = materialise(docs, "pipeline-input")
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    row = _unused("__row", docs)
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, one row: of the smallest id, null ids last."""
-    rows = _numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().cast("int").alias("unnamed"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    rows, number = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().cast("int").alias("unnamed"), F.col("doc_id").alias("id"), F.col(number).alias("row"))
     groups = ngram_join.similar_groups(rows.select(key.alias("doc_id"), "text"), n=5, percent=80)
-    copies = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
-    return without_ids(rows, copies, "__row").drop("__row")
+    copies = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(number))
+    return without_ids(rows, copies, number).drop(number)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a 10-word window of a benchmark item."""
-    rows = _numbered(docs)
+    rows, number = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(rows, items, n=10, id_col="__row")
-    return without_ids(rows, found.where("n_hit > 0"), "__row").drop("__row")
+    found = decontaminate.contamination(rows, items, n=10, id_col=number)
+    return without_ids(rows, found.where("n_hit > 0"), number).drop(number)
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    """Each row's place in the mixture."""
-    mixed = mixing.mix(rows, mixing.temperature_weights(rows, MIX_PERIOD), block_rows=MIX_BLOCK, row_col="__row")
-    return mixed.select("__row", *(F.col(c).alias(f"__{c}") for c in ("position", "slot", "in_ratio")))
+def _positions(rows: DataFrame, number: str) -> DataFrame:
+    """Each row's place in the mixture: its number, ``position``, ``slot``, ``in_ratio``."""
+    slim = rows.select(F.col(number).alias("row_number"), "doc_id", "source")
+    mixed = mixing.mix(slim, mixing.temperature_weights(slim, MIX_PERIOD), block_rows=MIX_BLOCK, row_col="row_number")
+    return mixed.select("row_number", "position", "slot", "in_ratio")
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture."""
-    rows = _numbered(docs)
-    return rows.join(_positions(rows), "__row").orderBy("__position").select(*docs.columns)
+    rows, number = _numbered(docs)
+    place = _unused("__position", rows)
+    placed = materialise(_positions(rows, number), "positions").select(F.col("row_number").alias(number), F.col("position").alias(place))
+    return rows.join(placed, number).orderBy(place).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +82,17 @@ def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Parquet files keep no order that a later reader could rely on, so the
     place is worked out again from the same schedule. ``in_ratio`` tells the rows
     before the first ``slot`` that isn't full, up to which the weights of the mixture hold.
+    ``text_hash`` (of the whole text) tells rows of one id, or without one, apart.
     """
-    rows = _numbered(docs)
-    placed = sharding.shards(rows, max_bytes=SHARD_BYTES, row_col="__row").join(_positions(rows), "__row")
-    return placed.select("doc_id", "n_bytes", "depth", "shard", "page", *(F.col(f"__{c}").alias(c) for c in ("position", "slot", "in_ratio")))
+    rows, number = _numbered(docs)
+    # two plans of half the size, each written once: less to plan and compile at a time in the driver
+    placed = materialise(_positions(rows, number), "positions")
+    own = F.struct(F.col(number).alias("row_number"), F.xxhash64("text").alias("text_hash"))
+    parts = sharding.shards(rows.select("doc_id", "text", own.alias("own")), max_bytes=SHARD_BYTES, row_col="own")
+    parts = materialise(parts.select("own.*", "doc_id", "n_bytes", "depth", "shard", "page"), "shards")
+    return parts.join(placed, "row_number").select(
+        "doc_id", "n_bytes", "depth", "shard", "page", "position", "slot", "in_ratio", "text_hash"
+    )
 
 
 STAGES = [
