@@ -5,19 +5,51 @@ and returns a DataFrame that is written as Parquet and reread as the next
 one's ``docs``. ``run`` applies them to ``documents``. Decisions are made for
 each row: a stage numbers the rows it reads, so null and repeated ids count as
 rows of their own.
+
+A stage's result reads tables that the stage wrote to the checkpoint folder. The
+next stage deletes them, unless its ``docs`` is not a table read from files or is one
+of them: consume a stage's result before calling another stage.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcraft.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from panelcraft.llm._id_filter import without_ids
 from panelcraft.llm.queries import MIX_BLOCK, MIX_PERIOD, SHARD_BYTES, held_out
-from panelcraft.session import materialise
+from panelcraft.session import materialise, materialised, release_tables
+
+
+#: folders that the stage called last has written
+_LEFT: list[str] = []
+
+
+def _plain_table(docs: DataFrame) -> bool:
+    return docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+
+
+def _stage(function):
+    """The function, which also frees what the stage before it has left in the checkpoint folder."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _plain_table(docs):
+            roots = docs._jdf.queryExecution().optimizedPlan().relation().location().rootPaths().mkString("\n")
+            release_tables(spark, [p for p in _LEFT if p not in roots])
+            _LEFT.clear()
+        before = set(materialised())
+        out = function(spark, docs, sf_dir)
+        _LEFT.extend(p for p in materialised() if p not in before)
+        return out
+
+    return run_stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,12 +70,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
     Rows read from files come in the same partitions and order each time; all others are written first.
     """
-    if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
+    if not _plain_table(docs):
         docs = materialise(docs, "pipeline-input")
     row = _unused("__row", docs)
     return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over 5-word shingles, one row: of the smallest id, null ids last."""
     rows, number = _numbered(docs)
@@ -53,6 +86,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without_ids(rows, copies, number).drop(number)
 
 
+@_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a 10-word window of a benchmark item."""
     rows, number = _numbered(docs)
@@ -68,6 +102,7 @@ def _positions(rows: DataFrame, number: str) -> DataFrame:
     return mixed.select("row_number", "position", "slot", "in_ratio")
 
 
+@_stage
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture."""
     rows, number = _numbered(docs)
@@ -76,6 +111,7 @@ def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return rows.join(placed, number).orderBy(place).select(*docs.columns)
 
 
+@_stage
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's shard, and its place in the mixture as the reading order within the shard.
 

@@ -93,6 +93,25 @@ def materialise(df, name: str = "stage"):
 _MATERIALISED: list[str] = []
 
 
+def materialised() -> list[str]:
+    """Folders of the tables :func:`materialise` wrote in this process and that were not released."""
+    return list(_MATERIALISED)
+
+
+def release_tables(spark: SparkSession, paths: list[str]) -> int:
+    """Delete some of those tables; returns how many were there. No frame that reads them may be used any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in paths:
+        if path in _MATERIALISED:
+            _MATERIALISED.remove(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(conf)
+            removed += int(fs.exists(p) and bool(fs.delete(p, True)))
+    return removed
+
+
 def release_materialised(spark: SparkSession) -> int:
     """Delete the tables :func:`materialise` wrote in this process; returns how many were removed.
 
@@ -100,12 +119,4 @@ def release_materialised(spark: SparkSession) -> int:
     frames read the files when they run). Deletion goes through the cluster's
     Hadoop file system, so it works for any shared checkpoint folder.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    while _MATERIALISED:
-        p = jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            removed += int(bool(fs.delete(p, True)))
-    return removed
+    return release_tables(spark, materialised())
