@@ -38,6 +38,11 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df if partitions is None else df.repartition(partitions)
 
 
+def partitions_by_rows(df: DataFrame, least: int, rows_each: int = 1_000_000) -> int:
+    """Partitions for :func:`spread` that grow with the rows and depend on nothing else."""
+    return max(least, -(-df.count() // rows_each))
+
+
 def fit(pipeline: Pipeline, df: DataFrame, partitions: int | None = None) -> PipelineModel:
     """Fit a pipeline on a cached copy of ``df`` (the cache is released afterwards)."""
     data = spread(df, partitions).cache()

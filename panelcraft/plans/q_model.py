@@ -33,6 +33,7 @@ from panelcraft.operators.model import spread
 from panelcraft.operators.model import gbt_pipeline
 from panelcraft.operators.model import iteration_history
 from panelcraft.operators.model import load_model
+from panelcraft.operators.model import partitions_by_rows
 from panelcraft.operators.model import save_model
 from panelcraft.operators.model import typed_label
 from panelcraft.operators.monthly import monthly_panel
@@ -266,7 +267,7 @@ def q_goss_sample(spark: SparkSession, d: str) -> DataFrame:
 FEATURES = ["month_amount", "quarter", "capital", "year", "month_amount_avg", "y_avg", "year_y_avg", "year_month_amount_avg"]
 
 
-#: partitions that the models of these queries are trained in
+#: least partitions that the models of these queries are trained in; more for more than a million rows each
 TRAIN_PARTITIONS = 8
 
 
@@ -279,7 +280,7 @@ def _train_frames(spark: SparkSession, d: str):
 
 def _fit(spark: SparkSession, d: str):
     g, train = _train_frames(spark, d)
-    train = spread(train, TRAIN_PARTITIONS).cache()
+    train = spread(train, partitions_by_rows(train, TRAIN_PARTITIONS)).cache()
     model = gbt_pipeline(FEATURES, n_trees=14, depth=4, step=0.2, max_bins=1000, bin_features=500).fit(train)
     return g, train, model
 
@@ -442,7 +443,7 @@ def q_gbt_lineitem(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label")
     )
     model = fit(gbt_pipeline(["l_quantity", "l_discount", "l_tax"], n_trees=14, depth=4, step=0.2, max_bins=1000,
-                             bin_features=None), li, TRAIN_PARTITIONS)
+                             bin_features=None), li, partitions_by_rows(li, TRAIN_PARTITIONS))
     return model.transform(li).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
@@ -453,7 +454,7 @@ def q_gbt_history(spark: SparkSession, d: str) -> DataFrame:
     _, known = _train_frames(spark, d)
     year = parse_row_key("sid")["year"].cast("int")  # the year column itself is a category code
     early = known.where(year < TARGET_YEAR)
-    model = fit(gbt_pipeline(FEATURES, n_trees=14, depth=4, step=0.2, max_bins=1000, bin_features=500), early, TRAIN_PARTITIONS)
+    model = fit(gbt_pipeline(FEATURES, n_trees=14, depth=4, step=0.2, max_bins=1000, bin_features=500), early, partitions_by_rows(early, TRAIN_PARTITIONS))
     return iteration_history(model, known.where(year == TARGET_YEAR))
 
 

@@ -8,6 +8,7 @@ from panelcraft.operators.model import deploy
 from panelcraft.operators.model import gbt_pipeline
 from panelcraft.operators.model import iteration_history
 from panelcraft.operators.model import load_model
+from panelcraft.operators.model import partitions_by_rows
 from panelcraft.operators.model import save_model
 from panelcraft.operators.split import goss_sample
 from panelcraft.operators.split import kfold_ids
@@ -84,3 +85,10 @@ def test_train_predict_submit(spark):
     ids = [r.id for r in rows_]
     assert len(ids) == len(set(ids)) and set(ids) <= test_ids  # one target-quarter row per test entity
     assert all(r.predict_result is not None for r in rows_)
+
+
+def test_training_partitions_grow_with_the_rows(spark):
+    df = spark.range(1001)
+    assert partitions_by_rows(df, 8) == 8
+    assert partitions_by_rows(df, 8, rows_each=100) == 11
+    assert partitions_by_rows(df.limit(0), 8, rows_each=100) == 8
