@@ -80,17 +80,6 @@ def monthly_sum(expanded: DataFrame, keys: list[str], value: str, out: str) -> D
     return expanded.groupBy(*keys).agg(F.sum(value).alias(out))
 
 
-def months_of_equal_intervals(df: DataFrame, rate: str, id_col: str = "id", out: str = "amount", count_out: str = "n") -> DataFrame:
-    """J1 + A1: total and number of intervals per id and month, from valid intervals ``(id, ms, me, rate)``.
-
-    Equal intervals of an id are added up first, then an id's months are made in one place:
-    a task holds the months of its ids, and an id has at most (months squared) / 2 intervals.
-    """
-    same = df.groupBy(id_col, "ms", "me").agg(F.sum(rate).alias("__r"), F.count(F.lit(1)).alias("__n"))
-    months = expand_months(same.repartition(id_col))
-    return months.groupBy(id_col, "month").agg(F.sum("__r").alias(out), F.sum("__n").alias(count_out))
-
-
 def monthly_totals(
     df: DataFrame,
     *,
