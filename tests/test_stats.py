@@ -90,6 +90,24 @@ def test_quartile_split(spark):
     assert got == {"bad": (1, 4.75), "good": (3, 4.75)}
 
 
+def test_quartile_split_computes_its_errors_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i * 7919 % 100_003 << 24,) for i in range(1000)] + [(None,)]
+    e = spark.createDataFrame(rows, "e long").mapInArrow(watch, "e long")
+    got = {r.group: (r.n, r.sum_e) for r in quartile_split(e, "e", ["e"]).collect()}
+    values = sorted(r[0] for r in rows[:-1])
+    q3 = values[749] + (values[750] - values[749]) * 0.25
+    bad = [v for v in values if v >= q3]
+    assert got == {"bad": (len(bad), sum(bad)), "good": (1000 - len(bad), sum(values) - sum(bad))}
+    assert seen.value == 1001
+
+
 def test_order_statistics_multi_pass(spark, monkeypatch):
     """Exact selection with few bits a pass (forces several passes) equals numpy."""
     monkeypatch.setattr(qmod, "BITS", 2)
