@@ -83,6 +83,13 @@ def test_keyed_intersection_prunes_before_the_join(spark):
     assert keyed_intersection(left, right.limit(0), "sid", b"secret").count() == 0
 
 
+def test_keyed_intersection_computes_each_digest_once(spark):
+    sides = [spark.range(1000).select(F.col("id").cast("string").alias("sid"), F.col("id").alias(c)) for c in ("y", "p")]
+    both = keyed_intersection(*sides, "sid", b"secret")
+    assert "sha2" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.y, r.p) for r in both.collect()) == [(k, k) for k in range(1000)]
+
+
 def test_blinding_key_comes_from_the_configuration(spark):
     assert blinding_key(spark) != blinding_key(spark)
     spark.conf.set(BLINDING_KEY, "from outside")
