@@ -6,8 +6,11 @@ from panelcraft.functions.scalar import parse_compact_month
 from panelcraft.functions.scalar import parse_row_key
 from panelcraft.functions.scalar import row_key
 from panelcraft.operators.encode import DictionaryEncoder
+from panelcraft.operators.encode import _first_seen
 from panelcraft.operators.encode import align_columns
 from panelcraft.operators.encode import factorize
+from panelcraft.operators.encode import fit_dictionaries
+from panelcraft.operators.encode import fit_dictionary
 from panelcraft.operators.encode import fit_one_hot
 from panelcraft.operators.encode import one_hot
 from panelcraft.operators.ordering import global_row_index
@@ -107,6 +110,24 @@ def test_factorize_codes_by_first_appearance(spark):
     assert rows(factorize(df, ["a", "b"], ["pos"], suffix="_c"), "pos", "a_c", "b_c") == expected
 
 
+def test_dictionary_sorts_few_rows_of_repeated_values(spark):
+    rows = [(i * 7919 % 5003 or None, (i * 31 % 7) or None, None if i % 11 == 0 else "äbZ"[i % 3], i % 5 == 0) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, a int, b string, c boolean")
+    df = df.repartition(3, "id")
+    assert _first_seen(df, ["a", "b", "c"], ["id", "a", "b", "c"]).count() < 500  # of 20,000
+    rank = lambda v: (v is not None, 0 if v is None else v.encode() if isinstance(v, str) else v)
+    ordered = sorted(rows, key=lambda r: tuple(map(rank, r)))
+    want = {}
+    for k, c in enumerate("abc", 1):
+        for v in dict.fromkeys(r[k] for r in ordered):
+            text = None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+            want[c, text] = sum(1 for of, _ in want if of == c)
+    got = fit_dictionaries(df, ["a", "b", "c"], ["id", "a", "b", "c"])
+    assert {(r.column, r.value): r.code for r in got.collect()} == want
+    nan = spark.createDataFrame([(2, float("nan")), (1, -0.0), (3, 0.0), (4, None)], "id long, x double")
+    assert {r.value: r.code for r in fit_dictionary(nan, "x", ["id"]).collect()} == {"-0.0": 0, "NaN": 1, "0.0": 2, None: 3}
+
+
 def test_dictionary_of_100k_values(spark):
     n = 100_000
     df = spark.range(n).select(F.col("id").alias("pos"), F.concat(F.lit("v"), (F.col("id") * 7919) % n).alias("a"))
