@@ -11,7 +11,9 @@ fragment, apart from the others, and the partial overlaps are summed per pair.
 Only links are needed, not all pairs of a group of copies. Equal sets are one
 node. Each node is first compared with one leader, the set in whose prefix a
 shared n-gram stands first; what links is one component from then on, and only
-pairs between different components become candidates.
+pairs between different components become candidates. While a component meets
+many other nodes in an n-gram, these are compared with some of its nodes, chosen
+by hash, before all pairs are listed: a large group of near copies grows together.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ MAX_FREQUENT = 500_000
 FRAGMENTS = 8
 #: the place in the order, coarsely, of a prefix that ends with a frequent n-gram
 LATE = (1 << 31) - 1
+#: so many nodes of a large component are compared with each of the others, and twice as many each further turn
+LEADERS = 32
+#: further turns, at most; there are some only while the candidates with such components are more than this share of the
+#: postings, and more than a few
+TURNS = 4
+CROWDED = 0.25
+FEW = 10_000
 #: frequent n-grams' postings are dealt out over so many groups
 SALTS = 64
 
@@ -145,6 +154,11 @@ def _left(x: str) -> Column:
     return F.col(f"n_{x}") - F.col(f"at_{x}")
 
 
+def _first(percent: int) -> Column:
+    """Whether an n-gram can be the first that two linked sets share: they share at most what is left from it on."""
+    return _bound(percent, F.least(_left("a"), _left("b")), F.col("n_a"), F.col("n_b"))
+
+
 def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``node, fragment, grams`` of the wanted nodes (``id`` of one text with that set).
 
@@ -177,10 +191,13 @@ def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return read.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "fragment"])
 
 
-def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of the pairs."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a, b, n_a, n_b``) that reach the similarity, by partial overlaps of all fragments."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    segments = materialise(_read_again(docs, nodes.join(ends, "node", "left_semi"), n), "segments")
     side = lambda x: segments.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"grams_{x}"))
     partial = (
         pairs.join(side("a"), "a")
@@ -191,6 +208,45 @@ def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent:
     return total.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 
+def _with_sets(docs: DataFrame, segments: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The segments, with those of the nodes of ``pairs`` that they don't have yet."""
+    unread = materialise(_ends(pairs).join(segments.select("node").distinct(), "node", "left_anti"), "unread")
+    if unread.isEmpty():
+        return segments
+    return segments.unionByName(materialise(_read_again(docs, nodes.join(unread, "node", "left_semi"), n), "segments"))
+
+
+def _large(member: DataFrame, least: int) -> DataFrame:
+    """``gram, component, inside``: the component with most nodes in an n-gram, if more than ``least``."""
+    size = member.groupBy("gram", "component").count()
+    size = size.groupBy("gram").agg(F.max(F.struct("count", "component")).alias("most"))
+    return size.select("gram", "most.component", F.col("most.count").alias("inside")).where(F.col("inside") > least)
+
+
+def _drawn(member: DataFrame, turn: int) -> DataFrame:
+    """``a, b, of``: nodes that share n-grams with a large component, each with some of its nodes that have one of these
+    n-grams (``of`` as many in all to each). Both are drawn by hash, others in another turn."""
+    leaders = LEADERS << turn
+    large = _large(member, leaders).withColumnRenamed("component", "large")
+    near = member.join(large, "gram").withColumn("of_it", F.col("component") == F.col("large"))
+    chosen = (
+        near.where("not of_it")
+        .groupBy(F.col("node").alias("a"), "large")
+        .agg(F.min(F.struct(F.xxhash64("gram", F.lit(turn)), "gram")).alias("one"))
+        .select("a", F.col("one.gram").alias("gram"))
+    )
+    lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20).cast("long"))
+    drawn = near.where("of_it").where(lot * F.col("inside") < F.lit(leaders << 20))
+    drawn = drawn.select("gram", F.col("node").alias("b"), (F.col("inside") / leaders).alias("of"))
+    return chosen.join(drawn, "gram").groupBy("a", "b").agg(F.max("of").alias("of"))
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """The postings of n-grams that more than one component has."""
+    gram = member.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gram")
+    return member.join(gram, "gram", "left_semi")
+
+
 def similar_groups(
     docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -230,9 +286,6 @@ def similar_groups(
     place = (F.shiftright("place", 32).alias("n"), F.expr("place & 4294967295").alias("at"))
     shared = materialise(kept, "shared").select("gram", "node", *place, "end")
 
-    # the first n-gram that two linked sets share has at least all of the overlap from its position on
-    first = _bound(percent, F.least(_left("a"), _left("b")), F.col("n_a"), F.col("n_b"))
-
     # one leader per node: of the prefix n-grams it shares, most come with that leader
     lead = shared.groupBy("gram").agg(
         F.min(F.struct("at", "n", "node")).alias("lead"), F.max("node").alias("most"), F.min("node").alias("least")
@@ -243,7 +296,7 @@ def similar_groups(
     follow = (
         shared.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
         .join(lead, "gram")
-        .where((F.col("a") != F.col("b")) & first)
+        .where((F.col("a") != F.col("b")) & _first(percent))
         .groupBy("a", "n_a", "b", "n_b")
         .count()
         .where(F.col("count") * 6 * 100 >= F.lit(100 - percent) * F.col("n_a"))
@@ -251,22 +304,14 @@ def similar_groups(
         .agg(F.max(F.struct("count", "n_b", "b")).alias("best"))
         .select("a", "n_a", F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b"))
     )
-    stars = materialise(linked(docs, materialise(follow, "followers"), nodes, n, percent).select("a", "b"), "stars")
+    follow = materialise(follow, "followers")
+    segments = materialise(_read_again(docs, nodes.join(_ends(follow), "node", "left_semi"), n), "segments")
+    stars = materialise(linked(follow, segments, percent).select("a", "b"), "stars")
 
     # what is left: pairs across the components so far
     group = materialise(components(stars), "components")
     member = shared.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("gram")
-    member = materialise(member.join(mixed, "gram", "left_semi"), "members")
-    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "component")))
-    met = (
-        side("a")
-        .join(side("b"), "gram")
-        .where("node_a < node_b and component_a <> component_b")
-        .where(first)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
+    member = materialise(_mixed(member), "members")
     # all shared n-grams of both prefixes are known, and one shared beyond the prefix that ends first is
     # among the rest of that set
     front = member.groupBy("node").agg(F.collect_set("gram").alias("grams"), F.first("n").alias("n"), F.first("end").alias("end"))
@@ -275,14 +320,33 @@ def similar_groups(
     rest = lambda x: F.expr(f"({percent} * n_{x} + 99) div 100 - 1")
     beyond = F.when(F.col("end_a") < F.col("end_b"), rest("a")).when(F.col("end_a") > F.col("end_b"), rest("b"))
     beyond = F.coalesce(beyond, F.greatest(rest("a"), rest("b")))
-    pairs = (
-        met.join(prefix("a"), "a")
-        .join(prefix("b"), "b")
-        .where(_bound(percent, F.size(F.array_intersect("grams_a", "grams_b")) + beyond, F.col("n_a"), F.col("n_b")))
-        .select("a", "b", "n_a", "n_b")
+
+    def candidates(pairs: DataFrame, *more: str) -> DataFrame:
+        found = pairs.join(prefix("a"), "a").join(prefix("b"), "b")
+        found = found.where(_bound(percent, F.size(F.array_intersect("grams_a", "grams_b")) + beyond, F.col("n_a"), F.col("n_b")))
+        return found.select("a", "b", "n_a", "n_b", *more)
+
+    for turn in range(TURNS):
+        drawn = materialise(candidates(_drawn(member, turn), "of"), "drawn")
+        if (drawn.agg(F.sum("of")).first()[0] or 0) <= max(FEW, CROWDED * member.count()):
+            break
+        segments = _with_sets(docs, segments, drawn, nodes, n)
+        stars = stars.unionByName(materialise(linked(drawn, segments, percent).select("a", "b"), "stars"))
+        group = materialise(components(stars), "components")
+        member = member.drop("component").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        member = materialise(_mixed(member), "members")
+    side = lambda x: member.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "component")))
+    met = (
+        side("a")
+        .join(side("b"), "gram")
+        .where("node_a < node_b and component_a <> component_b")
+        .where(_first(percent))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .distinct()
     )
-    pairs = materialise(pairs, "pairs")
-    links = stars.unionByName(linked(docs, pairs, nodes, n, percent).select("a", "b"))
+    pairs = materialise(candidates(met), "pairs")
+    segments = _with_sets(docs, segments, pairs, nodes, n)
+    links = stars.unionByName(linked(pairs, segments, percent).select("a", "b"))
 
     final = materialise(components(links), "components")
     named = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
