@@ -51,6 +51,7 @@ TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts in a column have about ``max_bytes``, or are a single text."""
+    _give_back()  # what the worker still holds of an earlier stage
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // max_bytes
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 4 <<
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
                 yield batch.slice(a, b - a)
-        _give_back()
+                _give_back()
 
 
 @dataclass
@@ -120,6 +121,7 @@ def split_words(texts: pa.Array, table: np.ndarray | Callable[[np.ndarray], np.n
     kept = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(kept)])
     starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    del lists, clean, data  # the texts again, as large as the words: not needed beside them
     if not kept.all():
         flat = flat.filter(pa.array(kept))
     coded = flat.dictionary_encode()

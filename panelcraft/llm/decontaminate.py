@@ -58,11 +58,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # a block is named after its first row, which no other block has
             name = part.column(0)[0].as_py()
             starts = words.starts + GAP * np.arange(len(words) + 1)
-            positions = np.arange(len(words.codes)) + GAP * words.owners()
-            order = np.argsort(words.codes, kind="stable")
-            cuts = np.searchsorted(words.codes[order], np.arange(len(words.vocabulary) + 1))
             n = len(words.vocabulary)
-            packed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(positions[order], pa.int32()))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(words.codes, minlength=n))])
+            # a word's position is its place and the gaps before its text; 32 bits, as they are stored
+            order = np.argsort(words.codes, kind="stable").astype(np.int32)
+            positions = np.searchsorted(words.starts, order, side="right").astype(np.int32)
+            positions -= 1
+            positions *= GAP
+            positions += order
+            packed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(positions, pa.int32()))
             none = pa.nulls(n, pa.list_(part.schema.field(1).type))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, name)), pa.array(_terms(words)), packed, none, pa.nulls(n, pa.list_(pa.int32()))],
