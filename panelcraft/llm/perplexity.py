@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from panelcraft.llm._id_filter import bit_filter, held, place
 from panelcraft.llm._ship import ship_package
+from panelcraft.llm._words import slices
 from panelcraft.session import materialise
 
 #: bytes of text worked on at once
@@ -178,21 +179,30 @@ def _block_grams(n: int, most: int):
 
 
 def _with_block(most: int):
+    """Per piece of a block its rows and texts in one cell, compressed: the shuffle's own codec leaves texts twice as large."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, piece in _blocks(batches, most):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, block)), *piece.columns], names=["block", "row", "text"])
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for block, whole in _blocks(batches, most):
+            for piece in slices([whole], 1):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
+                    writer.write_batch(piece)
+                cells = [pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["block", "piece"])
 
     return run
 
 
 def _block_scores(n: int):
     def run(texts: pa.Table, nats_of: pa.Table) -> pa.Table:
-        texts, nats_of = texts.combine_chunks(), nats_of.combine_chunks()
+        nats_of = nats_of.combine_chunks()
         keys, values = nats_of.column("gram").to_numpy(), nats_of.column("nat").to_numpy()
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         out = []
-        for batch in texts.to_batches():
+        for piece in texts.column("piece"):
+            batch = pa.ipc.open_stream(piece.as_buffer()).read_next_batch()
             data, starts = byte_stream(batch.column("text"))
             nats = np.zeros(len(starts) - 1)
             for a in range(0, len(data), CHUNK):
@@ -220,7 +230,7 @@ def score(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARD_ROWS))
     nats = gram_nats(wanted.select("gram").repartition(shards, "gram"), rows, n)
     back = wanted.join(nats, "gram").select(F.explode("blocks").alias("block"), "gram", "nat")
-    blocks = texts.mapInArrow(_with_block(BLOCK), "block long, row long, text string")
+    blocks = texts.mapInArrow(_with_block(BLOCK), "block long, piece binary")
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_block_scores(n), "row long, nats double, n_bytes long")
 
 
