@@ -4,9 +4,10 @@ Sets are kept as 64-bit hashes under one global order of all n-grams: frequent
 ones (seen repeatedly within batches of texts, all texts counted) last, the
 rest by hash. The order serves twice. Its front gives each set's prefix, and
 two sets that reach the similarity must share a prefix n-gram; pairs that do,
-and that length and position bounds leave over, are candidates. Then the hash
-range is cut into fragments: each candidate's overlap is counted fragment by
-fragment, apart from the others, and the partial overlaps are summed per pair.
+and that length and position bounds leave over, are candidates. Short sets are then
+compared whole; for longer ones the hash range is cut into fragments: each
+candidate's overlap is counted fragment by fragment, apart from the others, and the
+partial overlaps are summed per pair.
 
 Only links are needed, not all pairs of a group of copies. Equal sets are one
 node. Each node is first compared with one leader, the set in whose prefix a
@@ -36,6 +37,9 @@ from panelcraft.session import materialise
 MAX_FREQUENT = 500_000
 #: the hash range is cut into so many fragments
 FRAGMENTS = 8
+#: sets of fewer n-grams are compared whole, as one fragment with this number
+WHOLE = 2048
+ENTIRE = -1
 #: the place in the order, coarsely, of a prefix that ends with a frequent n-gram
 LATE = (1 << 31) - 1
 #: so many nodes of a large component are compared with each of the others, and twice as many each further turn
@@ -159,7 +163,16 @@ def _first(percent: int) -> Column:
     return _bound(percent, F.least(_left("a"), _left("b")), F.col("n_a"), F.col("n_b"))
 
 
-def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _fragments(grams: np.ndarray, percent: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A set as ``ENTIRE`` if one that is compared whole can reach the similarity with it, and in fragments unless it is one itself."""
+    if len(grams) * percent < whole * 100:
+        yield ENTIRE, grams
+    if len(grams) >= whole:
+        cuts = np.searchsorted(grams >> np.uint64(32), np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
+        yield from ((k, part) for k, part in enumerate(np.split(grams, cuts)) if len(part))
+
+
+def _read_again(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
     """``node, fragment, grams`` of the wanted nodes (``id`` of one text with that set).
 
     Tasks read only the texts whose id passes the bit filter, and nothing but
@@ -167,6 +180,7 @@ def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "id"))
     nameless = wanted.where("id is null").limit(1).count() > 0
+    whole = WHOLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -176,12 +190,10 @@ def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             nodes, fragments, grams = [], [], []
             for s in gram_sets(batch.column(0).filter(pa.array(kept)), n):
                 if len(s):
-                    cuts = np.searchsorted(s >> np.uint64(32), np.arange(1, FRAGMENTS).astype(np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
-                    for k, part in enumerate(np.split(s.view(np.int64), cuts)):
-                        if len(part):
-                            nodes.append(node_of(s))
-                            fragments.append(k)
-                            grams.append(part)
+                    for k, part in _fragments(s, percent, whole):
+                        nodes.append(node_of(s))
+                        fragments.append(k)
+                        grams.append(part.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))],
                 names=["node", "fragment", "grams"],
@@ -197,10 +209,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a, b, n_a, n_b``) that reach the similarity, by partial overlaps of all fragments."""
+    """The pairs (``a, b, n_a, n_b``) that reach the similarity, by partial overlaps of all fragments.
+
+    Sizes of a pair are such that it can reach it: a set that is compared whole is with any of its partners.
+    """
     side = lambda x: segments.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"grams_{x}"))
+    whole = lambda c: c.alias("whole")
     partial = (
-        pairs.join(side("a"), "a")
+        pairs.select("a", "b", "n_a", "n_b", whole(F.least("n_a", "n_b") < WHOLE))
+        .join(side("a").select("*", whole(F.col("fragment") == ENTIRE)), ["a", "whole"])
         .join(side("b"), ["b", "fragment"])
         .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
     )
@@ -208,12 +225,12 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 
-def _with_sets(docs: DataFrame, segments: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _with_sets(docs: DataFrame, segments: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The segments, with those of the nodes of ``pairs`` that they don't have yet."""
     unread = materialise(_ends(pairs).join(segments.select("node").distinct(), "node", "left_anti"), "unread")
     if unread.isEmpty():
         return segments
-    return segments.unionByName(materialise(_read_again(docs, nodes.join(unread, "node", "left_semi"), n), "segments"))
+    return segments.unionByName(materialise(_read_again(docs, nodes.join(unread, "node", "left_semi"), n, percent), "segments"))
 
 
 def _large(member: DataFrame, least: int) -> DataFrame:
@@ -305,7 +322,7 @@ def similar_groups(
         .select("a", "n_a", F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b"))
     )
     follow = materialise(follow, "followers")
-    segments = materialise(_read_again(docs, nodes.join(_ends(follow), "node", "left_semi"), n), "segments")
+    segments = materialise(_read_again(docs, nodes.join(_ends(follow), "node", "left_semi"), n, percent), "segments")
     stars = materialise(linked(follow, segments, percent).select("a", "b"), "stars")
 
     # what is left: pairs across the components so far
@@ -330,7 +347,7 @@ def similar_groups(
         drawn = materialise(candidates(_drawn(member, turn), "of"), "drawn")
         if (drawn.agg(F.sum("of")).first()[0] or 0) <= max(FEW, CROWDED * member.count()):
             break
-        segments = _with_sets(docs, segments, drawn, nodes, n)
+        segments = _with_sets(docs, segments, drawn, nodes, n, percent)
         stars = stars.unionByName(materialise(linked(drawn, segments, percent).select("a", "b"), "stars"))
         group = materialise(components(stars), "components")
         member = member.drop("component").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -345,7 +362,7 @@ def similar_groups(
         .distinct()
     )
     pairs = materialise(candidates(met), "pairs")
-    segments = _with_sets(docs, segments, pairs, nodes, n)
+    segments = _with_sets(docs, segments, pairs, nodes, n, percent)
     links = stars.unionByName(linked(pairs, segments, percent).select("a", "b"))
 
     final = materialise(components(links), "components")
