@@ -17,13 +17,13 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcraft.operators.gbt import PackedGBTRegressor
 from panelcraft.operators.scale import feature_scale_stages
 
 
@@ -92,7 +92,7 @@ def gbt_pipeline(
         cols = [f + "_ord" for f in features]
     stages.append(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"))
     stages.append(
-        GBTRegressor(
+        PackedGBTRegressor(
             featuresCol="features",
             labelCol=label,
             lossType="squared",

@@ -1,9 +1,14 @@
 import os
+import re
 import tempfile
 
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from panelcraft.operators.gbt import PackedGBTRegressor
 from panelcraft.operators.model import deploy
 from panelcraft.operators.model import gbt_pipeline
 from panelcraft.operators.model import iteration_history
@@ -14,6 +19,7 @@ from panelcraft.operators.split import goss_sample
 from panelcraft.operators.split import kfold_ids
 from panelcraft.operators.split import period_split
 from panelcraft.operators.split import stratified_split
+from panelcraft.session import materialised
 from tests.conftest import rows
 
 SMOKE = "/root/testdata/sf0.001"
@@ -92,3 +98,29 @@ def test_training_partitions_grow_with_the_rows(spark):
     assert partitions_by_rows(df, 8) == 8
     assert partitions_by_rows(df, 8, rows_each=100) == 11
     assert partitions_by_rows(df.limit(0), 8, rows_each=100) == 8
+
+
+@pytest.mark.parametrize("max_bins", [32, 500])  # thresholds at strides of the rows, and between any two values
+def test_packed_trees_equal_those_of_mllib(spark, max_bins):
+    df = spark.range(0, 900).select(
+        (F.col("id") * 7919 % 211).cast("double").alias("a"), (F.col("id") * 31 % 101 - 50).cast("double").alias("b"), F.lit(3.0).alias("c")
+    ).withColumn("label", 1e12 * (F.col("a") * 3.0 + F.col("b") ** 2) + F.col("a") * F.col("b") * 1e10).repartition(3)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    how = dict(featuresCol="features", labelCol="label", maxIter=5, maxDepth=4, stepSize=0.2, maxBins=max_bins, seed=1)
+    old, new = GBTRegressor(**how).fit(df), PackedGBTRegressor(**how).fit(df)
+    assert new.getNumTrees == 5 and new.treeWeights == old.treeWeights and new.numFeatures == 3
+    assert "/gbt-" not in "".join(materialised())
+    shape = lambda m: [re.sub(r"(?<=Predict: ).*|DecisionTree.*|^GBT.*", "", t) for t in m.toDebugString.splitlines()]
+    assert shape(new) == shape(old)
+    a, b = ([r.prediction for r in m.transform(df).orderBy("label", "a").collect()] for m in (old, new))
+    assert b == pytest.approx(a, rel=1e-9)
+    assert new.featureImportances.toArray() == pytest.approx(old.featureImportances.toArray())
+    assert new.evaluateEachIteration(df, "squared") == pytest.approx(old.evaluateEachIteration(df, "squared"))
+
+
+def test_packed_trees_refuse_what_mllib_refuses(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (4.0, 5.0)], "a double, label double")
+    with pytest.raises(Exception, match="NaN"):
+        gbt_pipeline(["a"], n_trees=2, bin_features=None).fit(df)
+    with pytest.raises(Exception, match="Labels MUST NOT be"):
+        gbt_pipeline(["label"], label="a", n_trees=2, bin_features=None).fit(df)
