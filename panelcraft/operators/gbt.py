@@ -224,11 +224,7 @@ def _boosted(packed: DataFrame, n: int, thresholds: list[np.ndarray], n_trees: i
         size = max(highest - mean, mean - lowest) if first else 2.0 * max(highest - least, most - lowest)
         scale = 2.0 ** (RESIDUAL_BITS - math.frexp(size)[1]) if size > 0 else 1.0
         residuals = _residuals(trees, mean)
-        rows, whole, folder = packed, _whole(residuals, scale), None
-        if tree * depth >= boost.MANY_WALKS:
-            (rows, folder), whole = boost.settled(packed, whole), boost._scorer(0, [])
-        splits, values, _ = boost._grow(rows, sizes, depth, 0.0, min_rows, 1.0, whole)
-        release_tables(packed.sparkSession, [folder] if folder else [])
+        splits, values, _ = boost._grow(packed, sizes, depth, 0.0, min_rows, 1.0, _whole(residuals, scale))
         off = mean if first else 0.0
         grown = _Tree(1.0 if first else step, splits, {k: off + v / scale for k, v in values.items()})
         route = boost._routes(splits)
